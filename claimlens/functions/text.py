@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 # Patterns and keyword lists that decide results.
-URL = r"https?://\S+"
+SPACE = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+URL = r"https?://[^\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 MENTION = r"@[\p{L}\p{N}_]+"
 EMOJI = "[\U0001f300-\U0001faff\U00002600-\U000027bf\U0001f1e6-\U0001f1ff]+"
 REPEATED_PUNCTUATION = r"([!?.,])\1+"
@@ -41,7 +42,7 @@ def contains_any(text: Column, words) -> Column:
 
 
 def collapse_spaces(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
 
 
 def strip_html(text: Column, entities: bool = False) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.formation import attach_to_claims
+from ..operators.ingest import dedup_external_ref
 from ..operators.lineage import new_path
 from ..sources.schemas import LANDED, MODEL
 
@@ -91,3 +93,31 @@ def run_append(df: DataFrame, name: str) -> DataFrame:
     query = df.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(df.schema).parquet(out)
+
+
+STORED = "post_id bigint, external_ref string, created_at timestamp, claim_id bigint"
+
+
+def ingest_to(path: str, vectors: DataFrame, claims: DataFrame, threshold: float):
+    """foreachBatch sink: skip refs stored before, attach the rest to claims, write under the batch number.
+
+    A batch delivered twice replaces its own partition and never sees its own rows as stored.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = spark.read.schema(STORED + ", batch int").option("ignoreMissingFiles", True)
+        stored = known.parquet(path).filter(F.col("batch") < number) if number else spark.createDataFrame([], STORED)
+        accepted, _ = dedup_external_ref(batch, stored)
+        best = attach_to_claims(accepted, vectors, claims, threshold).select("post_id", F.col("claim_id").alias("found"))
+        rows = accepted.join(best, "post_id", "left").select("post_id", "external_ref", "created_at", F.coalesce("claim_id", "found").alias("claim_id"))
+        upsert_to(path)(rows, number)
+
+    return write
+
+
+def run_ingest(posts: DataFrame, vectors: DataFrame, claims: DataFrame, threshold: float = 0.55) -> DataFrame:
+    """Ingest what is available; returns the stored posts."""
+    spark = posts.sparkSession
+    out, state = new_path(spark, "ingest"), new_path(spark, "ingest-state")
+    start(posts, ingest_to(out, vectors, claims, threshold), "append", state).awaitTermination()
+    return spark.read.schema(STORED).parquet(out)

@@ -8,15 +8,18 @@ def has(col, words):
     return "(" + " OR ".join(f"contains(lower({col}), '{w}')" for w in words) + ")"
 
 
+SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 def strip(col):
-    return f"trim(regexp_replace(regexp_replace({col}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace(regexp_replace({col}, '<[^>]+>', ' ', 'g'), '{SPACE}+', ' ', 'g'))"
 
 
 def decoded(col):
     x = f"regexp_replace({col}, '<[^>]+>', ' ', 'g')"
     for a, b in (("&amp;", "&"), ("&nbsp;", " "), ("&quot;", '"'), ("&#039;", "''")):
         x = f"replace({x}, '{a}', '{b}')"
-    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace({x}, '{SPACE}+', ' ', 'g'))"
 
 
 STANCE = (
