@@ -47,7 +47,8 @@ def image_similarity(a: Column, b: Column) -> Column:
 
 def bio_similarity(a: Column, b: Column, n: int = 4) -> Column:
     x, y = character_grams(F.lower(_filled(a)), n), character_grams(F.lower(_filled(b)), n)
-    return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+    known = _filled(a).isNotNull() & _filled(b).isNotNull()
+    return F.when(known, F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
 
 def exact_match(a: Column, b: Column) -> Column:

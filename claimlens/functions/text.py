@@ -96,20 +96,6 @@ def topic(text: Column) -> Column:
     return out.otherwise(DEFAULT_TOPIC)
 
 
-def shingle_hashes(text: Column, k: int = 5) -> Column:
-    """64-bit hashes of the distinct k-character windows; the whole text when it is shorter.
-
-    The windows are built by zipping k shifted copies of the character list, which is linear in the
-    text length; substring() by position would walk the text once per window.
-    """
-    chars = F.split(text, "")
-    n = F.char_length(text)
-    parts = [F.slice(chars, i + 1, F.greatest(n - (k - 1), F.lit(1))) for i in range(k)]
-    windows = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, y)), parts)
-    hashed = F.array_distinct(F.transform(windows, lambda x: F.xxhash64(x)))
-    return F.when(n >= k, hashed).when(n > 0, F.array(F.xxhash64(text))).otherwise(F.array().cast("array<bigint>"))
-
-
 def character_grams(text: Column, n: int = 4) -> Column:
     """Distinct n-character windows of a short text such as a profile line."""
     return F.array_distinct(

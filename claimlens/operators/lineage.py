@@ -31,3 +31,12 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     path = new_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Split a scan that arrives in fewer partitions than there are cores, before heavy per-row work.
+
+    Large tables already come in many splits and are left as they are, so no text is shuffled for them.
+    """
+    wanted = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(wanted) if scan.rdd.getNumPartitions() < wanted else scan

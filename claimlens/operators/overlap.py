@@ -15,6 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .lineage import materialize
+
 HOT_DF = 128
 BLOCK_ENTITIES = 256
 BLOCK_FEATURES = 4096
@@ -29,16 +31,14 @@ def shared_sums(rows: DataFrame, group: str, entity: str, feature: str, weight:
         (F.col(coef).cast("double") if coef else F.lit(1.0)).alias("k"),
     )
     df = r.groupBy("g", "f").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    tagged = r.join(df, ["g", "f"])
+    tagged = materialize(r.join(df, ["g", "f"]), "shared")  # read several times below
     cold, hot = tagged.filter(F.col("df") <= hot_df), tagged.filter(F.col("df") > hot_df)
     left = cold.select("g", "f", F.col("e").alias("a"), F.col("w").alias("wa"), "k")
     right = cold.select("g", "f", F.col("e").alias("b"), F.col("w").alias("wb"))
     few = left.join(right, ["g", "f"]).filter("a < b").groupBy("g", "a", "b").agg(F.sum(F.expr("k * wa * wb")).alias("x"))
-    many = _hot_products(hot)
-    return (
-        few.unionByName(many).groupBy("g", "a", "b").agg(F.sum("x").alias(value))
-        .select(F.col("g").alias(group), "a", "b", value)
-    )
+    if not hot.isEmpty():
+        few = few.unionByName(_hot_products(hot)).groupBy("g", "a", "b").agg(F.sum("x").alias("x"))
+    return few.select(F.col("g").alias(group), "a", "b", F.col("x").alias(value))
 
 
 def _hot_products(hot: DataFrame) -> DataFrame:

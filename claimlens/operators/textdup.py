@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.text import normalize_text, shingle_hashes
-from .lineage import materialize
+from ..functions.text import normalize_text
+from .lineage import materialize, spread
 from .vectors import pairs_above, vector_classes
 
+SHINGLE = 5
+
 
 def text_units(texts: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, norm, norm_length, text_id): equal normalised texts share the smallest key as text_id."""
-    n = texts.select(key, normalize_text(F.col("text")).alias("norm")).withColumn("digest", F.md5("norm"))
+    n = spread(texts.select(key, "text")).select(key, normalize_text(F.col("text")).alias("norm")).withColumn("digest", F.md5("norm"))
     first = n.groupBy("digest").agg(F.min(key).alias("text_id"))
     return n.join(first, "digest").select(key, "norm", F.char_length("norm").alias("norm_length"), "text_id")
 
@@ -24,6 +28,33 @@ def eligible_posts(posts: DataFrame, units: DataFrame, min_length: int = 25, phr
     return posts.filter(~F.coalesce("is_native_reshare", F.lit(False))).join(usable.select("doc_id", "text_id"), "doc_id")
 
 
+def _window_hashes(text: str, k: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the k-character windows of one text (the whole text when shorter)."""
+    points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    width = min(k, len(points))
+    h = np.full(max(len(points) - width + 1, 0), width, dtype=np.uint64)
+    for i in range(width):
+        h ^= points[i:len(points) - width + 1 + i]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+    return np.unique(h).view(np.int64)
+
+
+def shingle_sets(texts: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(id, n, sh): hashed shingle set of each whole text in `norm`; empty texts give no row."""
+    id_type = texts.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for pdf in batches:
+            pdf = pdf[pdf["norm"].str.len() > 0]
+            sh = [_window_hashes(t, k) for t in pdf["norm"]]
+            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "n": np.array([len(x) for x in sh], dtype="int32"), "sh": sh})
+
+    return texts.mapInPandas(run, f"id {id_type}, n int, sh array<bigint>")
+
+
 def near_duplicate_texts(units: DataFrame, threshold: float = 0.80) -> DataFrame:
     """(text_a, text_b, jaccard) of all distinct texts whose shingle sets reach the threshold.
 
@@ -31,8 +62,8 @@ def near_duplicate_texts(units: DataFrame, threshold: float = 0.80) -> DataFrame
     threshold share one among their first n - ceil(t n) + 1 shingles, so only those are joined;
     sizes and positions rule out most of the rest, and the survivors are verified on whole sets.
     """
-    one = units.filter(F.col("doc_id") == F.col("text_id")).select(F.col("text_id").alias("id"), shingle_hashes(F.col("norm")).alias("sh"))
-    sets = materialize(one.withColumn("n", F.size("sh")).filter("n > 0"), "shingles")
+    firsts = units.filter(F.col("doc_id") == F.col("text_id")).select(F.col("text_id").alias("id"), "norm")
+    sets = materialize(shingle_sets(firsts), "shingles")
     tokens = sets.select("id", "n", F.explode("sh").alias("h"))
     df = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     w = Window.partitionBy("id").orderBy("df", "h")

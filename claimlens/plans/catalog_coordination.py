@@ -129,9 +129,20 @@ class Run:
         return V.duplicate_groups(self.net_posts(), self.net_eligible(), self.links(), self.m.documents)
 
 
+_RUNS: dict[tuple[str, str], Run] = {}
+
+
+def shared_run(m: Model) -> Run:
+    """One run per session and folder: its written stage tables serve every query below, as in a real run."""
+    key = (m.spark.sparkContext.applicationId, m.tables.folder)
+    if key not in _RUNS:
+        _RUNS[key] = Run(m)
+    return _RUNS[key]
+
+
 def run_query(name):
     def register(fn):
-        query(name)(lambda m: fn(Run(m)))
+        query(name)(lambda m: fn(shared_run(m)))
         return fn
 
     return register

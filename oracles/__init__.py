@@ -27,9 +27,13 @@ def build(body: str) -> str:
     need(body)
     if not order:
         return body.strip()
+    body = body.strip()
+    more = ""
+    if body.upper().startswith("WITH "):
+        more, body = ",\n" + body[5:], ""
     parts = ",\n".join(f"{n} AS ({CTES[n].strip()})" for n in order)
     recursive = "RECURSIVE " if any("UNION" in CTES[n] and re.search(rf"\b{n}\b", CTES[n]) for n in order) else ""
-    return f"WITH {recursive}{parts}\n{body.strip()}"
+    return f"WITH {recursive}{parts}{more}\n{body}"
 
 
 def all_sql() -> dict[str, str]:

@@ -146,6 +146,11 @@ FROM (SELECT pa, pb, abs(a.t - b.t) <= 600000000 AS is_t, s.va IS NOT NULL AS is
   concat_ws(',', CASE WHEN bool_or(contains(reasons, 'account_creation_clustering')) THEN 'account_creation_clustering' END, CASE WHEN bool_or(contains(reasons, 'burst_timing')) THEN 'burst_timing' END,
    CASE WHEN bool_or(contains(reasons, 'text_similarity')) THEN 'text_similarity' END) AS reasons
  FROM flagged JOIN fl_comp ON u = post_a GROUP BY cluster) e USING (cluster)""",
+    "rest_posts": "SELECT post_id, vec_id FROM open_posts WHERE post_id NOT IN (SELECT post_id FROM attached)",
+    "rest_vecs": "SELECT DISTINCT vec_id, v FROM rest_posts JOIN emb USING (vec_id)",
+    "r_sym": f"SELECT a.vec_id AS u, b.vec_id AS v FROM rest_vecs a JOIN rest_vecs b ON a.vec_id <> b.vec_id WHERE {DOT.format(a='a', b='b')} >= 0.40",
+    "r_walk": "SELECT vec_id AS u, vec_id AS w FROM rest_vecs UNION SELECT s.u, x.w FROM r_walk x JOIN r_sym s ON s.v = x.u WHERE x.w < s.u",
+    "clusters": """SELECT post_id, cluster FROM (SELECT post_id, cluster, count(*) OVER (PARTITION BY cluster) AS n FROM rest_posts JOIN (SELECT u AS vec_id, min(w) AS cluster FROM r_walk GROUP BY 1) c USING (vec_id)) x WHERE n >= 2""",
     "rss_items": f"""SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS feed, CASE WHEN page_id % 4 = 0 THEN CAST(page_id AS VARCHAR) END AS id, CASE WHEN page_id % 4 = 1 THEN '' ELSE url END AS link,
  {strip(TITLE)} AS title, {strip('html')} AS summary, CASE WHEN page_id % 5 <> 0 THEN {AS_OF} - to_days(CAST(page_id % 100 AS INT)) END AS published FROM pages""",
     "batch_all": f"""SELECT post_id, created_at, CASE WHEN external_ref IS NOT NULL THEN 'doc:' || CAST(post_id % (SELECT count(*) FROM documents) - post_id % 2 AS VARCHAR) END AS external_ref FROM v_posts""",
@@ -208,6 +213,8 @@ FROM (SELECT claim_id, text, row_number() OVER (PARTITION BY claim_id ORDER BY c
     "l09_grounding_summary": """SELECT 'Known community fault lines:' || chr(10) || (SELECT string_agg('- ' || community_name || ': ' || grievance_theme, chr(10) ORDER BY fault_line_id) FROM (SELECT * FROM v_fault_lines ORDER BY fault_line_id LIMIT 5) x)
  || chr(10) || chr(10) || 'Active topics: ' || (SELECT string_agg(name, ', ' ORDER BY topic_id) FROM (SELECT * FROM v_topics ORDER BY topic_id LIMIT 10) y) AS block""",
     "c01_attach_to_claims": f"SELECT a.post_id, a.claim_id, round(a.sim, 6) AS similarity, {STANCE.format(c='d.text')} AS stance FROM attached a JOIN documents d USING (doc_id)",
+    "c02_cluster_posts": "SELECT post_id, cluster FROM clusters",
+    "c07_formation_summary": "SELECT (SELECT count(DISTINCT cluster) FROM clusters) AS claims_created, (SELECT count(DISTINCT claim_id) FROM attached) AS claims_updated, (SELECT count(*) FROM clusters) + (SELECT count(*) FROM attached) AS posts_clustered",
     "c03_build_claims": f"""SELECT claim_id AS cluster, substr(text, 1, 500) AS claim_statement, {TOPIC.format(c='text')} AS topic_label, 'unreviewed' AS status, vec_id, created_at AS first_caught_at, n AS post_count
 FROM (SELECT *, count(*) OVER (PARTITION BY claim_id) AS n, row_number() OVER (PARTITION BY claim_id ORDER BY created_at, post_id) AS r FROM v_posts WHERE claim_id IS NOT NULL) x JOIN documents USING (doc_id) WHERE r = 1""",
     "c04_assign_topics": """SELECT claim_id, topic_id, name AS topic_name, 'name' AS how FROM t_named
