@@ -53,8 +53,9 @@ def fuse_stacked(stacked: DataFrame, weights: dict[str, float], theta: float, mi
         F.count(F.when(F.col("score") > 0, 1)).alias("signal_count"),
     )
     total = reduce(lambda x, y: x + y, [F.lit(float(w)) * F.col(f) for f, w in weights.items()])
+    # nine digits first: sums of four-digit scores must not fall off a tie or the threshold by float noise
     return (
-        wide.withColumn("total", total)
+        wide.withColumn("total", F.round(total, 9))
         .filter((F.col("total") >= theta) & (F.col("strong") >= min_families))
         .select("claim_id", "a", "b", F.round("total", 4).alias("w_total"), *FAMILY_WEIGHTS, "signal_count")
     )

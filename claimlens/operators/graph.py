@@ -177,7 +177,7 @@ def retain(shape: DataFrame, min_size: int = 5, min_density: float = 0.30) -> Da
     return shape.filter((F.col("members") >= min_size) & (F.col("density") >= min_density))
 
 
-def eigenvector_centrality(edges: DataFrame, nodes: DataFrame, rounds: int = 60, every: int = 6, tol: float = 1e-7) -> DataFrame:
+def eigenvector_centrality(edges: DataFrame, nodes: DataFrame, rounds: int = 60, every: int = 6, tol: float = 2e-5) -> DataFrame:
     """(g, node, centrality) scaled so that the largest value of each graph is 1; isolated nodes get 0.
 
     Power iteration on A + s·I (s = largest weighted degree of the graph), which has the same leading

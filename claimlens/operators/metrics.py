@@ -171,7 +171,7 @@ def coordination_score(sy: DataFrame, du: DataFrame, co: DataFrame, pr: DataFram
     total = sum((F.lit(w) * F.col(c) for c, w in COMPOSITE.items()), F.lit(0.0))
     return j.select(
         "network_id", *[F.round(c, 2).alias(c) for c in COMPOSITE],
-        F.round(F.least(F.greatest(total, F.lit(0.0)), F.lit(100.0)), 2).alias("coordination_score"),
+        F.round(F.round(F.least(F.greatest(total, F.lit(0.0)), F.lit(100.0)), 9), 2).alias("coordination_score"),
         "posts_in_burst", "total_posts", "duplicated_posts", "in_window", "known", "active_hours")
 
 

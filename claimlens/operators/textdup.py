@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -70,15 +72,21 @@ def near_duplicate_texts(units: DataFrame, threshold: float = 0.80) -> DataFrame
     prefix = (
         tokens.join(df, "h").withColumn("pos", F.row_number().over(w))
         .filter((F.col("pos") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1) & (F.col("df") > 1))
+        .withColumn("size_class", F.floor(F.log(F.col("n")) / (math.log(1 / threshold) + 1e-9)))
     )
-    a = prefix.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    b = prefix.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    # the smaller set of a pair needs only its first n - ceil(2t/(1+t) n) + 1 shingles; sizes within the
+    # factor t lie in the same or the next size class, so the class is part of the join key
+    short = F.col("pos") <= F.col("n") - F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - 1e-9) + 1
+    a = prefix.filter(short).select(
+        "h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.explode(F.array("size_class", F.col("size_class") + 1)).alias("size_class"))
+    b = prefix.select("h", "size_class", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     need = F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     candidates = (
-        a.join(b, "h")
-        .filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9))
+        a.join(b, ["h", "size_class"])
+        .filter(ordered & (F.col("na") >= F.col("nb") * threshold - 1e-9))
         .filter(1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
-        .select("a", "b").distinct()
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
     sa = sets.select(F.col("id").alias("a"), F.col("sh").alias("sa"))
     sb = sets.select(F.col("id").alias("b"), F.col("sh").alias("sb"))

@@ -120,4 +120,4 @@ def run_ingest(posts: DataFrame, vectors: DataFrame, claims: DataFrame, threshol
     spark = posts.sparkSession
     out, state = new_path(spark, "ingest"), new_path(spark, "ingest-state")
     start(posts, ingest_to(out, vectors, claims, threshold), "append", state).awaitTermination()
-    return spark.read.schema(STORED).parquet(out)
+    return spark.read.schema(STORED).parquet(out).drop("batch")

@@ -124,7 +124,8 @@ FROM tw x JOIN tw y ON x.claim_id = y.claim_id AND x.target = y.target AND x.acc
     "five": "SELECT * FROM four UNION ALL SELECT * FROM w_meta WHERE score > 0",
     "wide": "SELECT claim_id, a, b, " + ", ".join(f"coalesce(max(score) FILTER (family = '{f}'), 0.0)::DOUBLE AS {f}" for f in FAMILIES)
     + ", count(*) FILTER (score >= 0.25) AS strong, count(*) FILTER (score > 0) AS signal_count FROM five GROUP BY ALL",
-    "fused": f"SELECT claim_id, a, b, round({' + '.join(f'{w} * {f}' for f, w in WEIGHTS.items())}, 4)::DOUBLE AS w_total, {', '.join(FAMILIES)}, signal_count FROM wide WHERE {' + '.join(f'{w} * {f}' for f, w in WEIGHTS.items())} >= 0.20 AND strong >= 2",
+    "wide9": f"SELECT *, CAST({' + '.join(f'{w} * {f}' for f, w in WEIGHTS.items())} AS DECIMAL(18,9)) AS total FROM wide",
+    "fused": f"SELECT claim_id, a, b, round(total, 4)::DOUBLE AS w_total, {', '.join(FAMILIES)}, signal_count FROM wide9 WHERE total >= 0.20 AND strong >= 2",
     **core_rounds(3, CORE_ROUNDS),
     "e_sym": "SELECT claim_id, a AS u, b AS v FROM fused UNION ALL SELECT claim_id, b, a FROM fused",
     "e_walk": "SELECT DISTINCT claim_id, u, u AS w FROM e_sym UNION SELECT s.claim_id, s.u, x.w FROM e_walk x JOIN e_sym s ON s.claim_id = x.claim_id AND s.v = x.u WHERE x.w < s.u",
@@ -170,7 +171,7 @@ FROM tpl t LEFT JOIN win36 USING (network_id) LEFT JOIN ageinv USING (network_id
     "au": f"""SELECT network_id, 100 * avg({MEAN('regularity', 'circadian', 'rate', 'reshare_ratio')}) AS au, any_value(h) AS active_hours FROM acts LEFT JOIN reg USING (network_id, account_id)
 JOIN (SELECT network_id, count(DISTINCT hour(created_at)) AS h FROM npost GROUP BY 1) t USING (network_id) GROUP BY 1""",
     "met": """SELECT s.network_id, round(sy, 2) AS sy, round(du, 2) AS du, round(100 * (1 - conductance), 2) AS co, round(pr, 2) AS pr, round(au, 2) AS au,
- round(least(greatest(0.25 * sy + 0.25 * du + 0.20 * (100 * (1 - conductance)) + 0.15 * pr + 0.15 * au, 0), 100), 2) AS coordination_score,
+ round(CAST(least(greatest(0.25 * sy + 0.25 * du + 0.20 * (100 * (1 - conductance)) + 0.15 * pr + 0.15 * au, 0), 100) AS DECIMAL(18,9)), 2)::DOUBLE AS coordination_score,
  posts_in_burst, s.total_posts, duplicated_posts, in_window, known, active_hours
 FROM sy s JOIN du USING (network_id) JOIN shape USING (network_id) JOIN pr USING (network_id) JOIN au USING (network_id)""",
     "breadth": "SELECT *, CAST((sy >= 50)::INT + (du >= 50)::INT + (co >= 50)::INT + (pr >= 50)::INT + (au >= 50)::INT AS INT) AS signal_breadth FROM met",
