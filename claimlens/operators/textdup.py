@@ -18,6 +18,7 @@ SHINGLE = 5
 def text_units(texts: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, norm, norm_length, text_id): equal normalised texts share the smallest key as text_id."""
     n = spread(texts.select(key, "text")).select(key, normalize_text(F.col("text")).alias("norm")).withColumn("digest", F.md5("norm"))
+    n = materialize(n, "normalized")  # the rules below run once, not once per use
     first = n.groupBy("digest").agg(F.min(key).alias("text_id"))
     return n.join(first, "digest").select(key, "norm", F.char_length("norm").alias("norm_length"), "text_id")
 
@@ -68,26 +69,32 @@ def near_duplicate_texts(units: DataFrame, threshold: float = 0.80) -> DataFrame
     sets = materialize(shingle_sets(firsts), "shingles")
     tokens = sets.select("id", "n", F.explode("sh").alias("h"))
     df = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    n = F.col("n")
+    long_end = n - F.ceil(n * threshold - 1e-9) + 1
+    short_end = n - F.ceil(n * (2 * threshold / (1 + threshold)) - 1e-9) + 1
+    place = F.struct("df", "h")
     w = Window.partitionBy("id").orderBy("df", "h")
+    whole = Window.partitionBy("id")
     prefix = (
-        tokens.join(df, "h").withColumn("pos", F.row_number().over(w))
-        .filter((F.col("pos") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1) & (F.col("df") > 1))
-        .withColumn("size_class", F.floor(F.log(F.col("n")) / (math.log(1 / threshold) + 1e-9)))
+        tokens.join(df, "h").withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= long_end)
+        .withColumn("long_last", F.max(place).over(whole))
+        .withColumn("short_last", F.max(F.when(F.col("pos") <= short_end, place)).over(whole))
+        .filter("df > 1")
+        .withColumn("size_class", F.floor(F.log(n) / (math.log(1 / threshold) + 1e-9)))
     )
-    # the smaller set of a pair needs only its first n - ceil(2t/(1+t) n) + 1 shingles; sizes within the
-    # factor t lie in the same or the next size class, so the class is part of the join key
-    short = F.col("pos") <= F.col("n") - F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - 1e-9) + 1
-    a = prefix.filter(short).select(
-        "h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.explode(F.array("size_class", F.col("size_class") + 1)).alias("size_class"))
-    b = prefix.select("h", "size_class", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    need = F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
+    # the smaller set of a pair needs only its short prefix; sizes within the factor t lie in the same or
+    # the next size class, so the class is part of the join key
+    a = prefix.filter(F.col("pos") <= short_end).select(
+        "h", F.col("id").alias("a"), n.alias("na"), (n - short_end).alias("ra"), F.col("short_last").alias("la"),
+        F.explode(F.array("size_class", F.col("size_class") + 1)).alias("size_class"))
+    b = prefix.select("h", "size_class", F.col("id").alias("b"), n.alias("nb"), (n - long_end).alias("rb"), F.col("long_last").alias("lb"))
     ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    candidates = (
-        a.join(b, ["h", "size_class"])
-        .filter(ordered & (F.col("na") >= F.col("nb") * threshold - 1e-9))
-        .filter(1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
+    shared = a.join(b, ["h", "size_class"]).filter(ordered & (F.col("na") >= F.col("nb") * threshold - 1e-9)).groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("na", "nb", "ra", "rb", "la", "lb")])
+    # common shingles up to the earlier prefix end are all counted; the others lie behind that end
+    bound = F.col("c") + F.when(F.col("la") < F.col("lb"), F.col("ra")).otherwise(F.col("rb"))
+    need = F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
+    candidates = shared.filter(bound >= need).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     sa = sets.select(F.col("id").alias("a"), F.col("sh").alias("sa"))
     sb = sets.select(F.col("id").alias("b"), F.col("sh").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
