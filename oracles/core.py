@@ -304,3 +304,23 @@ FROM blocks LEFT JOIN (SELECT policy_id, string_agg('- ' || claim_statement, chr
     "b03_risk_score": """SELECT least(round(0.5 * sum(posts) / (SELECT count(*) FROM v_posts) + 0.5 * max(coordination_score), 4), 1.0) AS risk_score,
  count(*) > 0 AND least(round(0.5 * sum(posts) / (SELECT count(*) FROM v_posts) + 0.5 * max(coordination_score), 4), 1.0) >= 0.5 AS likely_coordinated, count(*) AS clusters FROM pc""",
 }
+
+
+def _settings_sql():
+    """Stored text of the i-th key comes from the i-th nation; blank or absent text means the default."""
+    from claimlens.config import INTEGER_SETTINGS, SETTING_DEFAULTS
+
+    picks = []
+    for i, (key, default) in enumerate(SETTING_DEFAULTS.items()):
+        stored = f"(SELECT CASE WHEN n_regionkey = 0 THEN NULL ELSE n_nationkey % 8 + 0.75 END FROM nation WHERE n_nationkey = {i})"
+        value = f"CAST(coalesce({stored}, {default}) AS DOUBLE)"
+        if key in INTEGER_SETTINGS:
+            value = f"trunc({value})"
+        if key == "scoring.harm_weight_policy_disruption":
+            value = f"least({value}, 0.25)"
+        picks.append(f"{value} AS {key.replace('.', '_')}")
+    weights = " + ".join(k.replace(".", "_") for k in SETTING_DEFAULTS if k.startswith("scoring.weight_"))
+    return f"SELECT *, abs({weights} - 1) <= 1e-6 AS weights_sum_to_one FROM (SELECT {', '.join(picks)}) x"
+
+
+SQL["q20_load_config"] = _settings_sql()
