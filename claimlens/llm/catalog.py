@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, passages, simhash
+from . import bytes_dedup, exact_dedup, passages, simhash
 from .texts import table
 
 QUERIES = {}
@@ -35,3 +35,9 @@ def op9(spark, sf_dir):
 @query("op10_simhash_grid")
 def op10(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op7_column_suffixes")
+def op7(spark, sf_dir):
+    out = bytes_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
