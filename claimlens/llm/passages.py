@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from .texts import Words, covered, id_of, keyed, minimiser_places, numbers, partitions, run_hash, runs, slices, span_lists, texts_of, true_runs
 
 WINDOW = 20
-GRAM = 5
+GRAM = 3
 SPANS = "k bigint, th bigint, start int, n int"
 
 
@@ -71,10 +71,10 @@ def super_kmers(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: np
     reported at once (null blob), so copies in one slice leave it once. Windows of the minimisers in `hot` go by the
     hash of the whole window instead, which spreads what would meet in one bucket.
     """
-    groups = np.uint64(16 * partitions(docs.sparkSession))
+    groups = np.uint64(8 * partitions(docs.sparkSession))
 
     def run(batches):
-        for part in slices(batches):
+        for part in slices(batches, limit=8 << 20):
             k, th = numbers(part, "k"), numbers(part, "th")
             texts = texts_of(part)
             order = np.lexsort((th, k))  # earlier documents first
@@ -92,7 +92,7 @@ def super_kmers(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: np
             d = w.doc[at[s]]
             if len(s):
                 none = pa.nulls(len(s), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(g[place[at[s]]].view(np.int64) % np.int64(groups)).cast(pa.int32()), pa.nulls(len(s), pa.int32()), none, *_spans(k[d], th[d], local[s], e - s)], names=NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array((_mix(k[d].astype(np.uint64) + local[s].astype(np.uint64)) % groups).astype(np.int32)), pa.nulls(len(s), pa.int32()), none, *_spans(k[d], th[d], local[s], e - s)], names=NAMES)
             # what is left goes to its bucket
             keep = ~later
             own = g[place[at]]
@@ -114,7 +114,8 @@ def super_kmers(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: np
             for x, c in zip(gs.tolist(), gn.tolist()):
                 z = slice(x, x + c)
                 text = b"".join([mv[i:j] for i, j in zip(a[z].tolist(), b[z].tolist())])
-                head = np.array([c], np.int64).tobytes() + k[d[z]].astype(np.int64).tobytes() + th[d[z]].astype(np.int64).tobytes() + local[s[z]].astype(np.int32).tobytes() + n[z].astype(np.int32).tobytes()
+                step = np.diff(k[d[z]].astype(np.int64), prepend=np.int64(0))  # ids rise in a slice, so the steps pack well
+                head = np.array([c], np.int64).tobytes() + step.tobytes() + th[d[z]].astype(np.uint32).tobytes() + local[s[z]].astype(np.int32).tobytes() + n[z].astype(np.int32).tobytes()
                 raw = head + text
                 out_p.append(p[x])
                 out_size.append(len(raw))
@@ -155,9 +156,10 @@ def bucket_repeats(packed: DataFrame, window: int = WINDOW) -> DataFrame:
         for raw in blobs:
             c = int(np.frombuffer(raw, np.int64, 1)[0])
             pos = 8
-            for dtype, out in ((np.int64, k), (np.int64, th), (np.int32, start), (np.int32, n)):
+            for dtype, out in ((np.int64, k), (np.uint32, th), (np.int32, start), (np.int32, n)):
                 out.append(np.frombuffer(raw, dtype, c, pos))
                 pos += c * np.dtype(dtype).itemsize
+            k[-1] = np.cumsum(k[-1])
             texts.append(raw[pos:])
         k, th, start, n = (np.concatenate(x) for x in (k, th, start, n))
         w = Words(texts)

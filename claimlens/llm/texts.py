@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keyed(docs: DataFrame, *more: str, spread: bool = True) -> DataFrame:
-    """(k, th, text, *more): k is doc_id with null as the smallest value, th the text's hash, null text is empty.
+    """(k, th, text, *more): k is doc_id with null as the smallest value, th 32 bits of the text's hash, null text is empty.
 
     (k, th) names a row; rows that repeat an id with the same text are the same row to the joins below.
     A scan with fewer splits than cores is dealt out first; large tables keep their splits.
@@ -27,7 +27,7 @@ def keyed(docs: DataFrame, *more: str, spread: bool = True) -> DataFrame:
     df = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("k"), text.alias("text"), *more)
     if spread:
         df = dealt(df)
-    return df.select("k", F.xxhash64("text").alias("th"), "text", *more)
+    return df.select("k", F.pmod(F.xxhash64("text"), F.lit(2**32)).alias("th"), "text", *more)
 
 
 def dealt(df: DataFrame) -> DataFrame:
