@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bytes_dedup, exact_dedup, passages, simhash
+from . import bytes_dedup, decontaminate, exact_dedup, licenses, mixing, passages, pii, simhash, toxicity, urls
 from .texts import table
 
 QUERIES = {}
@@ -41,3 +41,40 @@ def op10(spark, sf_dir):
 def op7(spark, sf_dir):
     out = bytes_dedup.without_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op6_kneser_ney_toxicity")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op8_blockmax_leaks")
+def op8(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_weak_supervision_pii")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = pii.find_spans(docs, pii.train(docs))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return rows.select(
+        "doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
+        pii.joined(F.concat("base", "added")).alias("spans"),
+    )
+
+
+@query("op2_raked_mix", mixing.SQL)
+def op2(spark, sf_dir):
+    return mixing.weigh(table(spark, sf_dir, "documents"))
+
+
+@query("op4_licence_digests", licenses.SQL)
+def op4(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op5_link_trust")
+def op5(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"))

@@ -65,11 +65,11 @@ def exact_groups(docs: DataFrame, salts: int = SALTS, head: int = 48) -> DataFra
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_groups drops; of a row given twice, id and text alike, one stays."""
     cols = docs.columns
-    marks = exact_groups(docs).filter("kept").select(_key("doc_id").alias("_k"), F.col("text_sha256").alias("_digest"))
-    rows = docs.withColumns({"_k": _key("doc_id"), "_digest": F.sha2(squeezed(F.coalesce(F.col("text").cast("string"), F.lit(""))), 256)})
-    stay = rows.join(marks, ["_k", "_digest"], "left_semi")
-    first = F.row_number().over(Window.partitionBy("_k", "_digest").orderBy(F.char_length("text").desc()))
-    return stay.withColumn("_rn", first).filter("_rn = 1").select(*cols)
+    marks = exact_groups(docs).filter("kept").select(_key("doc_id").alias("__k"), F.col("text_sha256").alias("__digest"))
+    rows = docs.withColumns({"__k": _key("doc_id"), "__digest": F.sha2(squeezed(F.coalesce(F.col("text").cast("string"), F.lit(""))), 256)})
+    stay = rows.join(marks, ["__k", "__digest"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("__k", "__digest").orderBy(F.char_length("text").desc()))
+    return stay.withColumn("__rn", first).filter("__rn = 1").select(*cols)
 
 
 SQL = r"""

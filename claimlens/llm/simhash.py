@@ -213,7 +213,7 @@ def near_groups(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame
 def keep_one(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
     """docs with one row of each near-duplicate group, the one with the smallest doc_id."""
     cols = docs.columns
-    stay = _labelled(docs, width, distance).select(F.col("first.k").alias("_k"), F.col("first.th").alias("_th")).distinct()
-    rows = docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), "_th": F.pmod(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(2**32))})
-    first = F.row_number().over(Window.partitionBy("_k", "_th").orderBy(F.lit(1)))
-    return rows.join(stay, ["_k", "_th"], "left_semi").withColumn("_rn", first).filter("_rn = 1").select(*cols)
+    stay = _labelled(docs, width, distance).select(F.col("first.k").alias("__k"), F.col("first.th").alias("__th")).distinct()
+    rows = docs.withColumns({"__k": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), "__th": F.pmod(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(2**32))})
+    first = F.row_number().over(Window.partitionBy("__k", "__th").orderBy(F.lit(1)))
+    return rows.join(stay, ["__k", "__th"], "left_semi").withColumn("__rn", first).filter("__rn = 1").select(*cols)
