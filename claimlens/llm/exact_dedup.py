@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..operators.lineage import materialize
 from .texts import NO_ID, WS, partitions
 
 SALTS = 64
@@ -49,6 +50,7 @@ def exact_groups(docs: DataFrame, salts: int = SALTS, head: int = 48) -> DataFra
         F.struct(F.first("size").over(w.orderBy(*order)).alias("size"), F.first("id").over(w.orderBy(*order)).alias("id")).alias("top"),
         F.count(F.lit(1)).over(w).alias("n"),
     ).select("id", "salt", "rn", "top", "n", F.sha2("norm", 256).alias("digest"))
+    local = materialize(local, "sorted")  # short rows; texts are read, dealt and sorted once
     runs = local.filter("rn = 1").select("digest", "salt", "top", "n")
     best = runs.groupBy("digest").agg(
         F.sum("n").alias("group_size"),
