@@ -20,20 +20,25 @@ SHARD_ITEMS, SHARD_BYTES = 20_000, 64 << 20
 
 @dataclass
 class Index:
-    """Inverted index of test items. Impacts are BM25 parts over the item's own score, so a copy of an item scores 1."""
+    """Inverted index of test items. Impacts are BM25 parts over the item's own score, so a copy of an item scores 1.
+
+    Common terms are not essential: no item gets more than half the threshold from all of its own together, so an item
+    over the threshold is found by its other terms alone. `rest` bounds the common part for each block of items.
+    """
 
     vocabulary: dict[bytes, int]
     start: np.ndarray  # postings of term t are start[t]:start[t + 1], items ascending
     items: np.ndarray
     impact: np.ndarray
-    best: np.ndarray  # largest impact of each term
-    block_best: dict[int, np.ndarray]  # of each block of BLOCK items: largest impact of each term
+    essential: np.ndarray  # of each term
+    rest: np.ndarray  # of each block of BLOCK items
     ids: list[int]
     words: list[list[bytes]]
+    own: list[tuple[np.ndarray, np.ndarray]]  # terms and impacts of each item
     half: int  # words in half a passage; a passage holds any item of up to this many words
 
 
-def build_index(rows: list[tuple[int, str]]) -> Index:
+def build_index(rows: list[tuple[int, str]], least: float = 0.5) -> Index:
     words = [(t or "").encode().translate(PLAIN).split() for _, t in rows]
     vocabulary: dict[bytes, int] = {}
     for w in chain.from_iterable(words):
@@ -54,31 +59,45 @@ def build_index(rows: list[tuple[int, str]]) -> Index:
     by = np.lexsort((item, term))
     term, item, weight = term[by], item[by], weight[by]
     start = np.searchsorted(term, np.arange(len(vocabulary) + 1))
-    best = np.zeros(len(vocabulary))
-    np.maximum.at(best, term, weight)
-    block_best = {}
-    for b in range((n + BLOCK - 1) // BLOCK):
-        m = np.zeros(len(vocabulary))
-        z = item // BLOCK == b
-        np.maximum.at(m, term[z], weight[z])
-        block_best[b] = m
+    essential = np.ones(len(vocabulary), bool)
+    common = np.zeros(n)
+    for t in np.argsort(-df, kind="stable").tolist():  # commonest first, until an item would depend on them
+        z = slice(start[t], start[t + 1])
+        if (common[item[z]] + weight[z] > least / 2).any():
+            break
+        common[item[z]] += weight[z]
+        essential[t] = False
+    rest = np.array([common[b: b + BLOCK].max() for b in range(0, n, BLOCK)])
+    by_item = np.lexsort((term, item))
+    cut = np.searchsorted(item[by_item], np.arange(n + 1))
+    own_terms = [(term[by_item[a:b]], weight[by_item[a:b]]) for a, b in zip(cut[:-1], cut[1:])]
     half = max(64, max(map(len, words), default=0))
-    return Index(vocabulary, start, item, weight, best, block_best, [i for i, _ in rows], words, half)
+    return Index(vocabulary, start, item, weight, essential, rest, [i for i, _ in rows], words, own_terms, half)
 
 
-def _search(index: Index, terms: np.ndarray, least: float) -> list[tuple[int, float]]:
-    """Items scoring `least` or more: whole blocks whose bound is lower are skipped, the rest is scored in full."""
-    out = []
-    alive = [b for b, m in index.block_best.items() if m[terms].sum() >= least - 1e-9]
-    if not alive:
-        return out
-    z = np.concatenate([np.arange(index.start[t], index.start[t + 1]) for t in terms])
-    items, impact = index.items[z], index.impact[z]
-    for b in alive:
-        here = items // BLOCK == b
-        score = np.bincount(items[here] - b * BLOCK, weights=impact[here], minlength=BLOCK)
-        out += [(b * BLOCK + int(i), float(score[i])) for i in np.flatnonzero(score >= least - 1e-9)]
-    return out
+def _candidates(index: Index, at: np.ndarray, term: np.ndarray, last: np.ndarray, least: float):
+    """(half, item) pairs whose bound over the passage of that half and the next reaches `least`.
+
+    at, term: the distinct terms of each half. The postings of the essential terms are summed for each passage and
+    item; with the block's bound for the rest they bound the score from above.
+    """
+    z = index.essential[term]
+    at, term = at[z], term[z]
+    size = index.start[term + 1] - index.start[term]
+    post = np.repeat(index.start[term] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+    half, item, impact = np.repeat(at, size), index.items[post], index.impact[post]
+    back = (half > 0) & ~last[half - 1]  # the passage that begins one half before
+    n = np.int64(len(index.ids))
+    key = np.concatenate((half * n + item, (half[back] - 1) * n + item[back]))
+    impact = np.concatenate((impact, impact[back]))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    if not len(first):
+        return first, first
+    bound = np.add.reduceat(impact[order], first) + index.rest[(key[first] % n) // BLOCK]
+    hit = key[first][bound >= least - 1e-9]
+    return hit // n, hit % n
 
 
 def _shingles(words: list[bytes]) -> list[tuple]:
@@ -103,7 +122,7 @@ def overlap(passage: list[bytes], words: list[bytes]) -> tuple[float, float, flo
 
 
 def _scan(docs: DataFrame, index: Index, least: float, similarity: float) -> DataFrame:
-    vocabulary, half, best = index.vocabulary, index.half, index.best
+    vocabulary, half = index.vocabulary, index.half
 
     def run(batches):
         get = vocabulary.get
@@ -120,30 +139,26 @@ def _scan(docs: DataFrame, index: Index, least: float, similarity: float) -> Dat
             known = ids >= 0
             pair = np.unique(block[known] * np.int64(len(vocabulary) + 1) + ids[known])
             at, term = pair // (len(vocabulary) + 1), pair % (len(vocabulary) + 1)
-            bound = np.bincount(at, weights=best[term], minlength=first[-1] + 1)
-            both = bound[:-1] + bound[1:]  # half h and its successor; the last half of a text stands alone
             owner = np.repeat(np.arange(len(words)), halves)
-            last = np.zeros(first[-1], bool)
+            last = np.zeros(first[-1], bool)  # the last half of a text
             last[first[1:] - 1] = True
-            both = np.where(last, bound[:-1], both)
             found = {}
-            for h in np.flatnonzero(both >= least - 1e-9).tolist():
+            for h, i in zip(*(x.tolist() for x in _candidates(index, at, term, last, least))):
                 d = int(owner[h])
                 if last[h] and h != first[d]:
                     continue  # the passage before it holds it
                 a, b = np.searchsorted(at, [h, h + 1 if last[h] else h + 2])
-                terms = np.unique(term[a:b])
-                if best[terms].sum() < least - 1e-9:
+                terms, weights = index.own[i]
+                score = float(weights[np.isin(terms, term[a:b])].sum())
+                if score < least - 1e-9:
                     continue
                 s = (h - first[d]) * half
-                passage = words[d][s: s + 2 * half]
-                for i, score in _search(index, terms, least):
-                    whole, question, answer = overlap(passage, index.words[i])
-                    if whole >= similarity and question >= 0.5 and answer >= 0.5:
-                        key = (int(k[d]), index.ids[i])
-                        row = (round(whole, 6), round(score, 6), -int(s), round(question, 6), round(answer, 6))
-                        if row > found.get(key, ()):
-                            found[key] = row
+                whole, question, answer = overlap(words[d][s: s + 2 * half], index.words[i])
+                if whole >= similarity and question >= 0.5 and answer >= 0.5:
+                    key = (int(k[d]), index.ids[i])
+                    row = (round(whole, 6), round(score, 6), -int(s), round(question, 6), round(answer, 6))
+                    if row > found.get(key, ()):
+                        found[key] = row
             if found:
                 rows = [(*key, -v[2], v[1], v[0], v[3], v[4]) for key, v in found.items()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * 4))], names=["k", "item_id", "word_start", "score", "overlap", "question_overlap", "answer_overlap"])
@@ -170,7 +185,7 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = 0.5, similarity: flo
     out = None
     for s in range(shards):
         part = known.filter(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == s).orderBy("i", "t").toArrow().to_pydict()
-        found = _scan(rows, build_index(list(zip(part["i"], part["t"]))), least, similarity)
+        found = _scan(rows, build_index(list(zip(part["i"], part["t"])), least), least, similarity)
         out = found if out is None else out.unionByName(found)
     order = [F.desc("overlap"), F.desc("score"), "word_start"]
     best = out.withColumn("rn", F.row_number().over(Window.partitionBy("k", "item_id").orderBy(*order))).filter("rn = 1")
