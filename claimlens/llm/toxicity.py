@@ -27,9 +27,9 @@ def fold(column: str = "doc_id"):
 
 
 def _grams(texts: list[bytes]):
-    """(words of each text, document, word hash, bigram key or 0, hash of the word before that) of every word.
+    """(words of each text, document, word hash, bigram key, hash of the word before that) of every word.
 
-    Hashes have 32 bits.
+    Hashes have 32 bits; a bigram key is the word's hash and then that of the word before it, 0 at the start of a text.
     """
     parts = [t.translate(PLAIN).split() for t in texts]
     count = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -37,10 +37,10 @@ def _grams(texts: list[bytes]):
     w = np.fromiter((h32(x) for p in parts for x in p), np.uint64, int(count.sum()))
     doc = np.repeat(np.arange(len(parts)), count)
     before = np.roll(w, 1)
-    key = (before << np.uint64(32)) | w
+    left = np.roll(before, 1)
     if len(w):
-        key[np.concatenate(([True], doc[1:] != doc[:-1]))] = 0
-    return count, doc, w, key, np.roll(before, 1)
+        before[np.concatenate(([True], doc[1:] != doc[:-1]))] = 0
+    return count, doc, w, (w << np.uint64(32)) | before, left
 
 
 def _labelled_bits(labels: DataFrame) -> np.ndarray:
@@ -70,23 +70,31 @@ def labelled(docs: DataFrame, labels: DataFrame, folds: tuple[int, ...]) -> Data
                 yield part.select(["doc_id", "text"]).filter(pa.array(ok))
 
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return rows.mapInArrow(run, "doc_id bigint, text string").join(marks, "doc_id").select("text", "toxic")
+    # labels grow with the documents, so they are never sent to every task: one plan at every size
+    return rows.mapInArrow(run, "doc_id bigint, text string").join(marks.hint("merge"), "doc_id").select("text", "toxic")
+
+
+def _word(key: str):
+    return F.shiftrightunsigned(key, 32)
+
+
+def _before(key: str):
+    return F.col(key).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def class_counts(rows: DataFrame) -> DataFrame:
     """(kind, key, ct, co, nt, no): counts over all labelled texts, toxic and ordinary.
 
     kind 2: a bigram; c is how often it occurs, n how many of 64 classes of words stand before it. kind 1: a word; c is how often it occurs and n how many different words
-    it follows (its continuation count). kind 0: a word as context; n is how many different words follow it.
+    it follows (its continuation count).
     """
 
     def run(batches):
-        for part in slices(batches, limit=8 << 20):
+        for part in slices(batches):
             toxic = numbers(part, "toxic") > 0
             _, doc, w, key, left = _grams(texts_of(part))
             if not len(w):
                 continue
-            key = np.where(key == 0, w, key)  # the first word of a text follows no word
             order = np.argsort(key, kind="stable")
             s, n = runs(key[order])
             is_t = toxic[doc[order]]
@@ -95,21 +103,42 @@ def class_counts(rows: DataFrame) -> DataFrame:
             bt, bo = (np.bitwise_or.reduceat(np.where(x, bit, np.uint64(0)), s).view(np.int64) for x in (is_t, ~is_t))
             yield pa.RecordBatch.from_arrays([pa.array(key[order][s].view(np.int64)), pa.array(t), pa.array(n - t), pa.array(bt), pa.array(bo)], names=["key", "t", "o", "bt", "bo"])
 
-    pairs = rows.mapInArrow(run, "key bigint, t bigint, o bigint, bt bigint, bo bigint").groupBy("key").agg(
+    # dealt out by the second word, so its rows meet in few tasks. The commonest word has some 3 % of all rows: it and
+    # the others are split further, by the first word, as soon as a task's share is less than that
+    n = partitions(rows.sparkSession)
+    raw = rows.mapInArrow(run, "key bigint, t bigint, o bigint, bt bigint, bo bigint")
+    cell = F.pmod(F.xxhash64(_word("key"), F.pmod(F.xxhash64(_before("key")), F.lit(max(1, n // 32)))), F.lit(4 * n)).cast("int")
+    pairs = raw.withColumn("cell", cell).repartition(n, "cell").groupBy("cell", "key").agg(
         F.sum("t").alias("t"), F.sum("o").alias("o"), F.bit_count(F.bit_or("bt")).alias("bt"), F.bit_count(F.bit_or("bo")).alias("bo"))
-    low = F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))
-    high = F.shiftrightunsigned("key", 32)
     row = lambda kind, key, t, o, nt, no: F.struct(F.lit(kind).alias("kind"), key.alias("key"), t.alias("ct"), o.alias("co"), nt.cast("bigint").alias("nt"), no.cast("bigint").alias("no"))
     t, o = F.col("t"), F.col("o")
     each = F.array(
-        row(2, F.when((F.col("bt") + F.col("bo") >= 3) & (high != 0), F.col("key")), t, o, F.col("bt"), F.col("bo")),
-        row(1, low, t, o, t > 0, o > 0),
-        row(0, F.when(high != 0, high), t, o, t > 0, o > 0),
+        row(2, F.when((F.col("bt") + F.col("bo") >= 3) & (_before("key") != 0), F.col("key")), t, o, F.col("bt"), F.col("bo")),
+        row(1, _word("key"), t, o, t > 0, o > 0),
     )
     flat = pairs.select(F.explode(each).alias("r")).select("r.*").filter("key IS NOT NULL")
     return flat.groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in ("ct", "co", "nt", "no")])
 
 
+def followers(rows: DataFrame, contexts: np.ndarray) -> DataFrame:
+    """(h, tt, to): how many different words follow each of some words (sorted hashes) in toxic and ordinary texts."""
+
+    def run(batches):
+        for part in slices(batches):
+            toxic = numbers(part, "toxic") > 0
+            _, doc, _, key, _ = _grams(texts_of(part))
+            h = key & np.uint64(0xFFFFFFFF)
+            ok = (h != 0) & np.isin(h, contexts)
+            for side in (toxic[doc] & ok, ~toxic[doc] & ok):
+                seen = np.unique(key[side]).view(np.int64)
+                t = bool(toxic[doc[side]].any()) if side.any() else False
+                yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(np.full(len(seen), t))], names=["key", "t"])
+
+    seen = rows.mapInArrow(run, "key bigint, t boolean").distinct()
+    count = lambda c: F.sum(c.cast("bigint"))
+    return seen.groupBy(_before("key").alias("h")).agg(count(F.col("t")).alias("tt"), count(~F.col("t")).alias("to"))
+
+
 @dataclass
 class Model:
     """Log-likelihood ratios of words and bigrams, sorted by key, and the calibration of a text's score."""
@@ -121,7 +150,7 @@ class Model:
     weights: list[float] = field(default_factory=lambda: [-2.0, 0.5, 0.5])
 
 
-def fit_ratios(counts: DataFrame, least: int = 4, z: float = 5.0, most: int = 200_000) -> Model:
+def fit_ratios(counts: DataFrame, rows: DataFrame, least: int = 4, z: float = 5.0, most: int = 200_000) -> Model:
     """Interpolated Kneser-Ney ratios log P(w | h, toxic) - log P(w | h, ordinary), kept where the evidence is firm.
 
     P(w | class) = max(c_class(w) - D, 0) / c_class + backoff * shared(w), with shared(w) from the continuation counts
@@ -159,10 +188,14 @@ def fit_ratios(counts: DataFrame, least: int = 4, z: float = 5.0, most: int = 20
     two = total.get(2)
     if two is None or not two["nt"] or not two["no"]:
         return Model(*_sides(words), none, none.astype(float))
-    b = firm(two).select("key", "ct", "co", F.shiftrightunsigned("key", 32).alias("h"), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("w"))
-    ctx = counts.filter("kind = 0").select(F.col("key").alias("h"), F.col("ct").alias("ht"), F.col("co").alias("ho"), F.col("nt").alias("tt"), F.col("no").alias("to"))
+    b = firm(two).select("key", "ct", "co", _before("key").alias("h"), _word("key").alias("w"))
+    b = materialize(b, "bigrams")
+    heads = np.unique(b.select("h").toArrow().column(0).to_numpy()).view(np.uint64)
+    ctx = counts.filter("kind = 1").select(F.col("key").alias("h"), F.col("ct").alias("ht"), F.col("co").alias("ho")).join(F.broadcast(followers(rows, heads)), "h")
     low = counts.filter("kind = 1").select(F.col("key").alias("w"), F.col("ct").alias("wt"), F.col("co").alias("wo"), "nt", "no")
-    b = b.join(ctx, "h").join(low, "w")
+    # the few entries that stay (`most` at the utmost) go to the counts, not the counts to them
+    b = low.join(F.broadcast(b), "w")
+    b = b.join(F.broadcast(ctx), "h")
     pt, po = word("wt", "wo", "nt", "no")
     side = lambda c, h, types, p: F.when(F.col(h) > 0, F.greatest(F.col(c) - D, F.lit(0.0)) / F.col(h) + D * F.col(types) / F.col(h) * p).otherwise(p)
     pairs = b.select("key", (F.log(side("ct", "ht", "tt", pt)) - F.log(side("co", "ho", "to", po))).alias("llr")).filter(F.abs("llr") >= 1).toArrow()
@@ -234,8 +267,9 @@ def calibrate(scored: DataFrame) -> list[float]:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Counts from folds 0 and 1, calibration from fold 3; every labelled row of these folds counts."""
-    counts = materialize(class_counts(labelled(docs, labels, (0, 1))), "ngrams")
-    model = fit_ratios(counts)
+    rows = materialize(labelled(docs, labels, (0, 1)), "labelled")
+    counts = materialize(class_counts(rows), "ngrams")
+    model = fit_ratios(counts, rows)
     held = labelled(docs, labels, (3,))
     model.weights = calibrate(with_ratio(held, model))
     return model
