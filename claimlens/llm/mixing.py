@@ -21,8 +21,8 @@ class Mix:
     lang: float = 0.7
     topic: float = 0.6
     share: float = 0.5  # expected tokens of the sample over all tokens
-    rounds: int = 20
-    scaling: int = 12  # rounds that bring the expected tokens to `share` where probabilities reach 1
+    rounds: int = 8
+    scaling: int = 8  # rounds that bring the expected tokens to `share` where probabilities reach 1
 
 
 def topic_of(text, topics=TOPICS):
@@ -54,19 +54,18 @@ def rake(rows: DataFrame, mix: Mix) -> DataFrame:
     mass starts as the cell's tokens; each step scales it so that one marginal meets its targets, in turn. Cells are
     few next to documents; every round is partial sums over them and is written to the shared folder now and then.
     """
-    cells = materialize(rows.groupBy(*MARGINALS).agg(F.sum("tokens").cast("double").alias("tokens")), "cells")
-    total = cells.agg(F.sum("tokens")).first()[0] or 0.0
-    targets = {}
+    cur = materialize(rows.groupBy(*MARGINALS).agg(F.sum("tokens").cast("double").alias("tokens")), "cells")
+    total = cur.agg(F.sum("tokens")).first()[0] or 0.0
     for m in MARGINALS:
-        t = cells.groupBy(m).agg(F.pow(F.sum("tokens"), F.lit(float(getattr(mix, m)))).alias("p"))
+        t = cur.groupBy(m).agg(F.pow(F.sum("tokens"), F.lit(float(getattr(mix, m)))).alias("p"))
         all_p = t.agg(F.sum("p")).first()[0] or 1.0
-        targets[m] = materialize(t.select(m, (F.col("p") / F.lit(all_p) * F.lit(total)).alias("target")), "target")
-    cur = cells.withColumn("mass", F.col("tokens"))
-    for r in range(mix.rounds):
+        cur = cur.join(t.select(m, (F.col("p") / F.lit(all_p) * F.lit(total)).alias(f"to_{m}")), m)
+    cur = materialize(cur.withColumn("mass", F.col("tokens")), "targets")
+    names = cur.columns
+    for _ in range(mix.rounds):
         for m in MARGINALS:
             now = cur.groupBy(m).agg(F.sum("mass").alias("now"))
-            factor = targets[m].join(now, m).select(m, (F.col("target") / F.col("now")).alias("factor"))
-            cur = cur.join(factor, m).select(*MARGINALS, "tokens", (F.col("mass") * F.col("factor")).alias("mass"))
+            cur = cur.join(now, m).withColumn("mass", F.col("mass") * F.col(f"to_{m}") / F.col("now")).select(*names)
         cur = materialize(cur, "raked")
     scale = mix.share
     wanted = mix.share * total
