@@ -127,7 +127,7 @@ class DetectorParameters:
     high_breadth_cutoff: int = 3
     medium_score_cutoff: float = 55.0
     medium_breadth_cutoff: int = 2
-    candidate_cap: int | None = 5000
+    candidate_cap: int | None = None
     recurrence_threshold: float = 0.50
     cadence_hours: int = 24
     velocity_trigger_threshold: float = 70.0

@@ -52,7 +52,7 @@ def build_claims(clusters: DataFrame, posts: DataFrame, texts: DataFrame) -> Dat
         F.min_by(F.struct("doc_id", "vec_id"), F.struct("created_at", "post_id")).alias("lead"))
     lead = facts.select("cluster", "first_caught_at", "post_count", "lead.doc_id", "lead.vec_id")
     return lead.join(texts.select("doc_id", "text"), "doc_id").select(
-        "cluster", F.left("text", F.lit(500)).alias("claim_statement"), T.topic(F.col("text")).alias("topic_label"),
+        "cluster", F.col("text").alias("claim_statement"), T.topic(F.col("text")).alias("topic_label"),
         F.lit("unreviewed").alias("status"), "vec_id", "first_caught_at", "post_count")
 
 

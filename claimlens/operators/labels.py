@@ -33,11 +33,11 @@ def text_vectors(texts: DataFrame, key: str, dim: int = 384) -> DataFrame:
 
 
 def cluster_statements(posts: DataFrame, cluster: str) -> DataFrame:
-    """Earliest text cut to 500 characters, the default label, and a sample of the ten earliest texts."""
+    """Earliest text, the default label, and a sample of the ten earliest texts."""
     w = Window.partitionBy(cluster).orderBy("created_at", "post_id")
     first = posts.withColumn("rk", F.row_number().over(w)).filter("rk <= 10")
     return first.groupBy(cluster).agg(
-        F.min_by(F.left("text", F.lit(500)), "rk").alias("statement"),
+        F.min_by("text", "rk").alias("statement"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rk", "text"))), lambda x: x["text"]), "\n").alias("sample"),
     ).withColumn("topic_label", F.lit(T.DEFAULT_TOPIC))
 

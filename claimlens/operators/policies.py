@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .vectors import best_match, top_k
 
 
-def policy_text(policies: DataFrame, limit: int = 4000) -> DataFrame:
-    """Title, description and the first characters of the document, as embedded for matching."""
-    parts = F.concat_ws("\n", "title", F.coalesce("description", F.lit("")), F.left(F.coalesce("document_text", F.lit("")), F.lit(limit)))
+def policy_text(policies: DataFrame) -> DataFrame:
+    """Title, description and whole document, as embedded for matching."""
+    parts = F.concat_ws("\n", "title", F.coalesce("description", F.lit("")), F.coalesce("document_text", F.lit("")))
     return policies.select("policy_id", F.regexp_replace(parts, r"^\s+|\s+$", "").alias("policy_text"))
 
 

@@ -26,7 +26,7 @@ def candidate_posts(posts: DataFrame, claims: DataFrame, start: str, end: str) -
     return kept.join(claims.filter("claim_type = 'existing'").select("claim_id"), "claim_id", "left_semi")
 
 
-def select_candidates(posts: DataFrame, exclusions: DataFrame | None = None, cap: int | None = 5000) -> DataFrame:
+def select_candidates(posts: DataFrame, exclusions: DataFrame | None = None, cap: int | None = None) -> DataFrame:
     """(claim_id, account_id, n_posts, candidates, truncated): accounts in scope per claim.
 
     The cap is a run parameter of the operator (the most active accounts are examined, and the run

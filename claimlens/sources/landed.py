@@ -18,7 +18,6 @@ FORECAST = (
 )
 REVIEWS = "array<struct<claimReview: array<struct<textualRating: string>>>>"
 FORECAST_ENTRIES = 8
-CONTENT_LIMIT = 4000
 
 
 def read_feed_xml(spark: SparkSession, path: str, feed: str) -> DataFrame:
@@ -58,10 +57,10 @@ def comment_candidates(threads: DataFrame, as_of: str) -> DataFrame:
         F.coalesce(F.col(top + "likeCount"), F.lit(0)).cast("double").alias("popularity_score"))
 
 
-def message_candidates(messages: DataFrame, as_of: str, window_hours: float = 6.0, per_channel: int = 200) -> DataFrame:
-    """Channel messages (channel, id, date, text, views, forwards): newest per channel, then window and non-empty text."""
+def message_candidates(messages: DataFrame, as_of: str, window_hours: float = 6.0, per_channel: int | None = None) -> DataFrame:
+    """Channel messages (channel, id, date, text, views, forwards) of the window with text; per_channel keeps the newest only."""
     since = F.lit(as_of).cast("timestamp") - F.expr(f"make_dt_interval(0, 0, 0, {window_hours * 3600:.6f})")
-    newest = newest_per_channel(messages, "channel", "date", "id", per_channel)
+    newest = messages if per_channel is None else newest_per_channel(messages, "channel", "date", "id", per_channel)
     return newest.filter((F.col("date") >= since) & (F.coalesce("text", F.lit("")) != "")).select(
         "text", F.lit("social").alias("source"), F.col("channel").alias("author_id"), F.lit(None).cast("string").alias("location"),
         F.concat_ws(":", F.lit("telegram"), "channel", F.col("id").cast("string")).alias("external_ref"), F.col("date").alias("created_at"),
@@ -73,9 +72,9 @@ def debunk_corpus(items: DataFrame, stored_urls: DataFrame) -> DataFrame:
     claim = F.trim(F.regexp_replace(F.trim("title"), T.HOAX_PREFIX, ""))
     link = F.trim(F.coalesce("link", F.lit("")))
     kept = items.filter(F.trim("title").rlike(T.HOAX_PREFIX)).select(
-        claim.alias("claim"), link.alias("source_url"), F.left(T.strip_html(F.coalesce("description", F.lit("")), entities=True), F.lit(CONTENT_LIMIT)).alias("d"))
+        claim.alias("claim"), link.alias("source_url"), T.strip_html(F.coalesce("description", F.lit("")), entities=True).alias("d"))
     fresh = kept.join(stored_urls.select("source_url").distinct(), "source_url", "left_anti")
-    return fresh.select(F.left("claim", F.lit(255)).alias("title"), F.coalesce(F.nullif("d", F.lit("")), "claim").alias("content"), F.nullif("source_url", F.lit("")).alias("source_url"))
+    return fresh.select(F.col("claim").alias("title"), F.coalesce(F.nullif("d", F.lit("")), "claim").alias("content"), F.nullif("source_url", F.lit("")).alias("source_url"))
 
 
 def hazard_lines(forecasts: DataFrame, key: str) -> DataFrame:

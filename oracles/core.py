@@ -176,9 +176,9 @@ FROM conversations WHERE trim(text, ' ') <> ''""",
     "s04_message_candidates": f"""SELECT text, channel AS author_id, 'telegram:' || channel || ':' || CAST(event_id AS VARCHAR) AS external_ref, ts AS created_at,
  CAST(floor(value) + coalesce(CASE WHEN event_id % 3 = 0 THEN user_id END, 0) * 5 AS DOUBLE) AS popularity_score
 FROM (SELECT *, event_type AS channel, CASE WHEN contains(props, '5') THEN '' ELSE props END AS text, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) x
-WHERE r <= 200 AND ts >= {AS_OF} - INTERVAL 120 HOUR AND text <> ''""",
-    "s05_debunk_corpus": f"""SELECT substr(claim, 1, 255) AS title, url AS source_url, md5(coalesce(nullif(d, ''), claim)) AS content_md5, CAST(length(coalesce(nullif(d, ''), claim)) AS INT) AS length FROM (
- SELECT trim({TITLE}) AS claim, trim(url) AS url, substr({decoded("CASE WHEN page_id % 8 <> 4 THEN html ELSE '' END")}, 1, 4000) AS d FROM pages WHERE page_id % 4 IN (0, 1)) x
+WHERE ts >= {AS_OF} - INTERVAL 120 HOUR AND text <> ''""",
+    "s05_debunk_corpus": f"""SELECT claim AS title, url AS source_url, md5(coalesce(nullif(d, ''), claim)) AS content_md5, CAST(length(coalesce(nullif(d, ''), claim)) AS INT) AS length FROM (
+ SELECT trim({TITLE}) AS claim, trim(url) AS url, {decoded("CASE WHEN page_id % 8 <> 4 THEN html ELSE '' END")} AS d FROM pages WHERE page_id % 4 IN (0, 1)) x
 WHERE url NOT IN (SELECT url FROM pages WHERE contains(url, '/fr/'))""",
     "s06_strip_html": f"""SELECT page_id, md5({strip('html')}) AS plain_md5, CAST(length({strip('html')}) AS INT) AS plain_length, md5({decoded('html')}) AS decoded_md5, CAST(length({decoded('html')}) AS INT) AS decoded_length FROM pages""",
     "s07_hazard_lines": """SELECT user_id, '- [BMKG] ' || CASE WHEN user_id % 4 <> 0 THEN 'k' || CAST(user_id AS VARCHAR) ELSE '?' END || ', Kota: ' ||
@@ -205,7 +205,7 @@ FROM (SELECT *, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N
     "l04_topic_label": f"SELECT doc_id, {TOPIC.format(c='text')} AS topic_label FROM documents",
     "l05_sentiment_share": """SELECT date_trunc('day', created_at)::TIMESTAMP AS period, count(*) AS posts, round(count(*) FILTER (sentiment = 'negative') / count(*), 4) AS negative_share,
  round(count(*) FILTER (sentiment = 'positive') / count(*), 4) AS positive_share, round(count(*) FILTER (sentiment = 'neutral') / count(*), 4) AS neutral_share FROM v_posts GROUP BY 1""",
-    "l07_cluster_statement": """SELECT claim_id, substr(min_by(text, r), 1, 500) AS statement, md5(string_agg(text, chr(10) ORDER BY r)) AS sample_md5, 'General' AS topic_label
+    "l07_cluster_statement": """SELECT claim_id, min_by(text, r) AS statement, md5(string_agg(text, chr(10) ORDER BY r)) AS sample_md5, 'General' AS topic_label
 FROM (SELECT claim_id, text, row_number() OVER (PARTITION BY claim_id ORDER BY created_at, post_id) AS r FROM v_posts JOIN documents USING (doc_id) WHERE claim_id IS NOT NULL) x WHERE r <= 10 GROUP BY claim_id""",
     "l08_cap_segments": """SELECT claim_id, segment_name, position, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY position, segment_name) - 1 AS rank FROM (
  SELECT l_orderkey AS claim_id, l_returnflag || l_linestatus AS segment_name, min(l_linenumber) AS position FROM lineitem GROUP BY 1, 2) x) y WHERE rank < 3""",
@@ -215,7 +215,7 @@ FROM (SELECT claim_id, text, row_number() OVER (PARTITION BY claim_id ORDER BY c
     "c01_attach_to_claims": f"SELECT a.post_id, a.claim_id, round(a.sim, 6) AS similarity, {STANCE.format(c='d.text')} AS stance FROM attached a JOIN documents d USING (doc_id)",
     "c02_cluster_posts": "SELECT post_id, cluster FROM clusters",
     "c07_formation_summary": "SELECT (SELECT count(DISTINCT cluster) FROM clusters) AS claims_created, (SELECT count(DISTINCT claim_id) FROM attached) AS claims_updated, (SELECT count(*) FROM clusters) + (SELECT count(*) FROM attached) AS posts_clustered",
-    "c03_build_claims": f"""SELECT claim_id AS cluster, substr(text, 1, 500) AS claim_statement, {TOPIC.format(c='text')} AS topic_label, 'unreviewed' AS status, vec_id, created_at AS first_caught_at, n AS post_count
+    "c03_build_claims": f"""SELECT claim_id AS cluster, text AS claim_statement, {TOPIC.format(c='text')} AS topic_label, 'unreviewed' AS status, vec_id, created_at AS first_caught_at, n AS post_count
 FROM (SELECT *, count(*) OVER (PARTITION BY claim_id) AS n, row_number() OVER (PARTITION BY claim_id ORDER BY created_at, post_id) AS r FROM v_posts WHERE claim_id IS NOT NULL) x JOIN documents USING (doc_id) WHERE r = 1""",
     "c04_assign_topics": """SELECT claim_id, topic_id, name AS topic_name, 'name' AS how FROM t_named
 UNION ALL SELECT claim_id, b.topic_id, t.name, 'centroid' FROM t_best b JOIN v_topics t USING (topic_id)
@@ -287,7 +287,7 @@ WHERE title ILIKE '%widget%' AND year(rolled_out_date) IN (1995, 1996, 1997, 202
     "d13_topic_list": "SELECT topic_id, name FROM v_topics ORDER BY name, topic_id",
     "d13_fault_line_list": "SELECT fault_line_id, community_name, grievance_theme, description FROM v_fault_lines ORDER BY community_name, fault_line_id",
     "p01_policy_text": r"""SELECT policy_id, md5(t) AS text_md5, CAST(length(t) AS INT) AS length FROM (
- SELECT policy_id, regexp_replace(title || chr(10) || coalesce(description, '') || chr(10) || substr(coalesce(document_text, ''), 1, 4000), '^\s+|\s+$', '', 'g') AS t FROM v_policies) x""",
+ SELECT policy_id, regexp_replace(title || chr(10) || coalesce(description, '') || chr(10) || coalesce(document_text, ''), '^\s+|\s+$', '', 'g') AS t FROM v_policies) x""",
     "p02_match_candidates": "SELECT policy_id, claim_id, round(sim, 6) AS similarity FROM pol_best",
     "p03_confirm_matches": "SELECT policy_id, claim_id FROM confirmed",
     "p04_policy_links": """SELECT policy_id, claim_id, 'kept' AS origin FROM v_policy_links WHERE policy_id NOT IN (SELECT policy_id FROM rerun)
