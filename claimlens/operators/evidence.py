@@ -149,11 +149,13 @@ def comparison_accounts(candidates: DataFrame, members: DataFrame, totals: DataF
     """Per network, candidates of its claim that are in no network, by volume, as many as it has members."""
     free = candidates.select("claim_id", "account_id").join(members.select("claim_id", "account_id").distinct(), ["claim_id", "account_id"], "left_anti")
     ranked = free.join(totals, "account_id", "left").withColumn("total_posts", F.coalesce("total_posts", F.lit(0).cast("bigint")))
-    w = Window.partitionBy("claim_id").orderBy(F.col("total_posts").desc(), F.col("account_id"))
-    ranked = ranked.withColumn("rank", F.row_number().over(w))
     size = members.groupBy("network_id", "claim_id").agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("cap"))
     largest = size.groupBy("claim_id").agg(F.max("cap").alias("largest"))
-    short = ranked.join(largest, "claim_id").filter("rank <= largest")
+    # the first `largest` of a claim are among the first `largest` of its parts, so no task sorts a whole claim
+    order = [F.col("total_posts").desc(), F.col("account_id")]
+    parts = ranked.join(largest, "claim_id").withColumn("part", F.pmod(F.xxhash64("account_id"), F.lit(64)))
+    parts = parts.withColumn("rank", F.row_number().over(Window.partitionBy("claim_id", "part").orderBy(*order))).filter("rank <= largest")
+    short = parts.withColumn("rank", F.row_number().over(Window.partitionBy("claim_id").orderBy(*order))).filter("rank <= largest").drop("part")
     return short.join(size, "claim_id").filter("rank <= cap").select("network_id", "account_id", "total_posts", "rank")
 
 
@@ -170,3 +172,14 @@ def run_summary(run_claims: DataFrame, claims: DataFrame, candidates: DataFrame,
 def purge_evidence(table: DataFrame, network_ids: DataFrame) -> DataFrame:
     """An evidence table without the rows of the named networks; the network table itself is kept by the caller."""
     return table.join(network_ids.select("network_id").distinct(), "network_id", "left_anti")
+
+
+def purge_all(tables: dict[str, DataFrame], network_ids: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The evidence tables after a purge, by name, and (table_name, purged, kept): how many rows of each table went and stayed."""
+    named = network_ids.select("network_id").distinct()
+    marks = None
+    for name, table in tables.items():
+        gone = table.select("network_id").join(named.withColumn("gone", F.lit(1)), "network_id", "left")
+        row = gone.agg(F.lit(name).alias("table_name"), F.count("gone").alias("purged"), (F.count(F.lit(1)) - F.count("gone")).alias("kept"))
+        marks = row if marks is None else marks.unionByName(row)
+    return {name: purge_evidence(table, named) for name, table in tables.items()}, marks

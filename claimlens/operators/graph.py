@@ -6,6 +6,8 @@ folder, so plans stay short and a lost executor costs one round at most.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .lineage import materialize
@@ -65,13 +67,13 @@ def k_core(edges: DataFrame, k: int = 3) -> DataFrame:
 
 
 def _local_moving(sym: DataFrame, strength: DataFrame, total: DataFrame, resolution: float, rounds: int) -> DataFrame:
-    """(g, u, c) after rounds of moving nodes to the neighbouring label with the best quality gain.
+    """(g, u, c) after moving nodes to the neighbouring label with the best quality gain until none gains.
 
     sym (g, u, v, w) has both directions and may hold self-loops (u = v, counted twice in strength).
-    Only nodes of one hash parity move in a round, so two neighbours never swap labels forever.
+    A share of the nodes, drawn by hash anew in each round and smaller in later ones, moves at a time, so neighbours do
+    not swap labels forever. Labels that don't settle within `rounds` are an error.
     """
     labels = strength.select("g", "u", F.col("u").alias("c"))
-    idle = 0
     for r in range(rounds):
         size = strength.join(labels, ["g", "u"]).groupBy("g", "c").agg(F.sum("s").alias("cs"))
         near = (
@@ -90,21 +92,19 @@ def _local_moving(sym: DataFrame, strength: DataFrame, total: DataFrame, resolut
             F.first("own").alias("own"),
             F.min(F.struct((-F.col("gain")).alias("ng"), "c")).alias("top"),
         )
-        parity = F.pmod(F.xxhash64("u"), F.lit(2)) == r % 2
-        moves = parity & (-F.col("top.ng") > F.col("stay") + EPS)
-        step = materialize(best.select("g", "u", F.when(moves, F.col("top.c")).otherwise(F.col("own")).alias("c"), moves.alias("moved")), "labels")
-        moved = step.filter("moved").limit(1).count()
+        drawn = F.pmod(F.xxhash64("u", F.lit(r)), F.lit(2 + r // 8)) == 0
+        gains = -F.col("top.ng") > F.col("stay") + EPS
+        step = materialize(best.select("g", "u", F.when(drawn & gains, F.col("top.c")).otherwise(F.col("own")).alias("c"), gains.alias("gains")), "labels")
         labels = step.select("g", "u", "c")
-        idle = 0 if moved else idle + 1
-        if idle == 2:
-            break
-    return labels
+        if step.filter("gains").isEmpty():
+            return labels
+    raise RuntimeError("communities did not settle")
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, levels: int = 4, rounds: int = 12) -> DataFrame:
+def communities(edges: DataFrame, resolution: float = 1.0, levels: int = 60, rounds: int = 200) -> DataFrame:
     """(g, node, community) from weighted edges (g, a, b, w): configuration-model quality, multi-level.
 
-    Labels are split into connected parts at the end, so no community is internally disconnected.
+    Levels and rounds are safety bounds: a search that needs more raises instead of returning an unsettled partition. Labels are split into connected parts at the end, so no community is internally disconnected.
     """
     base = materialize(edges.select("g", "a", "b", F.col("w").cast("double").alias("w")), "graph")
     sym = both_ways(base, "w")
@@ -125,6 +125,8 @@ def communities(edges: DataFrame, resolution: float = 1.0, levels: int = 4, roun
         sym = materialize(
             sym.join(to.withColumnRenamed("name", "cu"), ["g", "u"]).join(to.select("g", F.col("u").alias("v"), F.col("name").alias("cv")), ["g", "v"])
             .groupBy("g", F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")), "coarse")
+    else:
+        raise RuntimeError("communities did not settle")
     a = member.select("g", F.col("node").alias("a"), F.col("c").alias("ca"))
     b = member.select("g", F.col("node").alias("b"), F.col("c").alias("cb"))
     inner = base.join(a, ["g", "a"]).join(b, ["g", "b"]).filter("ca = cb")
@@ -177,28 +179,56 @@ def retain(shape: DataFrame, min_size: int = 5, min_density: float = 0.30) -> Da
     return shape.filter((F.col("members") >= min_size) & (F.col("density") >= min_density))
 
 
-def eigenvector_centrality(edges: DataFrame, nodes: DataFrame, rounds: int = 60, every: int = 6, tol: float = 2e-5) -> DataFrame:
-    """(g, node, centrality) scaled so that the largest value of each graph is 1; isolated nodes get 0.
+SMALL_GRAPH_NODES = 2_000  # such a graph is one dense matrix of 32 MB at the utmost
 
-    Power iteration on A + s·I (s = largest weighted degree of the graph), which has the same leading
-    vector and also settles on two-sided graphs.
-    """
-    sym = materialize(both_ways(edges, "w"), "adjacency")
+
+def _leading_vectors(sym: DataFrame) -> DataFrame:
+    """(g, u, x) of small graphs, each solved whole: the all-ones vector laid onto the leading eigenvectors."""
+    kinds = {f.name: f.dataType.simpleString() for f in sym.schema.fields}
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, u = np.unique(pdf["u"].to_numpy(), return_inverse=True)
+        m = np.zeros((len(names), len(names)))
+        np.add.at(m, (u, np.searchsorted(names, pdf["v"].to_numpy())), pdf["w"].to_numpy())
+        values, vectors = np.linalg.eigh(m)
+        top = vectors[:, values >= values[-1] - 1e-9 * max(1.0, abs(values[-1]))]
+        x = np.abs(top @ top.sum(axis=0))
+        return pd.DataFrame({"g": pdf["g"].iloc[0], "u": names, "x": x / x.max()})
+
+    return sym.groupBy("g").applyInPandas(solve, f"g {kinds['g']}, u {kinds['u']}, x double")
+
+
+def _power_iteration(sym: DataFrame, rounds: int, every: int, tol: float) -> DataFrame:
+    """(g, u, x) by power iteration on A + s·I (s = a quarter of the largest weighted degree of the graph), which has
+    the same leading vector and also settles on two-sided graphs. Values that don't settle within `rounds` are an error."""
     degree = sym.groupBy("g", "u").agg(F.sum("w").alias("d"))
     shift = degree.groupBy("g").agg(F.max("d").alias("shift"))
     base = materialize(degree.join(shift, "g").select("g", "u", (F.col("shift") / 4).alias("shift")), "nodes")
     x = base.select("g", "u", "shift", F.lit(1.0).alias("x"))
-    done = 0
-    while done < rounds:
+    for _ in range(0, rounds, every):
         before = x
         for _ in range(every):
             pulled = sym.join(x.select("g", F.col("u").alias("v"), "x"), ["g", "v"]).groupBy("g", "u").agg(F.sum(F.col("w") * F.col("x")).alias("p"))
             x = x.join(pulled, ["g", "u"]).select("g", "u", "shift", (F.col("x") * F.col("shift") + F.col("p")).alias("x"))
         top = x.groupBy("g").agg(F.max("x").alias("top"))
         x = materialize(x.join(top, "g").select("g", "u", "shift", (F.col("x") / F.col("top")).alias("x")), "power")
-        done += every
         gap = x.join(before.select("g", "u", F.col("x").alias("y")), ["g", "u"]).agg(F.max(F.abs(F.col("x") - F.col("y")))).first()[0]
         if gap is None or gap < tol:
-            break
+            return x.select("g", "u", "x")
+    raise RuntimeError("centrality did not settle")
+
+
+def eigenvector_centrality(edges: DataFrame, nodes: DataFrame, rounds: int = 600, every: int = 6, tol: float = 2e-5,
+                           small: int = SMALL_GRAPH_NODES) -> DataFrame:
+    """(g, node, centrality) scaled so that the largest value of each graph is 1; isolated nodes get 0.
+
+    Graphs of up to `small` nodes are solved in one task each, larger ones by rounds over all their edges.
+    """
+    sym = materialize(both_ways(edges, "w"), "adjacency")
+    size = materialize(sym.groupBy("g", "u").agg(F.lit(1)).groupBy("g").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    x = _leading_vectors(sym.join(size.filter(F.col("n") <= small).select("g"), "g", "left_semi"))
+    large = size.filter(F.col("n") > small).select("g")
+    if not large.isEmpty():
+        x = x.unionByName(_power_iteration(materialize(sym.join(large, "g", "left_semi"), "large"), rounds, every, tol))
     return nodes.select("g", "node").join(x.select("g", F.col("u").alias("node"), F.col("x").alias("c")), ["g", "node"], "left").select(
         "g", "node", F.round(F.coalesce("c", F.lit(0.0)), 4).alias("centrality"))

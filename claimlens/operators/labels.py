@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as T
+from .ranks import chunked_rank
 
 
 def label_posts(texts: DataFrame, key: str, lexicon=()) -> DataFrame:
@@ -23,30 +22,46 @@ def sentiment_share(posts: DataFrame, period: str = "day") -> DataFrame:
         F.count(F.lit(1)).alias("posts"), share("negative"), share("positive"), share("neutral"))
 
 
+def term_weights(texts: DataFrame, key: str, dim: int = 384) -> DataFrame:
+    """(key, pos, x): hashed TF-IDF of each text, scaled to length 1; places without a term are left out.
+
+    A term goes to the place named by the first 32 bits of its MD5; the weight is tf * ln((N + 1) / (df + 1)).
+    """
+    words = texts.select(key, F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("w")).filter("w <> ''")
+    place = F.pmod(F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
+    tf = words.groupBy(key, place.alias("pos")).agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("pos").agg(F.count(F.lit(1)).alias("df"))  # at most `dim` rows
+    n = texts.agg(F.count(F.lit(1)).alias("n"))  # one row
+    weight = F.col("tf") * F.log((F.col("n") + 1) / (F.col("df") + 1))
+    rows = tf.join(F.broadcast(df), "pos").crossJoin(F.broadcast(n)).select(key, "pos", weight.alias("x"))
+    norm = rows.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    return rows.join(norm, key).select(key, "pos", F.when(F.col("norm") > 0, F.col("x") / F.col("norm")).otherwise(0.0).alias("x"))
+
+
 def text_vectors(texts: DataFrame, key: str, dim: int = 384) -> DataFrame:
-    """Hashed TF-IDF vectors of length 1, one per text."""
-    words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[^\p{L}\p{N}]+").transform(texts.select(key, "text"))
-    counts = HashingTF(numFeatures=dim, inputCol="words", outputCol="counts").transform(words)
-    weighted = IDF(inputCol="counts", outputCol="weighted").fit(counts).transform(counts)
-    unit = Normalizer(inputCol="weighted", outputCol="unit").transform(weighted)
-    return unit.select(key, vector_to_array("unit").alias("embedding"))
+    """(key, embedding): the same weights as whole vectors, one for each text; a text without words is the zero vector."""
+    found = term_weights(texts, key, dim).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("pos", "x"))).alias("m"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return texts.select(key).join(found, key, "left").select(key, at.alias("embedding"))
 
 
 def cluster_statements(posts: DataFrame, cluster: str) -> DataFrame:
-    """Earliest text, the default label, and a sample of the ten earliest texts."""
-    w = Window.partitionBy(cluster).orderBy("created_at", "post_id")
-    first = posts.withColumn("rk", F.row_number().over(w)).filter("rk <= 10")
-    return first.groupBy(cluster).agg(
-        F.min_by("text", "rk").alias("statement"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rk", "text"))), lambda x: x["text"]), "\n").alias("sample"),
-    ).withColumn("topic_label", F.lit(T.DEFAULT_TOPIC))
+    """Earliest text of each cluster and the default label."""
+    return posts.groupBy(cluster).agg(F.min_by("text", F.struct("created_at", "post_id")).alias("statement")).withColumn("topic_label", F.lit(T.DEFAULT_TOPIC))
+
 
+def cluster_texts(posts: DataFrame, cluster: str) -> DataFrame:
+    """(cluster, position, post_id, text): all texts of a cluster from the earliest on; a caller who wants a sample filters on position."""
+    ranked = chunked_rank(posts.select(cluster, "created_at", "post_id", "text"), [cluster], ["created_at", "post_id"], F.to_date("created_at"))
+    return ranked.select(cluster, F.col("rn").alias("position"), "post_id", "text")
 
-def cap_segments(segments: DataFrame, maximum: int = 3) -> DataFrame:
-    """Per claim: repeated names dropped (first kept), the first `maximum` kept, ranked from 0."""
+
+def cap_segments(segments: DataFrame, maximum: int | None = None) -> DataFrame:
+    """Per claim: repeated names dropped (first kept), ranked from 0; with `maximum`, only so many are kept."""
     firsts = segments.groupBy("claim_id", "segment_name").agg(F.min("position").alias("position"))
     w = Window.partitionBy("claim_id").orderBy("position", "segment_name")
-    return firsts.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < maximum)
+    ranked = firsts.withColumn("rank", F.row_number().over(w) - 1)
+    return ranked if maximum is None else ranked.filter(F.col("rank") < maximum)
 
 
 def grounding_block(rows: DataFrame, key: str, order: str, note: str | None = None) -> DataFrame:
@@ -61,15 +76,20 @@ def grounding_block(rows: DataFrame, key: str, order: str, note: str | None = No
     return block
 
 
-def grounding_summary(fault_lines: DataFrame, topics: DataFrame, max_lines: int = 5, max_topics: int = 10) -> DataFrame:
-    """The short overview block: up to five fault lines and ten topics (both top-k by id)."""
-    l = fault_lines.orderBy("fault_line_id").limit(max_lines).select(
-        F.lit(1).alias("part"), F.col("fault_line_id").cast("bigint").alias("o"), F.concat(F.lit("- "), "community_name", F.lit(": "), "grievance_theme").alias("line"))
-    t = topics.orderBy("topic_id").limit(max_topics).select(F.lit(2).alias("part"), F.col("topic_id").cast("bigint").alias("o"), F.col("name").alias("line"))
+def grounding_summary(fault_lines: DataFrame, topics: DataFrame) -> DataFrame:
+    """(part, id, line): a line for every fault line (part 1) and topic (part 2)."""
+    l = fault_lines.select(F.lit(1).alias("part"), F.col("fault_line_id").cast("bigint").alias("id"), F.concat(F.lit("- "), "community_name", F.lit(": "), "grievance_theme").alias("line"))
+    return l.unionByName(topics.select(F.lit(2).alias("part"), F.col("topic_id").cast("bigint").alias("id"), F.col("name").alias("line")))
+
+
+def summary_block(rows: DataFrame, max_lines: int, max_topics: int) -> DataFrame:
+    """The overview as one text, of the first lines by id that the caller asks for."""
+    few = rows.filter("part = 1").orderBy("id").limit(max_lines).unionByName(rows.filter("part = 2").orderBy("id").limit(max_topics))
+
     def joined(part, sep):
-        mine = F.filter(F.sort_array(F.collect_list(F.struct("part", "o", "line"))), lambda x: x["part"] == part)
+        mine = F.filter(F.sort_array(F.collect_list(F.struct("part", "id", "line"))), lambda x: x["part"] == part)
         return F.array_join(F.transform(mine, lambda x: x["line"]), sep)
 
-    return l.unionByName(t).agg(joined(1, "\n").alias("l"), joined(2, ", ").alias("t")).select(
+    return few.agg(joined(1, "\n").alias("l"), joined(2, ", ").alias("t")).select(
         F.concat_ws("\n\n", F.when(F.col("l") != "", F.concat(F.lit("Known community fault lines:\n"), "l")),
                     F.when(F.col("t") != "", F.concat(F.lit("Active topics: "), "t"))).alias("block"))

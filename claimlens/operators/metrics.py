@@ -71,8 +71,13 @@ def _member_accounts(members: DataFrame, accounts: DataFrame) -> DataFrame:
 def tightest_window(members: DataFrame, accounts: DataFrame, hours: float = 36) -> DataFrame:
     """Largest share of known creation times inside one window; NULL under two of them."""
     t = _member_accounts(members, accounts).filter("created_at_platform IS NOT NULL").withColumn("t", F.unix_micros("created_at_platform"))
-    w = Window.partitionBy("network_id").orderBy("t").rangeBetween(0, int(hours * 3600 * 1_000_000))
-    return t.withColumn("inside", F.count(F.lit(1)).over(w)).groupBy("network_id").agg(
+    # time is cut into pieces as wide as the window; a member also stands in the piece before its own, where it only counts
+    width = int(hours * 3600 * 1_000_000)
+    piece = F.floor(F.col("t") / width)
+    places = F.array(F.struct(piece.alias("piece"), F.lit(True).alias("own")), F.struct((piece - 1).alias("piece"), F.lit(False).alias("own")))
+    t = t.select("network_id", "t", F.explode(places).alias("p")).select("network_id", "t", "p.*")
+    w = Window.partitionBy("network_id", "piece").orderBy("t").rangeBetween(0, width)
+    return t.withColumn("inside", F.count(F.lit(1)).over(w)).filter("own").groupBy("network_id").agg(
         F.max("inside").alias("in_window"), F.count(F.lit(1)).alias("known")).withColumn(
         "window_share", F.when(F.col("known") >= 2, F.col("in_window") / F.col("known")))
 

@@ -13,8 +13,8 @@ def policy_text(policies: DataFrame) -> DataFrame:
     return policies.select("policy_id", F.regexp_replace(parts, r"^\s+|\s+$", "").alias("policy_text"))
 
 
-def match_candidates(policies: DataFrame, claims: DataFrame, k: int = 20, threshold: float = 0.35) -> DataFrame:
-    """The k most similar existing claims of each policy, then those at or above the threshold."""
+def match_candidates(policies: DataFrame, claims: DataFrame, k: int | None = None, threshold: float = 0.35) -> DataFrame:
+    """Existing claims at or above the threshold for each policy; with k, the k most similar of them."""
     existing = claims.filter("claim_type = 'existing'").select("claim_id", "embedding")
     return top_k(policies.select("policy_id", "embedding"), "policy_id", existing, "claim_id", k, threshold)
 
@@ -70,15 +70,14 @@ def nearest_policy(claims: DataFrame, policies: DataFrame) -> DataFrame:
 
 
 def retrieve_fault_lines(queries: DataFrame, key: str, fault_lines: DataFrame, k: int = 3) -> DataFrame:
-
-
+    """(key, fault_line_id, similarity, rank): the k nearest fault lines of each query."""
     found = top_k(queries, key, fault_lines, "fault_line_id", k)
     w = Window.partitionBy(key).orderBy(F.col("similarity").desc(), F.col("fault_line_id"))
     return found.withColumn("rank", F.row_number().over(w))
 
 
 def uncovered_context(blocks: DataFrame, key: str, covered: DataFrame) -> DataFrame:
-    """Grounding block plus the statements already matched (few per policy: the match cap bounds them)."""
+    """Grounding block plus the statements already matched, all of them: one text per policy is what is asked for."""
     listed = covered.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("claim_id", "claim_statement"))), lambda x: F.concat(F.lit("- "), x["claim_statement"])), "\n").alias("listed"))
     head = "\n\nClaims already matched to this policy (predict something NOT already covered by these):\n"
     return blocks.join(listed, key, "left").select(key, F.concat("block", F.coalesce(F.concat(F.lit(head), "listed"), F.lit(""))).alias("context"))

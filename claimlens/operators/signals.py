@@ -26,6 +26,13 @@ def candidate_posts(posts: DataFrame, claims: DataFrame, start: str, end: str) -
     return kept.join(claims.filter("claim_type = 'existing'").select("claim_id"), "claim_id", "left_semi")
 
 
+def listed_accounts(listed: DataFrame, accounts: DataFrame) -> DataFrame:
+    """(account_id) named by a list (entry) of account ids and handles; a handle names every account that has it."""
+    entry = listed.select("entry").distinct()
+    by_handle = accounts.select("account_id", F.col("handle").alias("entry")).join(entry, "entry", "left_semi").select("account_id")
+    return entry.select(F.col("entry").alias("account_id")).unionByName(by_handle).distinct()
+
+
 def select_candidates(posts: DataFrame, exclusions: DataFrame | None = None, cap: int | None = None) -> DataFrame:
     """(claim_id, account_id, n_posts, candidates, truncated): accounts in scope per claim.
 

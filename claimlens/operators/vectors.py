@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SMALL_SIDE_ROWS = 20_000  # at 384 doubles per row about 60 MB
+SMALL_SIDE_BYTES = 64 << 20  # of the matrix sent to every task: rows x dimension x 8
 BLOCK_ROWS = 2_048
 DIGITS = 9  # similarities are compared after rounding, so that ties go to the smaller id everywhere
 
@@ -81,15 +81,31 @@ def _emit(left_ids, best_s, best_i, right_ids, threshold, names) -> pd.DataFrame
     })
 
 
-def top_k(left: DataFrame, left_id: str, right: DataFrame, right_id: str, k: int = 1,
-          threshold: float = -2.0, vector: str = "embedding", small_side_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
-    """(left_id, right_id, similarity) of the k most similar right rows at or above the threshold."""
+def _matches(left_ids, left, right_ids, right, k, threshold, names) -> pd.DataFrame:
+    """The k best right rows of each left row, or all at or above the threshold if k is None."""
+    if k is not None:
+        s, i = _best(left, right, k)
+        return _emit(left_ids, s, i, right_ids, threshold, names)
+    parts = []
+    for start in range(0, right.shape[0], BLOCK_ROWS):
+        sims = np.round(left @ right[start:start + BLOCK_ROWS].T, DIGITS)
+        i, j = np.nonzero(sims >= threshold)
+        parts.append(pd.DataFrame({names[0]: np.asarray(left_ids)[i], names[1]: np.asarray(right_ids)[start + j], "similarity": sims[i, j]}))
+    return pd.concat(parts)
+
+
+def top_k(left: DataFrame, left_id: str, right: DataFrame, right_id: str, k: int | None = 1,
+          threshold: float = -2.0, vector: str = "embedding", small_side_rows: int | None = None) -> DataFrame:
+    """(left_id, right_id, similarity) of the k most similar right rows at or above the threshold; k None: all of them."""
     spark = left.sparkSession
     l = left.filter(F.col(vector).isNotNull()).select(left_id, F.col(vector).alias("v"))
     r = right.filter(F.col(vector).isNotNull()).select(right_id, F.col(vector).alias("v"))
     types = {f.name: f.dataType.simpleString() for f in l.schema.fields + r.schema.fields}
     schema = f"{left_id} {types[left_id]}, {right_id} {types[right_id]}, similarity double"
     names = (left_id, right_id)
+    if small_side_rows is None:
+        one = r.select(F.size("v").alias("d")).first()
+        small_side_rows = max(1, SMALL_SIDE_BYTES // (8 * max(1, one["d"]))) if one else 1
     head = r.limit(small_side_rows + 1).toPandas()  # size check and transfer in one job
     if len(head) <= small_side_rows:
         if not len(head):
@@ -102,8 +118,7 @@ def top_k(left: DataFrame, left_id: str, right: DataFrame, right_id: str, k: int
             for pdf in batches:
                 for start in range(0, len(pdf), BLOCK_ROWS):
                     part = pdf.iloc[start:start + BLOCK_ROWS]
-                    s, i = _best(_matrix(part["v"]), matrix, k)
-                    yield _emit(part[left_id].to_numpy(), s, i, ids, threshold, names)
+                    yield _matches(part[left_id].to_numpy(), _matrix(part["v"]), ids, matrix, k, threshold, names)
 
         return l.mapInPandas(scan, schema)
 
@@ -121,11 +136,12 @@ def top_k(left: DataFrame, left_id: str, right: DataFrame, right_id: str, k: int
         out = []
         for start in range(0, len(lp), BLOCK_ROWS):
             part = lp.iloc[start:start + BLOCK_ROWS]
-            s, i = _best(_matrix(part["v"]), matrix, k)
-            out.append(_emit(part[left_id].to_numpy(), s, i, ids, threshold, names))
+            out.append(_matches(part[left_id].to_numpy(), _matrix(part["v"]), ids, matrix, k, threshold, names))
         return pd.concat(out)
 
     found = lc.groupBy("block", "chunk").cogroup(rb.groupBy("block", "chunk")).applyInPandas(join_blocks, schema)
+    if k is None:
+        return found
     w = Window.partitionBy(left_id).orderBy(F.col("similarity").desc(), F.col(right_id))
     return found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
 

@@ -48,7 +48,10 @@ class Run:
         return self._once("cand", lambda: N.candidate_posts(self.m.posts, self.m.claims, START, AS_OF))
 
     def exclusions(self):
-        return self.m.customer.filter("c_acctbal < -500").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("account_id"))
+        """Accounts listed by id, and all that share the handle of a few others."""
+        named = lambda rule: self.m.customer.filter(rule).select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("entry"))
+        handles = self.m.accounts.join(named("c_acctbal > 9990").withColumnRenamed("entry", "account_id"), "account_id", "left_semi").select(F.col("handle").alias("entry"))
+        return N.listed_accounts(named("c_acctbal < -500").unionByName(handles), self.m.accounts)
 
     def candidates(self):
         return self._once("candidates", lambda: N.select_candidates(self.cand(), self.exclusions(), P.candidate_cap))
@@ -476,6 +479,14 @@ def _(r):
     return V.purge_evidence(V.burst_timeline(r.net_posts(), 86400), named)
 
 
+@run_query("v14_purge_counts")
+def _(r):
+    """Rows of the five evidence tables that a purge of the small networks takes and leaves."""
+    named = r.members().groupBy("network_id").agg(F.count(F.lit(1)).alias("n")).filter("n < 3").select("network_id")
+    tables = {"posts": r.net_posts(), "bursts": V.burst_timeline(r.net_posts(), 86400), "edges": V.edge_snapshot(r.edges(), r.members()), "accounts": r.members(), "terms": V.top_terms(r.net_posts(), r.m.documents)}
+    return V.purge_all(tables, named)[1]
+
+
 # --- sinks and streams ----------------------------------------------------------------------------
 
 

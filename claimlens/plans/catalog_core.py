@@ -227,20 +227,20 @@ def _(m):
 @query("l06_text_vectors")
 def _(m):
     v = L.text_vectors(m.documents, "doc_id", 256)
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
-    return v.select("doc_id", F.size("embedding").alias("dim"), F.round(norm, 6).alias("norm"))
+    return v.select("doc_id", F.posexplode("embedding").alias("pos", "x")).filter("x <> 0").select("doc_id", "pos", F.round("x", 6).alias("x"))
 
 
 @query("l07_cluster_statement")
 def _(m):
     p = m.posts.filter("claim_id IS NOT NULL").select("claim_id", "post_id", "doc_id", "created_at").join(m.documents.select("doc_id", "text"), "doc_id")
-    return L.cluster_statements(p, "claim_id").select("claim_id", "statement", F.md5("sample").alias("sample_md5"), "topic_label")
+    first = L.cluster_statements(p, "claim_id").select("claim_id", F.md5("statement").alias("statement_md5"), "topic_label")
+    return L.cluster_texts(p, "claim_id").select("claim_id", "position", "post_id", F.md5("text").alias("text_md5")).join(first, "claim_id")
 
 
 @query("l08_cap_segments")
 def _(m):
     segments = m.lineitem.select(F.col("l_orderkey").alias("claim_id"), F.concat("l_returnflag", "l_linestatus").alias("segment_name"), F.col("l_linenumber").alias("position"))
-    return L.cap_segments(segments, 3)
+    return L.cap_segments(segments)
 
 
 def _retrieved(m):
@@ -533,7 +533,7 @@ def policies_v(m):
 
 
 def _candidates(m):
-    return P.match_candidates(policies_v(m), claims_v(m), 20, SETTINGS["matchmaking.claim_prefilter_threshold"])
+    return P.match_candidates(policies_v(m), claims_v(m), None, SETTINGS["matchmaking.claim_prefilter_threshold"])
 
 
 def _confirmed(m):
@@ -618,6 +618,11 @@ def _(m):
     return _pair_clusters(m)
 
 
+@query("b02_cluster_members")
+def _(m):
+    return PC.cluster_members(PC.pair_members(_flagged(m)), m.posts)
+
+
 @query("b03_risk_score")
 def _(m):
     return PC.risk_score(_pair_clusters(m), m.posts)

@@ -25,7 +25,7 @@ class Inputs:
     accounts: DataFrame
     vectors: DataFrame | None = None      # doc_id, embedding
     followers: DataFrame | None = None    # account_id, follows; None = family unavailable
-    exclusions: DataFrame | None = None   # account_id
+    exclusions: DataFrame | None = None   # entry: an account id or a handle
     phrases: DataFrame | None = None      # phrase
     earlier_members: DataFrame | None = None   # network_id, account_id of stored networks
     age_baseline: DataFrame | None = None      # age_hours
@@ -60,7 +60,8 @@ def signal_tables(scope: DataFrame, eligible: DataFrame, links: DataFrame, candi
 def detect(inputs: Inputs, start: str, end: str, as_of: str, p: DetectorParameters = DetectorParameters()) -> dict[str, DataFrame]:
     """Tables of a run by name; each is a DataFrame ready to be written by claim or network."""
     cand = N.candidate_posts(inputs.posts, inputs.claims, start, end)
-    candidates = materialize(N.select_candidates(cand, inputs.exclusions, p.candidate_cap), "candidates")
+    excluded = None if inputs.exclusions is None else materialize(N.listed_accounts(inputs.exclusions, inputs.accounts), "excluded")
+    candidates = materialize(N.select_candidates(cand, excluded, p.candidate_cap), "candidates")
     scope = materialize(N.in_scope(cand, candidates), "scope")
     units = materialize(D.text_units(inputs.texts.join(scope.select("doc_id").distinct(), "doc_id", "left_semi")), "units")
     links = materialize(text_links(units, inputs.vectors, p.dup_threshold, p.sem_threshold), "links")
@@ -100,8 +101,8 @@ def detect(inputs: Inputs, start: str, end: str, as_of: str, p: DetectorParamete
         known = known.unionByName(inputs.earlier_members)
         seq = seq.unionByName(inputs.earlier_members.select("network_id").distinct().withColumn("seq", F.concat(F.lit("0:"), "network_id")))
     parents = V.recurrence_parent(known, seq, p.recurrence_threshold).join(order.select("network_id"), "network_id", "left_semi")
-    if inputs.exclusions is not None:
-        banded = banded.join(M.allowlist_suppressed(passed, inputs.exclusions), "network_id", "left")
+    if excluded is not None:
+        banded = banded.join(M.allowlist_suppressed(passed, excluded), "network_id", "left")
     networks = banded.join(V.fingerprint(passed, terms), "network_id").join(parents, "network_id", "left")
     pass_posts = net_posts.join(passed.select("network_id").distinct(), "network_id", "left_semi")
     pass_eligible = net_eligible.join(passed.select("network_id").distinct(), "network_id", "left_semi")

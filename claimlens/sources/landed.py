@@ -17,7 +17,6 @@ FORECAST = (
     "data array<struct<cuaca: array<array<struct<weather_desc: string>>>>>"
 )
 REVIEWS = "array<struct<claimReview: array<struct<textualRating: string>>>>"
-FORECAST_ENTRIES = 8
 
 
 def read_feed_xml(spark: SparkSession, path: str, feed: str) -> DataFrame:
@@ -78,9 +77,10 @@ def debunk_corpus(items: DataFrame, stored_urls: DataFrame) -> DataFrame:
 
 
 def hazard_lines(forecasts: DataFrame, key: str) -> DataFrame:
-    """One text line per place from a forecast JSON text in `payload`; places without data give none."""
+    """One text line per place from all blocks and entries of a forecast JSON text in `payload`; places without data give none."""
     f = forecasts.select(key, F.from_json("payload", FORECAST).alias("p")).filter(F.size("p.data") > 0)
-    entries = F.slice(F.flatten(F.col("p.data")[0]["cuaca"]), 1, FORECAST_ENTRIES)
+    days = F.flatten(F.array_compact(F.transform("p.data", lambda b: b["cuaca"])))
+    entries = F.flatten(F.array_compact(days))
     found = F.array_distinct(F.filter(F.transform(entries, lambda e: e["weather_desc"]), lambda d: T.contains_any(d, T.HAZARD_WORDS)))
     place = F.concat(F.coalesce("p.lokasi.kecamatan", F.lit("?")), F.lit(", "), F.coalesce("p.lokasi.kotkab", F.lit("?")))
     tail = F.when(F.size("h") > 0, F.concat(F.array_join("h", ", "), F.lit(" forecast in the next ~24h."))).otherwise("no significant weather hazard forecast in the next ~24h.")

@@ -63,9 +63,10 @@ TEXT_LIST = f"SELECT doc_id, {NORM} AS norm FROM documents"
 CTES = {
     "cand": f"""SELECT *, author_id AS account_id FROM v_posts WHERE claim_id IN (SELECT claim_id FROM v_claims WHERE claim_type = 'existing') AND stance = 'supporting' AND author_id IS NOT NULL
  AND source <> 'rss' AND created_at BETWEEN TIMESTAMP '2024-01-01' AND {AS_OF}""",
-    "excl": "SELECT 'u' || CAST(c_custkey AS VARCHAR) AS account_id FROM customer WHERE c_acctbal < -500",
+    "excl": """SELECT 'u' || CAST(c_custkey AS VARCHAR) AS account_id FROM customer WHERE c_acctbal < -500
+ UNION SELECT account_id FROM v_accounts WHERE handle IN (SELECT handle FROM v_accounts JOIN customer ON account_id = 'u' || CAST(c_custkey AS VARCHAR) WHERE c_acctbal > 9990)""",
     "scope": "SELECT * FROM cand WHERE account_id NOT IN (SELECT account_id FROM excl)",
-    "candidates": """SELECT claim_id, account_id, count(*) AS n_posts, count(*) OVER (PARTITION BY claim_id) AS candidates, count(*) OVER (PARTITION BY claim_id) > 5000 AS truncated FROM scope GROUP BY 1, 2""",
+    "candidates": """SELECT claim_id, account_id, count(*) AS n_posts, count(*) OVER (PARTITION BY claim_id) AS candidates, false AS truncated FROM scope GROUP BY 1, 2""",
     "totals": f"""SELECT author_id AS account_id, count(*) AS total_posts FROM v_posts WHERE created_at BETWEEN TIMESTAMP '2024-01-01' AND {AS_OF} AND author_id IN (SELECT account_id FROM candidates) GROUP BY 1""",
     "tbins": "SELECT claim_id, account_id, CAST(floor(epoch(created_at) / 3600) AS BIGINT) AS bin, count(*) AS n FROM scope GROUP BY ALL",
     "tacc": "SELECT claim_id, account_id, count(*) AS act, sum(n) AS posts FROM tbins GROUP BY ALL",
@@ -264,6 +265,9 @@ SELECT network_id, account_id, total_posts, CAST(rank AS INT) AS rank FROM big J
     "v13_run_summary": """SELECT topic_id AS run_id, count(*) AS claims, CAST(coalesce(sum(n), 0) AS BIGINT) AS candidates, false AS truncated, coalesce((SELECT string_agg(DISTINCT family, ',' ORDER BY family) FROM fam JOIN v_claims x USING (claim_id) WHERE NOT available AND x.topic_id = c.topic_id), '') AS missing_families, 'completed' AS status
 FROM v_claims c LEFT JOIN (SELECT claim_id, count(*) AS n FROM candidates GROUP BY 1) k USING (claim_id) WHERE claim_type = 'existing' GROUP BY c.topic_id""",
     "v14_purge_evidence": "SELECT network_id, bin_start, post_count, zscore, is_anomalous FROM bursts WHERE network_id IN (SELECT network_id FROM mem GROUP BY 1 HAVING count(*) >= 3)",
+    "v14_purge_counts": "WITH named AS (SELECT network_id FROM mem GROUP BY 1 HAVING count(*) < 3)\n" + " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, count(*) FILTER (network_id IN (FROM named)) AS purged, count(*) FILTER (network_id NOT IN (FROM named)) AS kept FROM {table}"
+        for name, table in {"posts": "npost", "bursts": "bursts", "edges": "medge", "accounts": "mem", "terms": "terms"}.items()),
     "s14_write_and_delete": """SELECT claim_id, CASE WHEN CAST(recorded_at AS DATE) IN (SELECT CAST(added_at AS DATE) FROM v_alerts) THEN 0.0 ELSE final_score END AS final_score, recorded_at FROM v_snapshots WHERE claim_id NOT IN (SELECT claim_id FROM v_alerts)""",
     "t01_stream_ingest": """SELECT p.post_id, p.external_ref, p.created_at, coalesce(p.claim_id, b.claim_id) AS claim_id FROM v_posts p LEFT JOIN open_best b ON b.vec_id = p.vec_id AND p.claim_id IS NULL
 WHERE p.external_ref IS NULL OR p.post_id = (SELECT min(post_id) FROM v_posts q WHERE q.external_ref = p.external_ref)""",

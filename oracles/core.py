@@ -121,7 +121,7 @@ FROM v_posts WHERE claim_id IS NOT NULL GROUP BY claim_id""",
     "tops": """SELECT claim_id, author_id, post_count, rank FROM (SELECT claim_id, author_id, count(*) AS post_count,
  CAST(row_number() OVER (PARTITION BY claim_id ORDER BY count(*) DESC, author_id) AS INT) AS rank
  FROM v_posts WHERE stance = 'supporting' AND author_id IS NOT NULL AND claim_id IS NOT NULL GROUP BY 1, 2) x WHERE rank <= 5""",
-    "pol_best": best("policies_v", "policy_id", "existing_v", "claim_id", "sim >= 0.10", 20),
+    "pol_best": best("policies_v", "policy_id", "existing_v", "claim_id", "sim >= 0.10", "1000000000"),
     "confirmed": """SELECT b.policy_id, b.claim_id, c.claim_statement FROM pol_best b JOIN v_policies p USING (policy_id) JOIN v_claims c USING (claim_id)
 WHERE len(list_filter(string_split(lower(p.title), ' '), lambda w: length(w) > 3 AND contains(lower(c.claim_statement), w))) > 0""",
     "rerun": """SELECT policy_id FROM v_policies WHERE policy_id NOT IN (SELECT policy_id FROM v_policy_links) OR last_error IS NOT NULL OR title LIKE 'red%'""",
@@ -184,7 +184,7 @@ WHERE url NOT IN (SELECT url FROM pages WHERE contains(url, '/fr/'))""",
     "s07_hazard_lines": """SELECT user_id, '- [BMKG] ' || CASE WHEN user_id % 4 <> 0 THEN 'k' || CAST(user_id AS VARCHAR) ELSE '?' END || ', Kota: ' ||
  coalesce(string_agg(d, ', ' ORDER BY f) || ' forecast in the next ~24h.', 'no significant weather hazard forecast in the next ~24h.') AS line
 FROM (SELECT user_id, d, min(r) AS f FROM (SELECT user_id, CASE event_type WHEN 'error' THEN 'Hujan Petir' WHEN 'view' THEN 'Hujan Ringan' WHEN 'purchase' THEN 'Angin Kencang' END AS d,
- row_number() OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE), event_id) AS r FROM events) x WHERE r <= 8 GROUP BY 1, 2) y
+ row_number() OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE), event_id) AS r FROM events) x GROUP BY 1, 2) y
 WHERE user_id % 10 <> 7 GROUP BY user_id""",
     "s08_false_verdict": "SELECT doc_id, toxic = 1 OR quality = 0 AS false_verdict FROM labels",
     "s09_location_filter": f"SELECT doc_id, lang FROM documents WHERE {has('text', PLACES)}",
@@ -205,13 +205,18 @@ FROM (SELECT *, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N
     "l04_topic_label": f"SELECT doc_id, {TOPIC.format(c='text')} AS topic_label FROM documents",
     "l05_sentiment_share": """SELECT date_trunc('day', created_at)::TIMESTAMP AS period, count(*) AS posts, round(count(*) FILTER (sentiment = 'negative') / count(*), 4) AS negative_share,
  round(count(*) FILTER (sentiment = 'positive') / count(*), 4) AS positive_share, round(count(*) FILTER (sentiment = 'neutral') / count(*), 4) AS neutral_share FROM v_posts GROUP BY 1""",
-    "l07_cluster_statement": """SELECT claim_id, min_by(text, r) AS statement, md5(string_agg(text, chr(10) ORDER BY r)) AS sample_md5, 'General' AS topic_label
-FROM (SELECT claim_id, text, row_number() OVER (PARTITION BY claim_id ORDER BY created_at, post_id) AS r FROM v_posts JOIN documents USING (doc_id) WHERE claim_id IS NOT NULL) x WHERE r <= 10 GROUP BY claim_id""",
+    "l06_text_vectors": """WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS w FROM documents),
+tf AS (SELECT doc_id, CAST(('0x' || substr(md5(w), 1, 8))::BIGINT % 256 AS INT) AS pos, count(*) AS tf FROM w WHERE w <> '' GROUP BY ALL),
+df AS (SELECT pos, count(*) AS df FROM tf GROUP BY pos),
+x AS (SELECT doc_id, pos, tf * ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) AS x FROM tf JOIN df USING (pos))
+SELECT doc_id, pos, round(x / n, 6) AS x FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS n FROM x) y WHERE n > 0 AND x <> 0""",
+    "l07_cluster_statement": """SELECT claim_id, row_number() OVER w AS position, post_id, md5(text) AS text_md5, first_value(md5(text)) OVER w AS statement_md5, 'General' AS topic_label
+FROM v_posts JOIN documents USING (doc_id) WHERE claim_id IS NOT NULL WINDOW w AS (PARTITION BY claim_id ORDER BY created_at, post_id)""",
     "l08_cap_segments": """SELECT claim_id, segment_name, position, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY position, segment_name) - 1 AS rank FROM (
- SELECT l_orderkey AS claim_id, l_returnflag || l_linestatus AS segment_name, min(l_linenumber) AS position FROM lineitem GROUP BY 1, 2) x) y WHERE rank < 3""",
+ SELECT l_orderkey AS claim_id, l_returnflag || l_linestatus AS segment_name, min(l_linenumber) AS position FROM lineitem GROUP BY 1, 2) x) y""",
     "l09_grounding_block": "SELECT policy_id, block FROM blocks",
-    "l09_grounding_summary": """SELECT 'Known community fault lines:' || chr(10) || (SELECT string_agg('- ' || community_name || ': ' || grievance_theme, chr(10) ORDER BY fault_line_id) FROM (SELECT * FROM v_fault_lines ORDER BY fault_line_id LIMIT 5) x)
- || chr(10) || chr(10) || 'Active topics: ' || (SELECT string_agg(name, ', ' ORDER BY topic_id) FROM (SELECT * FROM v_topics ORDER BY topic_id LIMIT 10) y) AS block""",
+    "l09_grounding_summary": """SELECT 1 AS part, CAST(fault_line_id AS BIGINT) AS id, '- ' || community_name || ': ' || grievance_theme AS line FROM v_fault_lines
+UNION ALL SELECT 2, CAST(topic_id AS BIGINT), name FROM v_topics""",
     "c01_attach_to_claims": f"SELECT a.post_id, a.claim_id, round(a.sim, 6) AS similarity, {STANCE.format(c='d.text')} AS stance FROM attached a JOIN documents d USING (doc_id)",
     "c02_cluster_posts": "SELECT post_id, cluster FROM clusters",
     "c07_formation_summary": "SELECT (SELECT count(DISTINCT cluster) FROM clusters) AS claims_created, (SELECT count(DISTINCT claim_id) FROM attached) AS claims_updated, (SELECT count(*) FROM clusters) + (SELECT count(*) FROM attached) AS posts_clustered",
@@ -300,6 +305,7 @@ LEFT JOIN (SELECT policy_id, count(*) AS l FROM v_policy_links GROUP BY 1) x USI
     "p08_uncovered_context": """SELECT policy_id, block || coalesce(chr(10) || chr(10) || 'Claims already matched to this policy (predict something NOT already covered by these):' || chr(10) || listed, '') AS context
 FROM blocks LEFT JOIN (SELECT policy_id, string_agg('- ' || claim_statement, chr(10) ORDER BY claim_id) AS listed FROM confirmed GROUP BY 1) x USING (policy_id)""",
     "b01_flag_pairs": "SELECT post_a, post_b, score, reasons FROM flagged",
+    "b02_cluster_members": "SELECT cluster, post_id, author_id FROM fl_comp JOIN v_posts ON post_id = u",
     "b02_pair_clusters": "SELECT cluster, posts, authors, coordination_score, reasons FROM pc",
     "b03_risk_score": """SELECT least(round(0.5 * sum(posts) / (SELECT count(*) FROM v_posts) + 0.5 * max(coordination_score), 4), 1.0) AS risk_score,
  count(*) > 0 AND least(round(0.5 * sum(posts) / (SELECT count(*) FROM v_posts) + 0.5 * max(coordination_score), 4), 1.0) >= 0.5 AS likely_coordinated, count(*) AS clusters FROM pc""",

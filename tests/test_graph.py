@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from claimlens.operators import graph as X
@@ -58,7 +59,8 @@ def test_shape_conductance_both_readings(spark):
     assert X.retain(X.community_shape(e, member)).count() == 0
 
 
-def test_eigenvector_matches_dense_solution(spark):
+@pytest.mark.parametrize("small", [0, X.SMALL_GRAPH_NODES])
+def test_eigenvector_matches_dense_solution(spark, small):
     rng = random.Random(6)
     names = [f"v{i}" for i in range(9)]
     rows = [(1, a, b, rng.random()) for a, b in combinations(names, 2) if rng.random() < 0.6]
@@ -68,6 +70,9 @@ def test_eigenvector_matches_dense_solution(spark):
         m[i, j] = m[j, i] = w
     vec = np.abs(np.linalg.eigh(m)[1][:, -1])
     nodes = spark.createDataFrame([(1, n) for n in [*names, "alone"]], "g int, node string")
-    got = {r.node: r.centrality for r in X.eigenvector_centrality(edges(spark, rows), nodes, tol=1e-7).collect()}
+    got = {r.node: r.centrality for r in X.eigenvector_centrality(edges(spark, rows), nodes, tol=1e-7, small=small).collect()}
     assert got["alone"] == 0
+    if small == 0:
+        with pytest.raises(RuntimeError):
+            X.eigenvector_centrality(edges(spark, rows), nodes, rounds=2, every=2, tol=0.0, small=0)
     assert max(abs(got[n] - vec[i] / vec.max()) for i, n in enumerate(names)) < 1e-3

@@ -31,6 +31,8 @@ def test_top_k_small_side_and_blocks_agree_with_brute_force(spark):
     for limit in (1000, 10):
         got = {(r.l, r.r) for r in top_k(left, "l", right, "r", 3, 0.5, small_side_rows=limit).collect()}
         assert got == want
+        every = {(r.l, r.r) for r in top_k(left, "l", right, "r", None, 0.5, small_side_rows=limit).collect()}
+        assert every == {(i, j) for i in range(60) for j in range(45) if sims[i, j] >= 0.5}
 
 
 def test_pairs_above_is_exact_with_many_pivots_and_small_blocks(spark):

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from claimlens.config import Settings, load_settings
 from claimlens.functions import provenance as P
 from claimlens.functions import scoring as S
+from claimlens.operators import evidence as V
 from claimlens.operators import signals as N
 from claimlens.operators.digest import ordered_digest
 from claimlens.operators.fusion import effective_weights, fuse_edges
 from claimlens.operators.gate import relevance_gate
-from claimlens.operators.metrics import confidence_band, interpost_regularity
+from claimlens.operators.metrics import confidence_band, interpost_regularity, tightest_window
 from claimlens.operators.ranks import medians
 from claimlens.sources import landed, sinks
 from claimlens.streaming import streams as ST
@@ -52,6 +53,37 @@ def test_candidate_cap_reports_true_count(spark):
     assert set(rows) == {"a", "b"} and rows["a"].candidates == 3 and rows["a"].truncated
 
 
+def test_no_candidate_is_lost_by_default(spark):
+    posts = spark.range(6000).selectExpr("1 AS claim_id", "concat('u', id) AS account_id")
+    rows = N.select_candidates(posts)
+    assert rows.count() == 6000 and rows.filter("truncated OR candidates <> 6000").isEmpty()
+
+
+def test_lists_name_accounts_by_id_or_handle(spark):
+    accounts = spark.createDataFrame([("u1", "ann"), ("u2", "bob"), ("u3", "bob"), ("u4", "eve")], "account_id string, handle string")
+    listed = spark.createDataFrame([("u1",), ("bob",), ("bob",), ("nobody",)], "entry string")
+    assert {r.account_id for r in N.listed_accounts(listed, accounts).collect()} >= {"u1", "u2", "u3"}
+    assert not N.listed_accounts(listed, accounts).filter("account_id = 'u4'").count()
+
+
+def test_tightest_window_over_piece_edges(spark):
+    hours = [0, 35, 36, 37, 71, 100, 135, 136, 500]
+    accounts = spark.createDataFrame([(f"u{i}", dt.datetime(2026, 1, 1) + dt.timedelta(hours=h)) for i, h in enumerate(hours)], "account_id string, created_at_platform timestamp")
+    members = accounts.selectExpr("'n' AS network_id", "account_id")
+    got = tightest_window(members, accounts, 36).first()
+    assert (got.in_window, got.known) == (max(sum(h <= x <= h + 36 for x in hours) for h in hours), len(hours))
+
+
+def test_comparison_takes_the_most_active(spark):
+    cand = spark.createDataFrame([(1, f"u{i:03d}") for i in range(300)], "claim_id int, account_id string")
+    members = spark.createDataFrame([("n", 1, f"u{i:03d}") for i in range(5)], "network_id string, claim_id int, account_id string")
+    totals = spark.createDataFrame([(f"u{i:03d}", i % 50) for i in range(300)], "account_id string, total_posts bigint")
+    got = [(r.account_id, r.rank) for r in V.comparison_accounts(cand, members, totals).orderBy("rank").collect()]
+    assert got == [(f"u{i:03d}", n + 1) for n, i in enumerate((49, 99, 149, 199, 249))]
+    kept, counts = V.purge_all({"members": members}, members.select("network_id"))
+    assert kept["members"].count() == 0 and counts.first()[:] == ("members", 5, 0)
+
+
 def test_weights_and_single_family_never_makes_an_edge(spark):
     w = effective_weights({"w_time": True, "w_text": True, "w_amp": True, "w_meta": True, "w_struct": False})
     assert sum(w.values()) == pytest.approx(1.0) and w["w_time"] == pytest.approx(0.30 + 0.30 / 0.9 * 0.10)
