@@ -135,10 +135,13 @@ PLACES = np.uint64((1 << 24) - 1)
 
 def minimiser_places(gram: np.ndarray, grams: int) -> np.ndarray:
     """Place of the smallest (leftmost among equals) of `grams` consecutive gram hashes, for every start."""
-    if len(gram) < grams:
-        return np.zeros(0, np.int64)
-    key = (gram & ~PLACES) | np.arange(len(gram), dtype=np.uint64)
-    return (sliding_min(key, grams) & PLACES).astype(np.int64)
+    n, step = len(gram) - grams + 1, 1 << 22
+    out = [np.zeros(0, np.int64)]
+    for a in range(0, n, step):  # a key holds the place inside a stretch, so a text may be of any length
+        part = gram[a: min(a + step, n) + grams - 1]
+        key = (part & ~PLACES) | np.arange(len(part), dtype=np.uint64)
+        out.append((sliding_min(key, grams) & PLACES).astype(np.int64) + a)
+    return np.concatenate(out)
 
 
 def runs(same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
