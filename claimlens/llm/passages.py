@@ -16,6 +16,7 @@ SPANS = "k bigint, th bigint, start int, n int"
 def _windows(w: Words, window: int, gram: int):
     """Start words of all windows, their hash, and the hash and place of their smallest gram."""
     h = w.hashes()
+    w.words = []  # what follows reads the joined text only
     whole = run_hash(h, window)
     at = np.flatnonzero(w.doc[: len(whole)] == w.doc[window - 1:]) if len(whole) else np.zeros(0, np.int64)
     g = run_hash(h, gram)
@@ -73,57 +74,61 @@ def super_kmers(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: np
     """
     groups = np.uint64(8 * partitions(docs.sparkSession))
 
+    def pack(part):
+        k, th = numbers(part, "k"), numbers(part, "th")
+        texts = texts_of(part)
+        order = np.lexsort((th, k))  # earlier documents first
+        k, th = k[order], th[order]
+        w = Words([texts[i] for i in order])
+        del texts
+        at, whole, g, place = _windows(w, window, gram)
+        if not len(at):
+            return
+        local = at - w.first[w.doc[at]]
+        differ = lambda i, j: (w.doc[i] == w.doc[j]) or k[w.doc[i]] != k[w.doc[j]] or th[w.doc[i]] != th[w.doc[j]]
+        later = later_copies(w, at, whole, window, differ)
+        s, e = true_runs(later)
+        # a run of flags ends where the document does
+        s, e = _cut(s, e, w.doc[at])
+        d = w.doc[at[s]]
+        if len(s):
+            none = pa.nulls(len(s), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array((_mix(k[d].astype(np.uint64) + local[s].astype(np.uint64)) % groups).astype(np.int32)), pa.nulls(len(s), pa.int32()), none, *_spans(k[d], th[d], local[s], e - s)], names=NAMES)
+        # what is left goes to its bucket
+        keep = ~later
+        own = g[place[at]]
+        bucket = np.where(np.isin(own, hot), whole[at] | np.uint64(1), own & ~np.uint64(1)) if hot is not None and len(hot) else own
+        mark = np.zeros(len(at), np.int64)
+        mark[1:] = np.cumsum((bucket[1:] != bucket[:-1]) | (place[at][1:] != place[at][:-1]) | (keep[1:] != keep[:-1]) | (at[1:] != at[:-1] + 1))
+        s, n = runs(mark)
+        ok = keep[s]
+        s, n = s[ok], n[ok]
+        p = (_mix(bucket[s]) % groups).astype(np.int64)
+        by = np.argsort(p, kind="stable")
+        s, n, p = s[by], n[by], p[by]
+        word = at[s]
+        a, b = w.start[word], w.start[word + n + window - 1]
+        d = w.doc[word]
+        gs, gn = runs(p)
+        out_p, out_size, out_blob = [], [], []
+        mv = w.joined
+        for x, c in zip(gs.tolist(), gn.tolist()):
+            z = slice(x, x + c)
+            text = b"".join([mv[i:j] for i, j in zip(a[z].tolist(), b[z].tolist())])
+            step = np.diff(k[d[z]].astype(np.int64), prepend=np.int64(0))  # ids rise in a slice, so the steps pack well
+            head = np.array([c], np.int64).tobytes() + step.tobytes() + th[d[z]].astype(np.uint32).tobytes() + local[s[z]].astype(np.int32).tobytes() + n[z].astype(np.int32).tobytes()
+            raw = head + text
+            out_p.append(p[x])
+            out_size.append(len(raw))
+            out_blob.append(pa.compress(raw, codec="zstd", asbytes=True))
+        m = len(out_p)
+        if m:
+            nothing = [pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(out_p, np.int32)), pa.array(np.array(out_size, np.int32)), pa.array(out_blob, pa.binary()), *nothing], names=NAMES)
+
     def run(batches):
         for part in slices(batches, limit=8 << 20):
-            k, th = numbers(part, "k"), numbers(part, "th")
-            texts = texts_of(part)
-            order = np.lexsort((th, k))  # earlier documents first
-            k, th = k[order], th[order]
-            w = Words([texts[i] for i in order])
-            at, whole, g, place = _windows(w, window, gram)
-            if not len(at):
-                continue
-            local = at - w.first[w.doc[at]]
-            differ = lambda i, j: (w.doc[i] == w.doc[j]) or k[w.doc[i]] != k[w.doc[j]] or th[w.doc[i]] != th[w.doc[j]]
-            later = later_copies(w, at, whole, window, differ)
-            s, e = true_runs(later)
-            # a run of flags ends where the document does
-            s, e = _cut(s, e, w.doc[at])
-            d = w.doc[at[s]]
-            if len(s):
-                none = pa.nulls(len(s), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array((_mix(k[d].astype(np.uint64) + local[s].astype(np.uint64)) % groups).astype(np.int32)), pa.nulls(len(s), pa.int32()), none, *_spans(k[d], th[d], local[s], e - s)], names=NAMES)
-            # what is left goes to its bucket
-            keep = ~later
-            own = g[place[at]]
-            bucket = np.where(np.isin(own, hot), whole[at] | np.uint64(1), own & ~np.uint64(1)) if hot is not None and len(hot) else own
-            mark = np.zeros(len(at), np.int64)
-            mark[1:] = np.cumsum((bucket[1:] != bucket[:-1]) | (place[at][1:] != place[at][:-1]) | (keep[1:] != keep[:-1]) | (at[1:] != at[:-1] + 1))
-            s, n = runs(mark)
-            ok = keep[s]
-            s, n = s[ok], n[ok]
-            p = (_mix(bucket[s]) % groups).astype(np.int64)
-            by = np.argsort(p, kind="stable")
-            s, n, p = s[by], n[by], p[by]
-            word = at[s]
-            a, b = w.start[word], w.start[word + n + window - 1]
-            d = w.doc[word]
-            gs, gn = runs(p)
-            out_p, out_size, out_blob = [], [], []
-            mv = w.joined
-            for x, c in zip(gs.tolist(), gn.tolist()):
-                z = slice(x, x + c)
-                text = b"".join([mv[i:j] for i, j in zip(a[z].tolist(), b[z].tolist())])
-                step = np.diff(k[d[z]].astype(np.int64), prepend=np.int64(0))  # ids rise in a slice, so the steps pack well
-                head = np.array([c], np.int64).tobytes() + step.tobytes() + th[d[z]].astype(np.uint32).tobytes() + local[s[z]].astype(np.int32).tobytes() + n[z].astype(np.int32).tobytes()
-                raw = head + text
-                out_p.append(p[x])
-                out_size.append(len(raw))
-                out_blob.append(pa.compress(raw, codec="zstd", asbytes=True))
-            m = len(out_p)
-            if m:
-                nothing = [pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(out_p, np.int32)), pa.array(np.array(out_size, np.int32)), pa.array(out_blob, pa.binary()), *nothing], names=NAMES)
+            yield from pack(part)  # its arrays go before the next slice comes
 
     return keyed(docs).mapInArrow(run, "p int, size int, blob binary, " + SPANS)
 
@@ -163,9 +168,13 @@ def bucket_repeats(packed: DataFrame, window: int = WINDOW) -> DataFrame:
             texts.append(raw[pos:])
         k, th, start, n = (np.concatenate(x) for x in (k, th, start, n))
         w = Words(texts)
+        del texts
+        hashes = w.hashes()
+        w.words = []
         own = np.repeat(np.arange(len(n)), n.astype(np.int64) + window - 1)  # string of each word
         base = np.concatenate(([0], np.cumsum(n.astype(np.int64) + window - 1)))
-        whole = run_hash(w.hashes(), window)
+        whole = run_hash(hashes, window)
+        del hashes
         at = np.flatnonzero(own[: len(whole)] == own[window - 1:])
         place = start[own[at]] + (at - base[own[at]])
         order = np.lexsort((place, th[own[at]], k[own[at]]))
@@ -212,19 +221,22 @@ def hot_minimisers(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, leas
     The second bound keeps the list under `most` entries at any size. Which way a window goes changes no result.
     """
 
+    def count(part):
+        w = Words(texts_of(part))
+        at, whole, g, place = _windows(w, window, gram)
+        if not len(at):
+            return
+        seen = np.unique(whole[at], return_index=True)[1]  # copies in a slice leave it once
+        seen.sort()
+        at = at[seen]
+        new = np.concatenate(([True], (place[at][1:] != place[at][:-1]) | (np.diff(at) != 1)))
+        value, n = np.unique(g[place[at[new]]], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(value[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["m", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([int(n[n == 1].sum())], pa.int64())], names=["m", "n"])
+
     def run(batches):
         for part in slices(batches):
-            w = Words(texts_of(part))
-            at, whole, g, place = _windows(w, window, gram)
-            if not len(at):
-                continue
-            seen = np.unique(whole[at], return_index=True)[1]  # copies in a slice leave it once
-            seen.sort()
-            at = at[seen]
-            new = np.concatenate(([True], (place[at][1:] != place[at][:-1]) | (np.diff(at) != 1)))
-            value, count = np.unique(g[place[at[new]]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(value[count > 1].view(np.int64)), pa.array(count[count > 1].astype(np.int64))], names=["m", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([int(count[count == 1].sum())], pa.int64())], names=["m", "n"])
+            yield from count(part)
 
     counts = keyed(docs).mapInArrow(run, "m bigint, n bigint").groupBy("m").agg(F.sum("n").alias("n")).cache()
     try:
