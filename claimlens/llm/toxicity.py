@@ -18,6 +18,7 @@ CUTOFF = 0.3
 DISCOUNT = 0.75
 FOLDS = 4  # by crc32 of the id: 0 and 1 give counts, 3 calibrates, 2 is never learned from
 BLOOM_BITS = 1 << 23
+SENT = 200_000  # entries of a model that tasks get whole; a larger one is joined instead, with the same result
 #: ASCII letters lower-cased, other ASCII but digits to blanks; bytes of longer characters stay
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -120,15 +121,15 @@ def class_counts(rows: DataFrame) -> DataFrame:
     return flat.groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in ("ct", "co", "nt", "no")])
 
 
-def followers(rows: DataFrame, contexts: np.ndarray) -> DataFrame:
-    """(h, tt, to): how many different words follow each of some words (sorted hashes) in toxic and ordinary texts."""
+def followers(rows: DataFrame, contexts: np.ndarray | None) -> DataFrame:
+    """(h, tt, to): how many different words follow each of some words (sorted hashes; None: every word) in toxic and ordinary texts."""
 
     def run(batches):
         for part in slices(batches):
             toxic = numbers(part, "toxic") > 0
             _, doc, _, key, _ = _grams(texts_of(part))
             h = key & np.uint64(0xFFFFFFFF)
-            ok = (h != 0) & np.isin(h, contexts)
+            ok = (h != 0) if contexts is None else (h != 0) & np.isin(h, contexts)
             for side in (toxic[doc] & ok, ~toxic[doc] & ok):
                 seen = np.unique(key[side]).view(np.int64)
                 t = bool(toxic[doc[side]].any()) if side.any() else False
@@ -141,24 +142,28 @@ def followers(rows: DataFrame, contexts: np.ndarray) -> DataFrame:
 
 @dataclass
 class Model:
-    """Log-likelihood ratios of words and bigrams, sorted by key, and the calibration of a text's score."""
+    """Log-likelihood ratios of words and bigrams, sorted by key, and the calibration of a text's score.
+
+    A model too large to be sent stays a table (kind, key, llr), and its arrays are empty.
+    """
 
     words: np.ndarray
     word_llr: np.ndarray
     pairs: np.ndarray
     pair_llr: np.ndarray
     weights: list[float] = field(default_factory=lambda: [-2.0, 0.5, 0.5])
+    table: DataFrame | None = None
 
 
-def fit_ratios(counts: DataFrame, rows: DataFrame, least: int = 4, z: float = 5.0, most: int = 200_000) -> Model:
+def fit_ratios(counts: DataFrame, rows: DataFrame, least: int = 4, z: float = 5.0, sent: int = SENT) -> Model:
     """Interpolated Kneser-Ney ratios log P(w | h, toxic) - log P(w | h, ordinary), kept where the evidence is firm.
 
     P(w | class) = max(c_class(w) - D, 0) / c_class + backoff * shared(w), with shared(w) from the continuation counts
     of both classes together, so an expression too rare to tell gets the same probability from both models and weighs
     nothing. Bigrams interpolate with these. An entry stays if the toxic share both of its occurrences and of its
     contexts lies `z` standard errors off the mean share, on the same side (copies of one text repeat occurrences but
-    not contexts), and the ratio is a factor of e at least. The others score as their backoff, which is the same for both classes. At most `most` entries of
-    either kind stay, the firmest ones (a budget of the model, not of the counts).
+    not contexts), and the ratio is a factor of e at least. The others score as their backoff, which is the same for both classes. All firm entries stay, so
+    the model grows with the input; up to `sent` of them go to tasks whole, more are joined.
     """
     total = {r["kind"]: r for r in counts.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("ct", "co", "nt", "no")], F.sum((F.col("nt") > 0).cast("int")).alias("vt"), F.sum((F.col("no") > 0).cast("int")).alias("vo"), F.count(F.lit(1)).alias("v")).collect()}
     none = np.zeros(0, np.uint64)
@@ -176,7 +181,7 @@ def fit_ratios(counts: DataFrame, rows: DataFrame, least: int = 4, z: float = 5.
         contexts = off("nt", "no", level["nt"] / (level["nt"] + level["no"]))
         both = F.when(F.signum(tokens) == F.signum(contexts), F.least(F.abs(tokens), F.abs(contexts))).otherwise(F.lit(0.0))
         rows = counts.filter((F.col("kind") == level["kind"]) & (F.col("nt") + F.col("no") >= least)).withColumn("z", both)
-        return rows.filter(F.col("z") >= z).orderBy(F.desc("z"), "key").limit(most)
+        return rows.filter(F.col("z") >= z)
 
     def word(ct, co, nt, no):
         shared = (F.col(nt) + F.col(no) + 1.0) / float(one["nt"] + one["no"] + one["v"])
@@ -184,23 +189,32 @@ def fit_ratios(counts: DataFrame, rows: DataFrame, least: int = 4, z: float = 5.
         return side(ct, one["ct"], one["vt"]), side(co, one["co"], one["vo"])
 
     pt, po = word("ct", "co", "nt", "no")
-    words = firm(one).select("key", (F.log(pt) - F.log(po)).alias("llr")).filter(F.abs("llr") >= 1).toArrow()
+    words = firm(one).select(F.lit(1).alias("kind"), "key", (F.log(pt) - F.log(po)).alias("llr")).filter(F.abs("llr") >= 1)
     two = total.get(2)
     if two is None or not two["nt"] or not two["no"]:
-        return Model(*_sides(words), none, none.astype(float))
+        return _model(words, sent)
     b = firm(two).select("key", "ct", "co", _before("key").alias("h"), _word("key").alias("w"))
     b = materialize(b, "bigrams")
-    heads = np.unique(b.select("h").toArrow().column(0).to_numpy()).view(np.uint64)
-    ctx = counts.filter("kind = 1").select(F.col("key").alias("h"), F.col("ct").alias("ht"), F.col("co").alias("ho")).join(F.broadcast(followers(rows, heads)), "h")
+    few = b.count() <= sent
+    heads = np.unique(b.select("h").toArrow().column(0).to_numpy()).view(np.uint64) if few else None
+    send = F.broadcast if few else (lambda d: d)
+    ctx = counts.filter("kind = 1").select(F.col("key").alias("h"), F.col("ct").alias("ht"), F.col("co").alias("ho")).join(send(followers(rows, heads)), "h")
     low = counts.filter("kind = 1").select(F.col("key").alias("w"), F.col("ct").alias("wt"), F.col("co").alias("wo"), "nt", "no")
-    # the few entries that stay (`most` at the utmost) go to the counts, not the counts to them
-    b = low.join(F.broadcast(b), "w")
-    b = b.join(F.broadcast(ctx), "h")
+    # the few entries that stay go to the counts, not the counts to them
+    b = low.join(send(b), "w")
+    b = b.join(send(ctx), "h")
     pt, po = word("wt", "wo", "nt", "no")
     side = lambda c, h, types, p: F.when(F.col(h) > 0, F.greatest(F.col(c) - D, F.lit(0.0)) / F.col(h) + D * F.col(types) / F.col(h) * p).otherwise(p)
-    pairs = b.select("key", (F.log(side("ct", "ht", "tt", pt)) - F.log(side("co", "ho", "to", po))).alias("llr")).filter(F.abs("llr") >= 1).toArrow()
+    pairs = b.select(F.lit(2).alias("kind"), "key", (F.log(side("ct", "ht", "tt", pt)) - F.log(side("co", "ho", "to", po))).alias("llr")).filter(F.abs("llr") >= 1)
+    return _model(words.unionByName(pairs), sent)
+
 
-    return Model(*_sides(words), *_sides(pairs))
+def _model(entries: DataFrame, sent: int) -> Model:
+    entries = materialize(entries, "entries")
+    if entries.count() <= sent:
+        return Model(*_sides(entries.filter("kind = 1").toArrow()), *_sides(entries.filter("kind = 2").toArrow()))
+    none = np.zeros(0, np.uint64)
+    return Model(none, none.astype(float), none, none.astype(float), table=entries)
 
 
 def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -227,6 +241,8 @@ def ratios(texts: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray]:
 
 def with_ratio(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with __llr and __words; the other columns pass through."""
+    if model.table is not None:
+        return _joined_ratio(docs, model.table, text)
     schema = StructType([*docs.schema.fields, StructField("__llr", DoubleType()), StructField("__words", LongType())])
 
     def run(batches):
@@ -238,6 +254,31 @@ def with_ratio(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return dealt(docs).mapInArrow(run, schema)
 
 
+def _joined_ratio(docs: DataFrame, entries: DataFrame, text: str) -> DataFrame:
+    """with_ratio for a model of any size: the bigrams of each text, counted, meet the entries by key."""
+    docs = materialize(dealt(docs).withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+    def run(batches):
+        for part in slices(batches):
+            _, doc, _, key, _ = _grams(texts_of(part))
+            if not len(key):
+                continue
+            order = np.lexsort((key, doc))
+            doc, key = doc[order], key[order]
+            s = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))))
+            n = np.diff(np.concatenate((s, [len(key)])))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers(part, "row")[doc[s]]), pa.array(key[s].view(np.int64)), pa.array(n.astype(np.int64))], names=["row", "key", "n"])
+
+    grams = docs.select(F.col("__row").alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).mapInArrow(run, "row bigint, key bigint, n bigint")
+    one = entries.filter("kind = 1").select(F.col("key").alias("w"), F.col("llr").alias("one"))
+    two = entries.filter("kind = 2").select("key", F.col("llr").alias("two"))
+    found = grams.join(two, "key", "left").withColumn("w", _word("key")).join(one, "w", "left")
+    llr = F.sum(F.coalesce("two", "one", F.lit(0.0)) * F.col("n"))
+    sums = found.groupBy(F.col("row").alias("__row")).agg(llr.alias("__llr"), F.sum("n").alias("__words"))
+    zero = {"__llr": F.coalesce("__llr", F.lit(0.0)), "__words": F.coalesce("__words", F.lit(0).cast("bigint"))}
+    return docs.join(sums, "__row", "left").withColumns(zero).drop("__row")
+
+
 def _features():
     """Difference of the length-normalised log-likelihoods, and the evidence as a whole."""
     mean = F.col("__llr") / F.greatest(F.col("__words"), F.lit(1))
@@ -265,11 +306,11 @@ def calibrate(scored: DataFrame) -> list[float]:
     return [float(v) for v in w]
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sent: int = SENT) -> Model:
     """Counts from folds 0 and 1, calibration from fold 3; every labelled row of these folds counts."""
     rows = materialize(labelled(docs, labels, (0, 1)), "labelled")
     counts = materialize(class_counts(rows), "ngrams")
-    model = fit_ratios(counts, rows)
+    model = fit_ratios(counts, rows, sent=sent)
     held = labelled(docs, labels, (3,))
     model.weights = calibrate(with_ratio(held, model))
     return model

@@ -132,6 +132,14 @@ def test_toxicity_learns_planted_words(spark, empty):
     assert len(held) > 100 and sum(p == t for p, t in held) / len(held) > 0.97
     assert toxicity.scores(empty, model).count() == 0
     assert toxicity.train(empty, labels.limit(0)).words.size == 0
+    # a model that is joined instead of sent scores alike
+    joined = toxicity.train(frame, labels, sent=0)
+    assert joined.table is not None and joined.words.size == 0 and model.words.size > 0
+    score = lambda m: {r.doc_id: r.score for r in toxicity.scores(frame, m).collect()}
+    a, b = score(model), score(joined)
+    assert a.keys() == b.keys() and all(abs(a[d] - b[d]) < 1e-9 for d in a)
+    assert toxicity.keep_clean(frame.unionByName(frame.filter("doc_id < 3")), joined).columns == frame.columns
+    assert toxicity.scores(empty, joined).count() == 0
 
 
 def test_leaks(spark, docs, empty):
