@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..operators.lineage import materialize
 
@@ -21,8 +22,14 @@ class Mix:
     lang: float = 0.7
     topic: float = 0.6
     share: float = 0.5  # expected tokens of the sample over all tokens
-    rounds: int = 8
-    scaling: int = 8  # rounds that bring the expected tokens to `share` where probabilities reach 1
+    rounds: int = 20  # of the SQL form, which can't go on until the masses settle
+    scaling: int = 12  # likewise: rounds that bring the expected tokens to `share` where probabilities reach 1
+
+
+#: Masses have settled once a round moves none by more than this part of its smallest target.
+SETTLED = 1e-10
+#: Safety bound of rounds of either loop; reaching it raises.
+MOST = 1000
 
 
 def topic_of(text, topics=TOPICS):
@@ -51,8 +58,11 @@ def described(docs: DataFrame, topics=TOPICS, *more: str) -> DataFrame:
 def rake(rows: DataFrame, mix: Mix) -> DataFrame:
     """(source, lang, topic, tokens, mass, probability) of the cells that hold documents.
 
-    mass starts as the cell's tokens; each step scales it so that one marginal meets its targets, in turn. Cells are
-    few next to documents; every round is partial sums over them and is written to the shared folder now and then.
+    mass starts as the cell's tokens; each step scales it so that one marginal meets its targets, in turn, until a round
+    changes no mass any more. Then every marginal meets its targets, unless no masses on these cells can (a source of
+    one language whose targets differ, say): the masses settle on a cycle of steps, the last of which meets topic, and
+    the largest relative miss is given as a warning. Cells are few next to documents; every round is partial sums over
+    them and is written to the shared folder.
     """
     cur = materialize(rows.groupBy(*MARGINALS).agg(F.sum("tokens").cast("double").alias("tokens")), "cells")
     total = cur.agg(F.sum("tokens")).first()[0] or 0.0
@@ -62,14 +72,25 @@ def rake(rows: DataFrame, mix: Mix) -> DataFrame:
         cur = cur.join(t.select(m, (F.col("p") / F.lit(all_p) * F.lit(total)).alias(f"to_{m}")), m)
     cur = materialize(cur.withColumn("mass", F.col("tokens")), "targets")
     names = cur.columns
-    for _ in range(mix.rounds):
+    least_to = F.least(*[F.col(f"to_{m}") for m in MARGINALS])
+    for _ in range(MOST):
+        cur = cur.withColumns({"was": F.col("mass"), "miss": F.lit(0.0)})
         for m in MARGINALS:
             now = cur.groupBy(m).agg(F.sum("mass").alias("now"))
-            cur = cur.join(now, m).withColumn("mass", F.col("mass") * F.col(f"to_{m}") / F.col("now")).select(*names)
-        cur = materialize(cur, "raked")
+            by = F.col(f"to_{m}") / F.col("now")
+            cur = cur.join(now, m).withColumns({"mass": F.col("mass") * by, "miss": F.greatest("miss", F.abs(1 / by - 1))}).select(*names, "was", "miss")
+        seen = Observation()
+        moved = F.max(F.abs(F.col("mass") - F.col("was")) / least_to).alias("moved")
+        cur = materialize(cur.observe(seen, moved, F.max("miss").alias("miss")), "raked").select(*names)
+        if (seen.get["moved"] or 0.0) <= SETTLED:
+            break
+    else:
+        raise RuntimeError(f"masses haven't settled after {MOST} rounds")
+    if (seen.get["miss"] or 0.0) > 1e-6:
+        warnings.warn(f"no masses meet all targets: the largest relative miss is {seen.get['miss']:.3g}", stacklevel=2)
     scale = mix.share
     wanted = mix.share * total
-    for _ in range(mix.scaling):
+    for _ in range(MOST):
         full = F.col("mass") * F.lit(scale) >= F.col("tokens")
         row = cur.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0.0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col("mass"))).alias("rest")).first()
         if not row["rest"]:
@@ -78,6 +99,8 @@ def rake(rows: DataFrame, mix: Mix) -> DataFrame:
         if abs(new - scale) <= 1e-12 * scale:
             break
         scale = new
+    else:
+        raise RuntimeError(f"the expected tokens haven't settled after {MOST} rounds")
     return cur.withColumn("probability", F.least(F.col("mass") * F.lit(scale) / F.col("tokens"), F.lit(1.0)))
 
 

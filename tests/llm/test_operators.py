@@ -168,6 +168,22 @@ def test_mixing_meets_marginals(spark, empty):
     assert [r.tokens for r in mixing.weigh(odd).collect()] == [1, 1, 1]
 
 
+def test_mixing_settles_on_correlated_cells(spark):
+    rng = random.Random(8)
+    cells = [(s, l, t, 200 if i % 3 == j else rng.randrange(20, 60)) for i, s in enumerate("abcd") for j, l in enumerate("xyz") for t in ("prose", "web") if rng.random() < 0.75]
+    frame = spark.createDataFrame(cells, "source string, lang string, topic string, tokens bigint")
+    out = mixing.rake(frame, mixing.Mix()).toPandas()
+    for m in mixing.MARGINALS:
+        want = out.groupby(m).tokens.sum() ** getattr(mixing.Mix(), m)
+        want = want / want.sum() * out.tokens.sum()
+        assert (abs(out.groupby(m).mass.sum() / want - 1) < 1e-8).all(), m
+    assert abs((out.tokens * out.probability).sum() / out.tokens.sum() - 0.5) < 1e-9
+    # each source in one language: no masses meet both targets
+    frame = spark.createDataFrame([("a", "x", "prose", 1), ("b", "y", "prose", 2)], frame.schema)
+    with pytest.warns(UserWarning, match="largest relative miss"):
+        assert mixing.rake(frame, mixing.Mix()).count() == 2
+
+
 def test_licences(docs, empty):
     got = {(r.doc_id, r.unit, r.license_id) for r in licenses.scan(docs).collect()}
     assert got == {(14, "document", "Apache-2.0"), (14, "line", "Apache-2.0")}
