@@ -38,9 +38,9 @@ def _grams(texts: list[bytes]):
     w = np.fromiter((h32(x) for p in parts for x in p), np.uint64, int(count.sum()))
     doc = np.repeat(np.arange(len(parts)), count)
     before = np.roll(w, 1)
-    left = np.roll(before, 1)
     if len(w):
         before[np.concatenate(([True], doc[1:] != doc[:-1]))] = 0
+    left = np.where(before == 0, np.uint64(0), np.roll(before, 1))
     return count, doc, w, (w << np.uint64(32)) | before, left
 
 
@@ -86,8 +86,8 @@ def _before(key: str):
 def class_counts(rows: DataFrame) -> DataFrame:
     """(kind, key, ct, co, nt, no): counts over all labelled texts, toxic and ordinary.
 
-    kind 2: a bigram; c is how often it occurs, n how many of 64 classes of words stand before it. kind 1: a word; c is how often it occurs and n how many different words
-    it follows (its continuation count).
+    kind 2: a bigram; c is how often it occurs, n how many different words stand before it (the start of a text is one).
+    kind 1: a word; c is how often it occurs and n how many different words it follows (its continuation count).
     """
 
     def run(batches):
@@ -96,21 +96,21 @@ def class_counts(rows: DataFrame) -> DataFrame:
             _, doc, w, key, left = _grams(texts_of(part))
             if not len(w):
                 continue
-            order = np.argsort(key, kind="stable")
-            s, n = runs(key[order])
-            is_t = toxic[doc[order]]
-            t = np.add.reduceat(is_t.astype(np.int64), s)
-            bit = np.uint64(1) << (left[order] & np.uint64(63))
-            bt, bo = (np.bitwise_or.reduceat(np.where(x, bit, np.uint64(0)), s).view(np.int64) for x in (is_t, ~is_t))
-            yield pa.RecordBatch.from_arrays([pa.array(key[order][s].view(np.int64)), pa.array(t), pa.array(n - t), pa.array(bt), pa.array(bo)], names=["key", "t", "o", "bt", "bo"])
+            order = np.lexsort((left, key))
+            key, left = key[order], left[order]
+            s = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (left[1:] != left[:-1]))))
+            n = np.diff(np.concatenate((s, [len(key)])))
+            t = np.add.reduceat(toxic[doc[order]].astype(np.int64), s)
+            yield pa.RecordBatch.from_arrays([pa.array(key[s].view(np.int64)), pa.array(left[s].view(np.int64)), pa.array(t), pa.array(n - t)], names=["key", "left", "t", "o"])
 
     # dealt out by the second word, so its rows meet in few tasks. The commonest word has some 3 % of all rows: it and
     # the others are split further, by the first word, as soon as a task's share is less than that
     n = partitions(rows.sparkSession)
-    raw = rows.mapInArrow(run, "key bigint, t bigint, o bigint, bt bigint, bo bigint")
+    raw = rows.mapInArrow(run, "key bigint, left bigint, t bigint, o bigint")
     cell = F.pmod(F.xxhash64(_word("key"), F.pmod(F.xxhash64(_before("key")), F.lit(max(1, n // 32)))), F.lit(4 * n)).cast("int")
-    pairs = raw.withColumn("cell", cell).repartition(n, "cell").groupBy("cell", "key").agg(
-        F.sum("t").alias("t"), F.sum("o").alias("o"), F.bit_count(F.bit_or("bt")).alias("bt"), F.bit_count(F.bit_or("bo")).alias("bo"))
+    # both sums stay in the cell's task: no second shuffle
+    triples = raw.withColumn("cell", cell).repartition(n, "cell").groupBy("cell", "key", "left").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    pairs = triples.groupBy("cell", "key").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.count_if(F.col("t") > 0).alias("bt"), F.count_if(F.col("o") > 0).alias("bo"))
     row = lambda kind, key, t, o, nt, no: F.struct(F.lit(kind).alias("kind"), key.alias("key"), t.alias("ct"), o.alias("co"), nt.cast("bigint").alias("nt"), no.cast("bigint").alias("no"))
     t, o = F.col("t"), F.col("o")
     each = F.array(
@@ -162,7 +162,7 @@ def fit_ratios(counts: DataFrame, rows: DataFrame, least: int = 4, z: float = 5.
     of both classes together, so an expression too rare to tell gets the same probability from both models and weighs
     nothing. Bigrams interpolate with these. An entry stays if the toxic share both of its occurrences and of its
     contexts lies `z` standard errors off the mean share, on the same side (copies of one text repeat occurrences but
-    not contexts), and the ratio is a factor of e at least. The others score as their backoff, which is the same for both classes. All firm entries stay, so
+    not contexts), and the ratio is a factor of e at least. The others score 0, although their ratio may be large. All firm entries stay, so
     the model grows with the input; up to `sent` of them go to tasks whole, more are joined.
     """
     total = {r["kind"]: r for r in counts.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("ct", "co", "nt", "no")], F.sum((F.col("nt") > 0).cast("int")).alias("vt"), F.sum((F.col("no") > 0).cast("int")).alias("vo"), F.count(F.lit(1)).alias("v")).collect()}

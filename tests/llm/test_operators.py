@@ -142,6 +142,21 @@ def test_toxicity_learns_planted_words(spark, empty):
     assert toxicity.scores(empty, joined).count() == 0
 
 
+def test_contexts_are_counted_in_full(spark):
+    rng = random.Random(6)
+    rows = [(" ".join(rng.choice(["c d", f"x{rng.randrange(300)}"]) for _ in range(60)), i % 2) for i in range(60)]
+    want = {}
+    for text, toxic in rows:
+        w = text.split()
+        for i in range(1, len(w)):
+            if (w[i - 1], w[i]) == ("c", "d"):
+                want.setdefault(toxic, set()).add(w[i - 2] if i > 1 else None)
+    counts = toxicity.class_counts(spark.createDataFrame(rows, "text string, toxic int"))
+    key = int(toxicity._grams([b"c d"])[3][1].astype(np.int64))
+    got = counts.filter((F.col("kind") == 2) & (F.col("key") == key)).first()
+    assert (got.nt, got.no) == (len(want[1]), len(want[0])) and min(got.nt, got.no) > 100
+
+
 def test_leaks(spark, docs, empty):
     rng = random.Random(4)
     items = [(i, " ".join(rng.choice(["the", "of", *[f"q{j}" for j in range(300)]]) for _ in range(30))) for i in range(100)] + [(100, None), (101, "")]
