@@ -10,13 +10,15 @@ from ..operators.lineage import materialize
 
 #: (list, host and its subdomains, path prefix)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+#: Ranks, which add up to 1, have settled once a round moves no more than this in all.
+SETTLED = 1e-10
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @dataclass
 class Propagation:
     damping: float = 0.85
-    rounds: int = 20
+    rounds: int = 1000  # safety bound; ranks that haven't settled by then raise
     seed_share: float = 0.5  # a host is a seed if a larger share of its pages is under rules of one list
     margin: float = 1.0  # block a host whose distrust is over this many times its trust
     floor: float = 1e-9
@@ -55,23 +57,25 @@ def links(pages: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, name: str) -> DataFrame:
     """(host, rank): personalised PageRank over edges (a, b); seeds (host, seed) carry the restart weights, adding up to 1.
 
-    Rank that reaches a host without edges goes back to the seeds. Every few rounds the ranks are written to the shared
-    folder, which bounds the plan and what a lost executor costs. A hot target is summed in part before it is shuffled.
+    Rank that reaches a host without edges goes back to the seeds in the same round. That only scales the ranks, which
+    are a multiple of x = seed + damping * (what x sends along edges); so x is found in rounds until it has settled, and
+    brought to the sum 1. Each round is written to the shared folder, which bounds the plan and what a lost executor
+    costs. A hot target is summed in part before it is shuffled.
     """
     out = materialize(edges.join(edges.groupBy("a").agg(F.count(F.lit(1)).alias("deg")), "a").select("a", "b", (1.0 / F.col("deg")).alias("w")), f"{name}-edges")
     hosts = seeds.select("host").unionByName(out.select(F.col("a").alias("host"))).unionByName(out.select(F.col("b").alias("host"))).distinct()
     base = materialize(hosts.join(seeds, "host", "left").select("host", F.coalesce("seed", F.lit(0.0)).alias("seed")), f"{name}-hosts")
     rank = base.select("host", F.col("seed").alias("rank"))
-    for r in range(rounds):
+    for _ in range(rounds):
         sent = rank.join(out, rank["host"] == out["a"]).groupBy(F.col("b").alias("host")).agg(F.sum(F.col("rank") * F.col("w")).alias("got"))
-        moved = base.join(sent, "host", "left").select("host", "seed", F.coalesce("got", F.lit(0.0)).alias("got"))
-        if r % 5 == 4 or r == rounds - 1:
-            moved = materialize(moved, name)
-            lost = 1.0 - damping * (moved.agg(F.sum("got")).first()[0] or 0.0)
-            rank = moved.select("host", (F.lit(lost) * F.col("seed") + F.lit(damping) * F.col("got")).alias("rank"))
-        else:
-            rank = moved.select("host", (F.lit(1.0 - damping) * F.col("seed") + F.lit(damping) * F.col("got")).alias("rank"))
-    return rank
+        moved = base.join(sent, "host", "left").join(rank.withColumnRenamed("rank", "was"), "host", "left")
+        moved = materialize(moved.select("host", (F.col("seed") + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank"), "was"), name)
+        row = moved.agg(F.sum("rank").alias("total"), F.sum(F.abs(F.col("rank") - F.col("was"))).alias("off")).first()
+        total = row["total"] or 1.0
+        rank = moved.select("host", "rank")
+        if (row["off"] or 0.0) <= SETTLED * total:
+            return moved.select("host", (F.col("rank") / F.lit(total)).alias("rank"))
+    raise RuntimeError(f"{name} ranks haven't settled after {rounds} rounds")
 
 
 def judge(pages: DataFrame, rules=RULES, p: Propagation | None = None) -> DataFrame:

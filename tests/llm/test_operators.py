@@ -214,3 +214,21 @@ def test_urls(spark):
         5: ("blog.example.com", "/de/z", "example.com/de/", "block"), 6: ("spam.info", "/", None, "block"), 7: ("good.info", "/", None, "allow"),
         8: ("a.example.net", "/en/2", "example.net/en/", "allow")}
     assert out[7].trust > 0 and out[6].distrust > 0
+
+
+def test_rank_of_dead_ends_goes_back_each_round(spark):
+    edges = [("s", f"d{i}") for i in range(6)] + [("t", "d0"), ("t", "d7")]
+    hosts = sorted({h for e in edges for h in e})
+    seed = np.array([0.5 if h in "st" else 0.0 for h in hosts])
+    rank = seed
+    for _ in range(300):
+        got = np.zeros(len(hosts))
+        for a, b in edges:
+            got[hosts.index(b)] += rank[hosts.index(a)] / sum(x == a for x, _ in edges)
+        rank = (1 - 0.3 * got.sum()) * seed + 0.3 * got
+    out = urls.pagerank(spark.createDataFrame(edges, "a string, b string"), spark.createDataFrame([("s", 0.5), ("t", 0.5)], "host string, seed double"), 0.3, 1000, "rank")
+    out = {r.host: r["rank"] for r in out.collect()}
+    assert np.allclose([out[h] for h in hosts], rank, atol=1e-9)
+    assert abs(sum(out.values()) - 1) < 1e-9
+    with pytest.raises(RuntimeError, match="settled"):
+        urls.pagerank(spark.createDataFrame(edges, "a string, b string"), spark.createDataFrame([("s", 1.0)], "host string, seed double"), 0.3, 1, "rank")
