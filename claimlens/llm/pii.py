@@ -23,7 +23,7 @@ DIGIT = re.compile(r"[0-9]")
 # looser forms, which only propose spans
 SPOKEN_EMAIL = re.compile(r"\b([A-Za-z0-9._%+-]{2,64}) ?(?:\(at\)|\[at\]| at ) ?([A-Za-z0-9-]{2,64})(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{2,24}){1,3}\b")
 PLAIN_PHONE = re.compile(r"(?<![0-9A-Za-z+.])\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,4}){2,4}(?![0-9A-Za-z])")
-SECRET = re.compile(r"(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{8,128})")
+SECRET = re.compile(r"(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{8,})")
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b")
 SECRET_HINTS = ("password", "passwd", "pwd", "token", "secret", "key", "PASSWORD", "TOKEN", "SECRET", "KEY", "Password", "Token", "Secret", "Key")
 

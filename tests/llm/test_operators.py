@@ -99,6 +99,11 @@ def test_base_spans():
     assert [(k, t[a:b]) for k, a, b in pii.base_spans(t)] == found
 
 
+def test_long_secrets_are_taken_whole():
+    key = "eyJ" + "aB3." * 100
+    assert [m.group(1) for m in pii.SECRET.finditer(f"token = '{key}', more")] == [key]
+
+
 def test_labelers_agree_more_on_what_they_agree_on():
     counts = [("secret", (0, 1, 2, 1, 1), 31, 90), ("secret", (0, 0, 2, 2, 0), 31, 60), ("secret", (0, 0, 2, 1, 1), 7, 10)]
     p = pii.estimate(counts)
