@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bytes_dedup, decontaminate, exact_dedup, licenses, merkle, mixing, passages, pii, simhash, toxicity, urls
+from . import bytes_dedup, conversations, decontaminate, exact_dedup, licenses, merkle, mixing, passages, pii, simhash, toxicity, urls
 from .texts import table
 
 QUERIES = {}
@@ -80,6 +80,12 @@ def op5(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+@query("op11_least_audit_repair")
+def op11(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.audits(rows, conversations.damaged(rows))
+
+
 @query("op12_merkle_manifest")
 def op12(spark, sf_dir):
     return merkle.proofs(table(spark, sf_dir, "documents"), merkle.no_line_ends)

@@ -115,3 +115,79 @@ def merkle(rows, fan=3):
                 d = sha(a + d + b)
             out[r[0]] = (leaf(r), low[s][0], root, sha("".join(a + b for a, b in way + up)), d, d == root)
     return out
+
+
+def damage(rows):
+    """Rows (conv_id, turn, role, text) after the damage of operator 11."""
+    import zlib
+
+    word = lambda v: " " if v is None else str(v)
+    out = []
+    for c, t, role, text in rows:
+        kind = zlib.crc32(f"{word(c)}:{word(t)}".encode()) % 20
+        role, text = word(role), word(text)
+        if kind == 0:
+            continue
+        text = "" if kind == 1 else "".join(x for x in text if x not in ".!?") if kind == 2 else text
+        role = "user" if kind == 4 else role
+        out += [(c, t, role, text)] * (2 if kind == 3 else 1)
+    return out
+
+
+def repair(rows):
+    """(gaps, blank, duplicate, truncated, illegal, cost, audit, sha) of one conversation's rows (turn, role, text)."""
+    blanks = " \t\n\x0b\f\r"
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.sha256(r[2].encode()).hexdigest()))
+    seen, faults = set(), []
+    for _, role, text in rows:
+        body = text.strip(blanks)
+        faults.append("blank" if not body else "duplicate" if (role, text) in seen else "truncated" if body[-1] not in ".!?" else "")
+        seen.add((role, text))
+    # prefixes do not decide ties (a longer prefix may win later), so states keep every audit of least cost
+    def closed(sets):
+        todo = list(sets.items())
+        for _ in range(2):
+            fresh = []
+            for q, (c, found) in todo:
+                role = "assistant" if q == "u" else "user"
+                fresh.append((role[0], (c + 5, {(a + "I", m + (f"{role}:",)) for a, m in found})))
+            for q, v in fresh:
+                merge(sets, q, v)
+            todo = fresh
+        return sets
+
+    def merge(sets, q, v):
+        old = sets.get(q)
+        if old is None or v[0] < old[0]:
+            sets[q] = (v[0], set(v[1]))
+        elif v[0] == old[0]:
+            old[1].update(v[1])
+
+    sets = closed({"": (0, {("", ())})})
+    for (_, role, text), fault in zip(rows, faults):
+        after = {}
+        for q, (c, found) in sets.items():
+            merge(after, q, (c + 2, {(a + "D", m) for a, m in found}))
+            if fault in ("blank", "duplicate"):
+                continue
+            more = 5 if fault == "truncated" else 0
+            k = role[:1]
+            if (k == "s" and q == "") or (k == "u" and q in ("", "s", "a")) or (k == "a" and q == "u"):
+                merge(after, k, (c + more, {(a + "K", m + (f"{role}:{text}",)) for a, m in found}))
+            new = "assistant" if q == "u" else "user"
+            merge(after, new[0], (c + more + 1, {(a + "R", m + (f"{new}:{text}",)) for a, m in found}))
+        sets = closed(after)
+    cost = min(sets[q][0] for q in ("", "a") if q in sets)
+    audit, messages = min(x for q in ("", "a") if q in sets and sets[q][0] == cost for x in sets[q][1])
+    turns = {t for t, _, _ in rows if t is not None}
+    initials = [r[1][:1] for r in rows]
+    bad = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+    return (max(turns) - min(turns) + 1 - len(turns) if turns else 0, faults.count("blank"), faults.count("duplicate"), faults.count("truncated"),
+            bad, cost, audit, hashlib.sha256("\n".join(messages).encode()).hexdigest())
+
+
+def repairs(rows):
+    by = {c: [] for c, *_ in rows}
+    for c, *r in damage(rows):
+        by[c].append(tuple(r))
+    return {c: repair(r) for c, r in by.items()}
