@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bytes_dedup, conversations, decontaminate, exact_dedup, licenses, merkle, mixing, passages, pii, simhash, toxicity, urls
+from . import bytes_dedup, conversations, decontaminate, exact_dedup, licenses, merkle, mixing, passages, pii, quality, simhash, toxicity, urls
 from .texts import table
 
 QUERIES = {}
@@ -89,3 +89,8 @@ def op11(spark, sf_dir):
 @query("op12_merkle_manifest")
 def op12(spark, sf_dir):
     return merkle.proofs(table(spark, sf_dir, "documents"), merkle.no_line_ends)
+
+
+@query("op13_adaptive_quality", quality.SQL)
+def op13(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"))
