@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import FAMILY_WEIGHTS
+from .lineage import materialize
 
 
 def effective_weights(available: dict[str, bool], base: dict[str, float] | None = None) -> dict[str, float]:
@@ -59,3 +60,21 @@ def fuse_stacked(stacked: DataFrame, weights: dict[str, float], theta: float, mi
         .filter((F.col("total") >= theta) & (F.col("strong") >= min_families))
         .select("claim_id", "a", "b", F.round("total", 4).alias("w_total"), *FAMILY_WEIGHTS, "signal_count")
     )
+
+
+def strong_edges(families: list, meta, base: dict[str, float] | None = None, theta: float = 0.35, min_families: int = 2, strong: float = 0.25,
+                 reports: dict[str, dict] | None = None) -> DataFrame:
+    """fuse_edges without the weak pairs: an edge is strong in `min_families` (2 or more) families, so the pairs strong in
+    one family are found by its threshold search, `meta` (pairs -> scores) is worked out for those, and the values of all
+    families only for what is strong in enough. `families` have name, strong(s) and of(pairs); absent ones are left out.
+    """
+    found = [f.strong(strong, None if reports is None else reports.setdefault(f.name, {})).select("claim_id", "a", "b") for f in families]
+    votes = materialize(reduce(DataFrame.unionByName, found).groupBy("claim_id", "a", "b").agg(F.count(F.lit(1)).alias("votes")), "votes")
+    personal = materialize(meta(votes.select("claim_id", "a", "b")), "w_meta")
+    more = personal.filter(F.col("score") >= strong).select("claim_id", "a", "b", F.lit(1).alias("more"))
+    kept = votes.join(more, ["claim_id", "a", "b"], "left").filter(F.col("votes") + F.coalesce("more", F.lit(0)) >= min_families)
+    pairs = materialize(kept.select(F.col("claim_id").alias("g"), "a", "b"), "pairs")
+    values = {f.name: f.of(pairs) for f in families}
+    values["w_meta"] = personal.join(pairs.select(F.col("g").alias("claim_id"), "a", "b"), ["claim_id", "a", "b"], "left_semi")
+    weights = effective_weights({f: f in values for f in FAMILY_WEIGHTS}, base)
+    return fuse_stacked(stack_families(values), weights, theta, min_families, strong)

@@ -7,7 +7,9 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import provenance as P
+from .lineage import materialize
 from .overlap import HOT_DF, shared_sums
+from .pairs import heavy_pairs, pair_sums
 from .vectors import mean_of
 
 
@@ -74,12 +76,15 @@ def account_dimension(platform_ids: DataFrame, stored: DataFrame, platform: str
     return stored.withColumn("is_new", F.lit(False)).unionByName(new_rows).select(key, "*")
 
 
-def w_time(posts: DataFrame, bin_seconds: int = 60, alpha: float = 0.01, hot_df: int = HOT_DF) -> DataFrame:
-    """Shared posting bins beyond a rank-1 null. The null's moments depend on an account only through
-    its number of active bins, so they are looked up per distinct pair of such numbers."""
-    bins = posts.groupBy("claim_id", "account_id", F.floor(F.unix_seconds("created_at") / bin_seconds).alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"))
-    obs = shared_sums(bins, "claim_id", "account_id", "bin", hot_df=hot_df, value="obs")
+def account_bins(posts: DataFrame, bin_seconds: int = 60) -> DataFrame:
+    """(claim_id, account_id, bin, n): posts of an account in a bin."""
+    return posts.groupBy("claim_id", "account_id", F.floor(F.unix_seconds("created_at") / bin_seconds).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def time_scores(obs: DataFrame, bins: DataFrame, alpha: float = 0.01) -> DataFrame:
+    """obs (claim_id, a, b, obs, ...) with `score`, for the pairs that share more bins than a rank-1 null explains. The
+    null's moments depend on an account only through its number of active bins, so they are looked up per distinct
+    pair of such numbers."""
     per_account = bins.groupBy("claim_id", "account_id").agg(F.count(F.lit(1)).alias("active"), F.sum("n").alias("posts"))
     sizes = bins.groupBy("claim_id", "bin").agg(F.count(F.lit(1)).alias("v")).groupBy("claim_id", "v").agg(F.count(F.lit(1)).alias("h"))
     totals = sizes.groupBy("claim_id").agg(F.sum(F.col("v") * F.col("h")).alias("t"))
@@ -87,9 +92,12 @@ def w_time(posts: DataFrame, bin_seconds: int = 60, alpha: float = 0.01, hot_df:
     y = per_account.select("claim_id", F.col("account_id").alias("b"), F.col("active").alias("nb"), F.col("posts").alias("pb"))
     pairs = obs.join(x, ["claim_id", "a"]).join(y, ["claim_id", "b"]).withColumn("lo", F.least("na", "nb")).withColumn("hi", F.greatest("na", "nb"))
     one = F.lit(1.0)
+    # every pair of numbers of active bins that two accounts of a claim have, from the accounts, not from the pairs
+    kinds = per_account.select("claim_id", "active").distinct()
+    both = kinds.select("claim_id", F.col("active").alias("lo")).join(kinds.select("claim_id", F.col("active").alias("hi")), "claim_id").filter("lo <= hi")
     p = F.least(one, F.col("v") / F.col("t") * F.col("lo")) * F.least(one, F.col("v") / F.col("t") * F.col("hi"))
     null = (
-        pairs.select("claim_id", "lo", "hi").distinct().join(sizes, "claim_id").join(totals, "claim_id")
+        both.join(sizes, "claim_id").join(totals, "claim_id")
         .groupBy("claim_id", "lo", "hi").agg(F.sum(F.col("h") * p).alias("mean"), F.sum(F.col("h") * p * p).alias("second"))
     )
     z = NormalDist().inv_cdf(1 - alpha)
@@ -99,10 +107,26 @@ def w_time(posts: DataFrame, bin_seconds: int = 60, alpha: float = 0.01, hot_df:
     return (
         pairs.join(null, ["claim_id", "lo", "hi"])
         .filter((F.col("obs") > F.col("mean") + F.lit(z) * sd) & (room > 0))
-        .select("claim_id", "a", "b", score.alias("score")).filter("score > 0")
+        .select(*obs.columns, score.alias("score")).filter("score > 0")
     )
 
 
+def w_time(posts: DataFrame, bin_seconds: int = 60, alpha: float = 0.01, hot_df: int = HOT_DF) -> DataFrame:
+    """Shared posting bins beyond a rank-1 null, for all pairs of a claim."""
+    bins = account_bins(posts, bin_seconds)
+    obs = shared_sums(bins, "claim_id", "account_id", "bin", hot_df=hot_df, value="obs")
+    return time_scores(obs, bins, alpha).select("claim_id", "a", "b", "score")
+
+
+def w_time_of(posts: DataFrame, members: DataFrame, bin_seconds: int = 60, alpha: float = 0.01, hot_df: int = HOT_DF) -> DataFrame:
+    """w_time of the pairs inside groups (network_id, claim_id, account_id) only; the null is that of the whole claim."""
+    bins = account_bins(posts, bin_seconds)
+    inside = bins.join(members.select("network_id", "claim_id", "account_id"), ["claim_id", "account_id"])
+    obs = shared_sums(inside, "network_id", "account_id", "bin", hot_df=hot_df, value="obs")
+    claims = members.select("network_id", "claim_id").distinct()
+    return time_scores(obs.join(claims, "network_id"), bins, alpha).select("claim_id", "a", "b", "score").distinct()
+
+
 def w_text(posts: DataFrame, links: DataFrame, hot_df: int = HOT_DF) -> DataFrame:
     """Duplicate post pairs across two accounts over the smaller number of eligible posts.
 
@@ -141,21 +165,25 @@ def targets(posts: DataFrame) -> DataFrame:
     return posts.select("claim_id", "account_id", F.explode(all_targets).alias("target")).distinct()
 
 
-def w_amp(posts: DataFrame, hot_df: int = HOT_DF) -> DataFrame:
-    """Cosine of IDF-weighted target sets; accounts without targets are outside the count."""
+def weighted_targets(posts: DataFrame) -> DataFrame:
+    """(claim_id, account_id, target, x): IDF weights of an account's targets over their length; accounts without
+    targets are outside the count."""
     t = targets(posts)
     n = t.groupBy("claim_id", "account_id").agg(F.lit(1)).groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"))
     df = t.groupBy("claim_id", "target").agg(F.count(F.lit(1)).alias("df"))
     idf = df.join(n, "claim_id").select("claim_id", "target", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     weighted = t.join(idf, ["claim_id", "target"])
     norms = weighted.groupBy("claim_id", "account_id").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
-    products = shared_sums(weighted, "claim_id", "account_id", "target", "idf", None, hot_df, "s")
-    return (
-        products.join(norms.select("claim_id", F.col("account_id").alias("a"), F.col("norm").alias("x")), ["claim_id", "a"])
-        .join(norms.select("claim_id", F.col("account_id").alias("b"), F.col("norm").alias("y")), ["claim_id", "b"])
-        .select("claim_id", "a", "b", F.round(F.least(F.lit(1.0), F.col("s") / (F.col("x") * F.col("y"))), 4).alias("score"))
-        .filter("score > 0")
-    )
+    return weighted.join(norms, ["claim_id", "account_id"]).select("claim_id", "account_id", "target", (F.col("idf") / F.col("norm")).alias("x"))
+
+
+def _cosine(products: DataFrame, value: str) -> DataFrame:
+    return products.select("claim_id", "a", "b", F.round(F.least(F.lit(1.0), F.col(value)), 4).alias("score")).filter("score > 0")
+
+
+def w_amp(posts: DataFrame, hot_df: int = HOT_DF) -> DataFrame:
+    """Cosine of IDF-weighted target sets."""
+    return _cosine(shared_sums(weighted_targets(posts), "claim_id", "account_id", "target", "x", None, hot_df, "s"), "s")
 
 
 META_COLUMNS = ("handle", "created_at_platform", "profile_hash", "bio", "declared_location", "client_app")
@@ -185,16 +213,122 @@ def w_meta(pairs: DataFrame, accounts: DataFrame, half_life_hours: float = 36.0)
     return parts.select("claim_id", "a", "b", F.round(mean, 4).alias("score")).filter("score > 0")
 
 
-def w_struct(candidates: DataFrame, followers: DataFrame, hot_df: int = HOT_DF) -> DataFrame:
-    """Adamic-Adar over follower sets of the candidates, scaled by the largest value of the claim."""
+def weighted_follows(candidates: DataFrame, followers: DataFrame) -> DataFrame:
+    """(claim_id, account_id, follows, owners, k): who the candidates follow, with its Adamic-Adar weight in the claim."""
     f = candidates.select("claim_id", "account_id").join(followers.distinct(), "account_id")
     owners = f.groupBy("claim_id", "follows").agg(F.count(F.lit(1)).alias("owners")).filter("owners > 1")
-    rows = f.join(owners, ["claim_id", "follows"]).withColumn("k", 1 / F.log(F.col("owners") + 1))
-    raw = shared_sums(rows, "claim_id", "account_id", "follows", None, "k", hot_df, "s")
+    return f.join(owners, ["claim_id", "follows"]).withColumn("k", 1 / F.log(F.col("owners") + 1))
+
+
+def w_struct(candidates: DataFrame, followers: DataFrame, hot_df: int = HOT_DF) -> DataFrame:
+    """Adamic-Adar over follower sets of the candidates, scaled by the largest value of the claim."""
+    raw = shared_sums(weighted_follows(candidates, followers), "claim_id", "account_id", "follows", None, "k", hot_df, "s")
     top = raw.groupBy("claim_id").agg(F.max("s").alias("top"))
     return raw.join(top, "claim_id").select("claim_id", "a", "b", F.round(F.col("s") / F.col("top"), 4).alias("score")).filter("score > 0")
 
 
+# --- pairs at or above a strength ---------------------------------------------------------------
+
+ROUNDED = 5e-5  # scores are rounded to four digits before they are compared
+
+
+def _rows(df: DataFrame, feature: str, w, k, need) -> DataFrame:
+    return df.select(F.col("claim_id").alias("g"), F.col("account_id").cast("string").alias("e"), F.col(feature).alias("f"),
+                     w.cast("double").alias("w"), k.cast("double").alias("k"), need.cast("double").alias("need"))
+
+
+def _claim_pairs(found: DataFrame, value: str, scale=1.0) -> DataFrame:
+    return found.select(F.col("g").alias("claim_id"), "a", "b", (F.col("total") * scale).alias(value))
+
+
+class TimeFamily:
+    """Shared bins: a score of s needs s times the posts of the less active account in shared bins."""
+
+    name = "w_time"
+
+    def __init__(self, posts: DataFrame, bin_seconds: int, alpha: float):
+        self.bins, self.alpha = materialize(account_bins(posts, bin_seconds), "bins"), alpha
+
+    def _scores(self, found: DataFrame, scale: float) -> DataFrame:
+        obs = _claim_pairs(found, "x", scale).withColumn("obs", F.round("x").cast("bigint")).drop("x")
+        return time_scores(obs, self.bins, self.alpha).select("claim_id", "a", "b", "score")
+
+    def strong(self, s: float, report: dict | None = None) -> DataFrame:
+        posts = self.bins.groupBy("claim_id", "account_id").agg(F.sum("n").alias("posts"))
+        t = max(s - ROUNDED, ROUNDED)
+        rows = _rows(self.bins.join(posts, ["claim_id", "account_id"]), "bin", F.col("n"), F.lit(1 / t), F.col("posts"))
+        return self._scores(heavy_pairs(rows, report=report), t).filter(F.col("score") >= s)
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        return self._scores(pair_sums(pairs, _rows(self.bins, "bin", F.col("n"), F.lit(1), F.lit(1))), 1.0)
+
+
+class AmpFamily:
+    """Cosine of targets: vectors have length 1, so the rest of a vector bounds what it can still add."""
+
+    name = "w_amp"
+
+    def __init__(self, posts: DataFrame):
+        self.rows = materialize(weighted_targets(posts), "targets")
+
+    def strong(self, s: float, report: dict | None = None) -> DataFrame:
+        t = max(s - ROUNDED, ROUNDED)
+        found = heavy_pairs(_rows(self.rows, "target", F.col("x"), F.lit(1 / t), F.lit(1)), unit=True, report=report)
+        return _cosine(_claim_pairs(found, "s", t), "s").filter(F.col("score") >= s)
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        return _cosine(_claim_pairs(pair_sums(pairs, _rows(self.rows, "target", F.col("x"), F.lit(1), F.lit(1))), "s"), "s")
+
+
+class StructFamily:
+    """Adamic-Adar: scores are shares of the claim's largest sum. The best sum over rare follows is at most that, so
+    pairs below s times it cannot be strong, and the largest sum is among the pairs found."""
+
+    name = "w_struct"
+    RARE = 8
+
+    def __init__(self, candidates: DataFrame, followers: DataFrame):
+        self.rows = materialize(weighted_follows(candidates, followers), "follows")
+
+    def _found(self, s: float, report: dict | None = None) -> tuple[DataFrame, DataFrame]:
+        t = max(s - ROUNDED, ROUNDED)
+        rare = self.rows.filter(F.col("owners") <= self.RARE)
+        a, b = (rare.select("claim_id", "follows", F.col("account_id").alias(x), *more) for x, more in (("a", ["k"]), ("b", [])))
+        partial = a.join(b, ["claim_id", "follows"]).filter("a < b").groupBy("claim_id", "a", "b").agg(F.sum("k").alias("s"))
+        one = self.rows.groupBy("claim_id").agg(F.max("k").alias("s"))  # any two owners of one follow have at least that
+        low = partial.select("claim_id", "s").unionByName(one).groupBy("claim_id").agg(F.max("s").alias("low"))
+        scale = low.select("claim_id", (F.col("low") * t).alias("unit"))
+        rows = self.rows.join(scale, "claim_id")
+        found = heavy_pairs(_rows(rows, "follows", F.lit(1), F.col("k") / F.col("unit"), F.lit(1)), report=report)
+        raw = materialize(_claim_pairs(found, "s").join(scale, "claim_id").select("claim_id", "a", "b", (F.col("s") * F.col("unit")).alias("s")), "struct")
+        return raw, raw.groupBy("claim_id").agg(F.max("s").alias("top"))
+
+    def strong(self, s: float, report: dict | None = None) -> DataFrame:
+        raw, self.top = self._found(s, report)
+        return self._scaled(raw).filter(F.col("score") >= s)
+
+    def _scaled(self, raw: DataFrame) -> DataFrame:
+        return raw.join(self.top, "claim_id").select("claim_id", "a", "b", F.round(F.col("s") / F.col("top"), 4).alias("score")).filter("score > 0")
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        return self._scaled(_claim_pairs(pair_sums(pairs, _rows(self.rows, "follows", F.lit(1), F.col("k"), F.lit(1))), "s"))
+
+
+class TextFamily:
+    """Duplicate posts: only pairs with a duplicate have a row, so all of them are listed once."""
+
+    name = "w_text"
+
+    def __init__(self, posts: DataFrame, links: DataFrame):
+        self.all = materialize(w_text(posts, links), "w_text")
+
+    def strong(self, s: float, report: dict | None = None) -> DataFrame:
+        return self.all.filter(F.col("score") >= s)
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        return self.all.join(pairs.select(F.col("g").alias("claim_id"), "a", "b"), ["claim_id", "a", "b"], "left_semi")
+
+
 def candidate_account_pairs(candidates: DataFrame, hot_df: int = HOT_DF) -> DataFrame:
     """All account pairs of a claim; only for runs that let one family alone make an edge."""
     rows = candidates.select("claim_id", "account_id").distinct().withColumn("f", F.lit(1))

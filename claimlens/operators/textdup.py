@@ -6,13 +6,15 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import normalize_text
 from .lineage import materialize, spread
 from .vectors import pairs_above, vector_classes
 
 SHINGLE = 5
+SKETCH_WIDTH = 1 << 20  # cells of each of the two rows; 16 MB in every task
 
 
 def text_units(texts: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -58,36 +60,91 @@ def shingle_sets(texts: DataFrame, k: int = SHINGLE) -> DataFrame:
     return texts.mapInPandas(run, f"id {id_type}, n int, sh array<bigint>")
 
 
+def shingle_sketch(sets: DataFrame, width: int = SKETCH_WIDTH) -> np.ndarray:
+    """(2, width) counts of all shingles by two hash cells: a count-min sketch of fixed size, whatever the corpus."""
+
+    def run(batches):
+        seen = np.zeros((2, width), np.int64)
+        for batch in batches:
+            h = _flat(batch, "sh")
+            for row, cell in enumerate(_cells(h, width)):
+                seen[row] += np.bincount(cell, minlength=width)
+        at = np.flatnonzero(seen.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen.ravel()[at])], names=["cell", "c"])
+
+    parts = sets.select("sh").mapInArrow(run, "cell bigint, c bigint").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(2 * width, np.int64)
+    out[parts.column("cell").to_numpy()] = parts.column("c").to_numpy()
+    return out.reshape(2, width)
+
+
+def _flat(batch, column: str) -> np.ndarray:
+    col = batch.column(batch.schema.get_field_index(column))
+    return np.asarray(col.flatten() if not isinstance(col, pa.ChunkedArray) else col.combine_chunks().flatten())
+
+
+def _cells(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    u = h.view(np.uint64)
+    return (u % np.uint64(width)).astype(np.int64), ((u >> np.uint64(32)) % np.uint64(width)).astype(np.int64)
+
+
+def ordered_prefixes(sets: DataFrame, threshold: float, width: int = SKETCH_WIDTH) -> DataFrame:
+    """(h, id, n, pos, short, long, short_last, long_last): the shingles of each set that a similar set has to share.
+
+    Shingles are ordered from rare to common by the sketch, then by hash. Any order that all sets have in common is
+    right; a better one only makes shorter lists, so the sketch may be as coarse as its fixed size makes it. A shingle
+    counted once occurs nowhere else and is not given out. `short`, `long` are the prefix lengths for the smaller and
+    the larger set of a pair, `*_last` the place (count, hash) where such a prefix ends.
+    """
+    spark = sets.sparkSession
+    counts = spark.sparkContext.broadcast(shingle_sketch(sets, width).astype(np.int64))
+    id_type = sets.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        sketch = counts.value
+        for batch in batches:
+            size = np.asarray(batch.column(batch.schema.get_field_index("n"))).astype(np.int64)
+            h = _flat(batch, "sh")
+            first, second = _cells(h, width)
+            c = np.minimum(sketch[0][first], sketch[1][second])
+            doc = np.repeat(np.arange(len(size)), size)
+            by = np.lexsort((h, c, doc))
+            start = np.concatenate(([0], np.cumsum(size)[:-1])) if len(size) else np.zeros(0, np.int64)
+            pos = np.arange(len(h)) - start[doc] + 1
+            long = (size - np.ceil(size * threshold - 1e-9).astype(np.int64) + 1)
+            short = (size - np.ceil(size * (2 * threshold / (1 + threshold)) - 1e-9).astype(np.int64) + 1)
+            hs, cs = h[by], c[by]
+            keep = np.flatnonzero((pos <= long[doc]) & (cs > 1))
+            d = doc[keep]
+            last = lambda length: start[d] + length[d] - 1
+            ids = batch.column(batch.schema.get_field_index("id")).take(pa.array(d))
+            cols = [pa.array(hs[keep]), ids, *[pa.array(x.astype(np.int32)) for x in (size[d], pos[keep], short[d], long[d])]]
+            cols += [pa.array(x) for x in (cs[last(short)], hs[last(short)], cs[last(long)], hs[last(long)])]
+            yield pa.RecordBatch.from_arrays(cols, names=["h", "id", "n", "pos", "short", "long", "sc", "sh", "lc", "lh"])
+
+    rows = sets.mapInArrow(run, f"h bigint, id {id_type}, n int, pos int, short int, long int, sc bigint, sh bigint, lc bigint, lh bigint")
+    return rows.select("h", "id", "n", "pos", "short", "long", F.struct("sc", "sh").alias("short_last"), F.struct(F.col("lc").alias("sc"), F.col("lh").alias("sh")).alias("long_last"))
+
+
 def near_duplicate_texts(units: DataFrame, threshold: float = 0.80) -> DataFrame:
     """(text_a, text_b, jaccard) of all distinct texts whose shingle sets reach the threshold.
 
     Exact set-similarity join: with shingles ordered from rare to common, two sets reaching the
     threshold share one among their first n - ceil(t n) + 1 shingles, so only those are joined;
     sizes and positions rule out most of the rest, and the survivors are verified on whole sets.
+    The order comes from a sketch sent to all tasks, so only the prefixes are shuffled.
     """
     firsts = units.filter(F.col("doc_id") == F.col("text_id")).select(F.col("text_id").alias("id"), "norm")
     sets = materialize(shingle_sets(firsts), "shingles")
-    tokens = sets.select("id", "n", F.explode("sh").alias("h"))
-    df = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     n = F.col("n")
-    long_end = n - F.ceil(n * threshold - 1e-9) + 1
-    short_end = n - F.ceil(n * (2 * threshold / (1 + threshold)) - 1e-9) + 1
-    place = F.struct("df", "h")
-    w = Window.partitionBy("id").orderBy("df", "h")
-    whole = Window.partitionBy("id")
-    prefix = (
-        tokens.join(df, "h").withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= long_end)
-        .withColumn("long_last", F.max(place).over(whole))
-        .withColumn("short_last", F.max(F.when(F.col("pos") <= short_end, place)).over(whole))
-        .filter("df > 1")
-        .withColumn("size_class", F.floor(F.log(n) / (math.log(1 / threshold) + 1e-9)))
-    )
-    # the smaller set of a pair needs only its short prefix; sizes within the factor t lie in the same or
-    # the next size class, so the class is part of the join key
-    a = prefix.filter(F.col("pos") <= short_end).select(
-        "h", F.col("id").alias("a"), n.alias("na"), (n - short_end).alias("ra"), F.col("short_last").alias("la"),
+    # sizes within the factor t lie in the same or the next size class, so the class is part of the join key
+    prefix = ordered_prefixes(sets, threshold).withColumn("size_class", F.floor(F.log(n) / (math.log(1 / threshold) + 1e-9)))
+    prefix = materialize(prefix, "prefixes")
+    # the smaller set of a pair needs only its short prefix
+    a = prefix.filter(F.col("pos") <= F.col("short")).select(
+        "h", F.col("id").alias("a"), n.alias("na"), (n - F.col("short")).alias("ra"), F.col("short_last").alias("la"),
         F.explode(F.array("size_class", F.col("size_class") + 1)).alias("size_class"))
-    b = prefix.select("h", "size_class", F.col("id").alias("b"), n.alias("nb"), (n - long_end).alias("rb"), F.col("long_last").alias("lb"))
+    b = prefix.select("h", "size_class", F.col("id").alias("b"), n.alias("nb"), (n - F.col("long")).alias("rb"), F.col("long_last").alias("lb"))
     ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     shared = a.join(b, ["h", "size_class"]).filter(ordered & (F.col("na") >= F.col("nb") * threshold - 1e-9)).groupBy("a", "b").agg(
         F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("na", "nb", "ra", "rb", "la", "lb")])
@@ -99,8 +156,8 @@ def near_duplicate_texts(units: DataFrame, threshold: float = 0.80) -> DataFrame
     sb = sets.select(F.col("id").alias("b"), F.col("sh").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return (
-        candidates.join(sa, "a").join(sb, "b")
-        .select(F.col("a").alias("text_a"), F.col("b").alias("text_b"), (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard"))
+        candidates.join(sa, "a").join(sb, "b").select(F.col("a").alias("text_a"), F.col("b").alias("text_b"), both.alias("both"), F.size("sa").alias("na"), F.size("sb").alias("nb"))
+        .select("text_a", "text_b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
         .filter(F.col("jaccard") >= threshold)
     )
 

@@ -15,14 +15,14 @@ from ..operators import graph as X
 from ..operators import metrics as M
 from ..operators import signals as N
 from ..operators import textdup as D
-from ..operators.fusion import effective_weights_table, fuse_edges
+from ..operators.fusion import effective_weights_table
 from ..operators.gate import offtopic_clusters, relevance_gate
 from ..operators.lineage import materialize, new_path
 from ..operators.overlap import shared_sums
 from ..sources import sinks
 from ..streaming import streams as ST
 from .catalog_core import SETTINGS, claims_v
-from .detection import Inputs, signal_tables, text_links
+from .detection import edge_table, text_links
 from .registry import query
 from .views import AS_OF, VIEW_SQL, Model
 
@@ -76,16 +76,13 @@ class Run:
     def links(self):
         return self._once("links", lambda: text_links(self.units(), self.vectors(), P.dup_threshold, P.sem_threshold), True)
 
-    def signals(self):
-        if "signals" not in self._made:
+    def edges(self):
+        def make():
             scope = materialize(self.scope(), "scope")
             self._made["scope"] = scope
-            inputs = Inputs(self.m.posts, self.m.claims, self.m.documents, self.m.accounts, followers=self.m.followers)
-            self._made["signals"] = signal_tables(scope, self.eligible(), self.links(), self.candidates(), inputs, P)
-        return self._made["signals"]
+            return edge_table(scope, self.eligible(), self.links(), self.candidates(), self.m.followers, self.m.accounts, P)
 
-    def edges(self):
-        return self._once("edges", lambda: fuse_edges(self.signals(), P.weights, P.edge_threshold, P.min_signal_families, P.family_strength), True)
+        return self._once("edges", make, True)
 
     def graph(self):
         return self.edges().select(F.col("claim_id").alias("g"), "a", "b", F.col("w_total").alias("w"))

@@ -12,7 +12,7 @@ from ..operators import graph as X
 from ..operators import metrics as M
 from ..operators import signals as N
 from ..operators import textdup as D
-from ..operators.fusion import effective_weights, fuse_stacked, stack_families
+from ..operators.fusion import fuse_edges, strong_edges
 from ..operators.gate import offtopic_clusters, relevance_gate
 from ..operators.lineage import materialize
 
@@ -40,21 +40,25 @@ def text_links(units: DataFrame, vectors: DataFrame | None, tau_dup: float, tau_
     return D.duplicate_links(near, classes, pairs)
 
 
-def signal_tables(scope: DataFrame, eligible: DataFrame, links: DataFrame, candidates: DataFrame, inputs: Inputs, p: DetectorParameters) -> dict:
-    """The five families. Account similarity is worked out only for pairs that another family already
-    supports: with two families required it cannot make an edge elsewhere, and it is used nowhere else."""
-    s = {
-        "w_time": materialize(N.w_time(scope, p.bin_width_seconds, p.null_model_alpha), "w_time"),
-        "w_text": materialize(N.w_text(eligible, links), "w_text"),
-        "w_amp": materialize(N.w_amp(scope), "w_amp"),
-        "w_struct": materialize(N.w_struct(candidates, inputs.followers), "w_struct") if inputs.followers is not None else None,
-    }
+def pair_families(scope: DataFrame, eligible: DataFrame, links: DataFrame, candidates: DataFrame, followers: DataFrame | None, p: DetectorParameters) -> list:
+    """The families of a run that has data for them; account similarity follows from their pairs."""
+    out = [N.TimeFamily(scope, p.bin_width_seconds, p.null_model_alpha), N.TextFamily(eligible, links), N.AmpFamily(scope)]
+    return out if followers is None else [*out, N.StructFamily(candidates, followers)]
+
+
+def edge_table(scope: DataFrame, eligible: DataFrame, links: DataFrame, candidates: DataFrame, followers: DataFrame | None, accounts: DataFrame,
+               p: DetectorParameters, reports: dict[str, dict] | None = None) -> DataFrame:
+    """Fused edges. With two families required, account similarity cannot make an edge where no other family is strong,
+    and only strong pairs are searched for; a run that lets one family alone make an edge lists all pairs."""
     if p.min_signal_families >= 2:
-        pairs = stack_families(s).filter(F.col("score") >= p.family_strength).select("claim_id", "a", "b").distinct()
-    else:
-        pairs = N.candidate_account_pairs(candidates)
-    s["w_meta"] = N.w_meta(pairs, inputs.accounts, p.provenance_half_life_hours)
-    return s
+        families = pair_families(scope, eligible, links, candidates, followers, p)
+        meta = lambda pairs: N.w_meta(pairs, accounts, p.provenance_half_life_hours)
+        return strong_edges(families, meta, p.weights, p.edge_threshold, p.min_signal_families, p.family_strength, reports)
+    signals = {
+        "w_time": N.w_time(scope, p.bin_width_seconds, p.null_model_alpha), "w_text": N.w_text(eligible, links), "w_amp": N.w_amp(scope),
+        "w_struct": None if followers is None else N.w_struct(candidates, followers),
+        "w_meta": N.w_meta(N.candidate_account_pairs(candidates), accounts, p.provenance_half_life_hours)}
+    return fuse_edges(signals, p.weights, p.edge_threshold, p.min_signal_families, p.family_strength)
 
 
 def detect(inputs: Inputs, start: str, end: str, as_of: str, p: DetectorParameters = DetectorParameters()) -> dict[str, DataFrame]:
@@ -66,9 +70,7 @@ def detect(inputs: Inputs, start: str, end: str, as_of: str, p: DetectorParamete
     units = materialize(D.text_units(inputs.texts.join(scope.select("doc_id").distinct(), "doc_id", "left_semi")), "units")
     links = materialize(text_links(units, inputs.vectors, p.dup_threshold, p.sem_threshold), "links")
     eligible = materialize(D.eligible_posts(scope, units, p.min_post_length, inputs.phrases), "eligible")
-    signals = signal_tables(scope, eligible, links, candidates, inputs, p)
-    weights = effective_weights({f: d is not None for f, d in signals.items()}, p.weights)
-    edges = materialize(fuse_stacked(stack_families(signals), weights, p.edge_threshold, p.min_signal_families, p.family_strength), "edges")
+    edges = materialize(edge_table(scope, eligible, links, candidates, inputs.followers, inputs.accounts, p), "edges")
     graph = edges.select(F.col("claim_id").alias("g"), "a", "b", F.col("w_total").alias("w"))
     core = X.k_core(graph, p.k_core)
     parts = X.communities(core, p.resolution)
@@ -83,12 +85,12 @@ def detect(inputs: Inputs, start: str, end: str, as_of: str, p: DetectorParamete
     gate = relevance_gate(members, net_posts, totals, p.anchor_share, p.min_claim_posts, p.min_link_strength)
     hours = p.window_days * 24.0
     scores = materialize(M.signal_breadth(M.coordination_score(
-        M.synchrony(net_posts, members, signals["w_time"]), M.duplication(net_posts, net_eligible, links), M.cohesion(shape),
+        M.synchrony(net_posts, members, N.w_time_of(scope, members, p.bin_width_seconds, p.null_model_alpha)), M.duplication(net_posts, net_eligible, links), M.cohesion(shape),
         M.provenance_anomaly(members, inputs.accounts, as_of, inputs.age_baseline), M.automation(members, net_posts, hours))), "scores")
     gate = materialize(gate, "gate")
     passed = members.join(gate.filter("passed").select("network_id"), "network_id", "left_semi")
     cut = candidates.groupBy("claim_id").agg(F.max("truncated").alias("truncated"))
-    missing = sum(d is None for d in signals.values())
+    missing = int(inputs.followers is None)
     table = (
         V.network_table(passed, net_posts).join(scores, "network_id").join(shape.drop("claim_id"), "network_id")
         .join(cut, "claim_id"))

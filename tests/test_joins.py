@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from claimlens.operators import textdup as D
 from claimlens.operators.overlap import shared_sums
+from claimlens.operators.pairs import heavy_pairs
 from claimlens.operators.vectors import pairs_above, top_k
 
 
@@ -82,3 +83,39 @@ def test_normalisation_groups_variants(spark):
     rows = [(1, "Read THIS now!!! https://a.example/x @bob"), (2, "read this now! http://b.example @al \U0001f600"), (3, "other")]
     u = {r.doc_id: r.text_id for r in D.text_units(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
     assert u[1] == u[2] == 1 and u[3] == 3
+
+
+def test_heavy_pairs_match_brute_force(spark):
+    rng = random.Random(9)
+    rows, need = {}, {}
+    for g in ("x", "y"):
+        for e in range(45):
+            need[g, f"e{e}"] = rng.choice([1.0, 1.0, 2.5, 4.0, 9.0])
+            for f in range(30):
+                if rng.random() < (0.9 if f < 2 else 0.12):
+                    rows[g, f"e{e}", f] = (rng.choice([1.0, 1.0, 3.0]), 0.5 + f % 3)
+    frame = spark.createDataFrame([(*k, *v, need[k[:2]]) for k, v in rows.items()], "g string, e string, f int, w double, k double, need double")
+    sums = defaultdict(float)
+    for (g, e, f), (w, k) in rows.items():
+        for (g2, e2, f2), (w2, _) in rows.items():
+            if g == g2 and f == f2 and e < e2:
+                sums[g, e, e2] += k * w * w2
+    want = {p for p, s in sums.items() if s >= min(need[p[0], p[1]], need[p[0], p[2]])}
+    report = {}
+    got = {(r.g, r.a, r.b): r.total for r in heavy_pairs(frame, report=report).collect()}
+    assert set(got) == want and all(abs(got[p] - sums[p]) < 1e-9 for p in want)
+    assert len(want) == report["wanted"] <= report["met"] < len(sums)
+
+
+def test_unit_vectors_meet_by_what_their_tails_can_add(spark):
+    rng = np.random.default_rng(10)
+    m = rng.random((60, 40)) * (rng.random((60, 40)) < 0.2)
+    m[:, 0] = rng.random(60) * 0.3  # a feature that all have
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    t = 0.45
+    frame = spark.createDataFrame([("g", f"{i:02}", int(j), float(m[i, j]), 1 / t, 1.0) for i, j in zip(*np.nonzero(m))], "g string, e string, f int, w double, k double, need double")
+    cos = m @ m.T
+    want = {(f"{i:02}", f"{j:02}") for i, j in combinations(range(60), 2) if cos[i, j] >= t}
+    report = {}
+    assert {(r.a, r.b) for r in heavy_pairs(frame, True, report).collect()} == want
+    assert report["met"] < 60 * 59 / 4
