@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
+from .density import density_clusters
 from .graph import connected_components
-from .labels import cluster_statements
+from .lineage import materialize
 from .vectors import best_match, centroids, pairs_above, vector_classes
 
 
@@ -44,6 +45,21 @@ def cluster_posts(posts: DataFrame, vectors: DataFrame, epsilon: float = 0.55, m
     return placed.join(big.select("cluster"), "cluster", "left_semi").select("post_id", "cluster")
 
 
+def density_cluster_posts(posts: DataFrame, vectors: DataFrame, epsilon: float = 0.55, min_size: int = 2, levels: int = 8) -> DataFrame:
+    """(post_id, cluster): stable density clusters of the vectors at similarity epsilon and above; noise gives no row.
+
+    Unlike cluster_posts, two dense groups that a chain of posts connects stay two clusters.
+    """
+    needed = vectors.join(posts.select("vec_id").distinct(), "vec_id", "left_semi").select("vec_id", "embedding")
+    classes = materialize(vector_classes(needed, "vec_id"), "classes")
+    reps = needed.join(classes.select(F.col("rep").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    members = posts.join(classes, "vec_id")
+    nodes = members.groupBy(F.col("rep").alias("node")).agg(F.count(F.lit(1)).alias("weight"))
+    edges = pairs_above(reps, "vec_id", epsilon).select("a", "b", F.col("similarity").alias("s"))
+    found = density_clusters(edges, nodes, epsilon, min_size, levels)
+    return members.join(found.withColumnRenamed("node", "rep"), "rep").select("post_id", "cluster")
+
+
 def build_claims(clusters: DataFrame, posts: DataFrame, texts: DataFrame) -> DataFrame:
     """One claim per cluster: statement and vector of its earliest post, topic label, status, first time."""
     full = clusters.join(posts.select("post_id", "doc_id", "vec_id", "created_at"), "post_id")

@@ -2,20 +2,22 @@
 
 `top_k` finds the k best right rows of every left row: the right side is sent to the tasks as one
 matrix while it is small, and is cut into blocks joined by key beyond that. `pairs_above` finds all
-pairs of one table above a threshold: vectors are assigned to pivots, and the triangle inequality
-on angles tells which other cells can still hold a partner, so the result is exact. Only result
-rows leave a task, never all pairs.
+pairs of one table above a threshold by an index with true bounds: cells with their radius, and
+leading rotated dimensions with the length of the rest. Only result rows leave a task, never all pairs.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .lineage import materialize
+
 SMALL_SIDE_BYTES = 64 << 20  # of the matrix sent to every task: rows x dimension x 8
 BLOCK_ROWS = 2_048
 DIGITS = 9  # similarities are compared after rounding, so that ties go to the smaller id everywhere
@@ -157,9 +159,80 @@ def vector_classes(df: DataFrame, key: str, vector: str = "embedding") -> DataFr
     return v.join(reps, "v").select(key, "rep")
 
 
+SAMPLE_ROWS = 4_096  # rows that fit the rotation and the cell centres
+LEAD = 16            # leading dimensions compared before whole vectors
+
+
+@dataclass
+class VectorIndex:
+    """Cells and a rotation, fitted on a bounded sample; sizes depend on `max_cells` and the dimension only.
+
+    Any centres and any rotation give exact results: they only decide how much a bound rules out.
+    """
+
+    centres: np.ndarray   # (cells, d), unit length
+    rotation: np.ndarray  # (d, d), orthonormal, the directions of most spread first
+
+    def place(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(home cell, angle to every centre) of rows."""
+        angle = np.arccos(np.clip(v @ self.centres.T, -1.0, 1.0))
+        return angle.argmin(axis=1), angle
+
+    def lead(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leading rotated dimensions and the length of the others: dot(x, y) <= dot(leads) + product of lengths."""
+        r = v @ self.rotation
+        m = min(LEAD, r.shape[1])
+        return r[:, :m], np.sqrt(np.maximum((r[:, m:] ** 2).sum(axis=1), 0.0))
+
+
+def fit_index(v: DataFrame, n: int, max_cells: int) -> VectorIndex:
+    """v: id, v. A hash sample of about SAMPLE_ROWS rows gives principal directions and a few rounds of centres."""
+    step = max(1, n // SAMPLE_ROWS)
+    part = v.filter(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).limit(4 * SAMPLE_ROWS).toPandas() if step > 1 else v.toPandas()
+    part = part if len(part) else v.limit(1).toPandas()
+    x = _matrix(part.sort_values("id")["v"])
+    _, _, axes = np.linalg.svd(x, full_matrices=True)
+    cells = max(1, min(max_cells, math.isqrt(n) // 2 + 1, len(x)))
+    length = np.linalg.norm(x, axis=1)
+    centres = [x[0]]
+    nearest = x @ x[0]
+    for _ in range(cells - 1):  # the row farthest from all centres is the next one
+        far = int(nearest.argmin())
+        centres.append(x[far])
+        nearest = np.maximum(nearest, x @ x[far])
+    c = np.stack(centres)
+    for _ in range(4):
+        home = (x @ c.T).argmax(axis=1)
+        for j in range(len(c)):
+            mean = x[home == j].sum(axis=0)
+            if len(x[home == j]) and np.linalg.norm(mean) > 0:
+                c[j] = mean / np.linalg.norm(mean)
+    return VectorIndex(c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12), axes.T) if length.size else VectorIndex(c, axes.T)
+
+
+def _above(left: np.ndarray, right: np.ndarray, index: VectorIndex, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(row, column, similarity) of pairs at or above the threshold, and how many whole products that took."""
+    (la, lr), (ra, rr) = index.lead(left), index.lead(right)
+    i, j = np.nonzero(la @ ra.T + np.outer(lr, rr) >= threshold - 1e-6)
+    sims = np.zeros(len(i))
+    for a in range(0, len(i), 1 << 18):
+        z = slice(a, a + (1 << 18))
+        sims[z] = np.einsum("ij,ij->i", left[i[z]], right[j[z]])
+    sims = np.round(sims, DIGITS)
+    hit = sims >= threshold
+    return i[hit], j[hit], sims[hit], len(i)
+
+
 def pairs_above(df: DataFrame, key: str, threshold: float, vector: str = "embedding",
-                max_pivots: int = 1024, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """All (a, b, similarity) with a < b and similarity >= threshold; exact, no pair found twice."""
+                max_cells: int = 1024, block_rows: int = BLOCK_ROWS, report: dict | None = None) -> DataFrame:
+    """All (a, b, similarity) with a < b and similarity >= threshold of unit vectors; exact, no pair found twice.
+
+    Every vector has a home cell, and every cell its radius, the largest angle of its members to the centre. A vector
+    visits the cells (up to its own in number) whose centre lies within radius + angle of the threshold, since the
+    triangle inequality on angles leaves no partner in others. In a cell, leading dimensions and residual lengths rule
+    out most pairs before whole vectors are multiplied. Cells of many rows are cut into blocks. `report` takes the number
+    of vectors, of pairs that met in cells, and of whole products (counted as results are first read).
+    """
     spark = df.sparkSession
     v = df.filter(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"))
     id_type = v.schema["id"].dataType.simpleString()
@@ -167,18 +240,25 @@ def pairs_above(df: DataFrame, key: str, threshold: float, vector: str = "embedd
     schema = f"a {id_type}, b {id_type}, similarity double"
     if n < 2:
         return spark.createDataFrame([], schema)
-    n_pivots = max(1, min(max_pivots, math.isqrt(n) // 8 + 1))
-    pivots = v.orderBy(F.xxhash64("id"), "id").limit(n_pivots).toPandas()
-    side = spark.sparkContext.broadcast(_matrix(pivots["v"]))
-    reach = 2 * math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
+    side = spark.sparkContext.broadcast(fit_index(v, n, max_cells))
+    met, products = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def homes(batches):
+        for pdf in batches:
+            home, angle = side.value.place(_matrix(pdf["v"]))
+            yield pd.DataFrame({"home": home.astype("int32"), "angle": angle[np.arange(len(home)), home]})
+
+    radius = np.full(len(side.value.centres), -np.inf)
+    for r in v.select("v").mapInPandas(homes, "home int, angle double").groupBy("home").agg(F.max("angle").alias("r")).collect():  # at most max_cells rows
+        radius[r["home"]] = r["r"]
+    reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
 
     def assign(batches):
-        p = side.value
         for pdf in batches:
-            angle = np.arccos(np.clip(_matrix(pdf["v"]) @ p.T, -1.0, 1.0))
-            home = angle.argmin(axis=1)
-            near = angle <= angle[np.arange(len(home)), home][:, None] + reach
-            near &= np.arange(p.shape[0])[None, :] <= home[:, None]  # a pair is reported in its smaller cell
+            home, angle = side.value.place(_matrix(pdf["v"]))
+            near = angle <= radius[None, :] + reach
+            near &= np.arange(len(radius))[None, :] <= home[:, None]  # a pair is reported in its smaller cell
+            near[np.arange(len(home)), home] = True
             row, cell = np.nonzero(near)
             yield pd.DataFrame({
                 "id": pdf["id"].to_numpy()[row], "v": pdf["v"].to_numpy()[row],
@@ -186,13 +266,14 @@ def pairs_above(df: DataFrame, key: str, threshold: float, vector: str = "embedd
             })
 
     placed = v.mapInPandas(assign, f"id {id_type}, v {v.schema['v'].dataType.simpleString()}, home int, cell int")
+    placed = materialize(placed, "cells")
     sizes = placed.groupBy("cell").agg(F.count(F.when(F.col("home") == F.col("cell"), 1)).alias("homes"), F.count(F.lit(1)).alias("rows"))
     sizes = sizes.filter("homes > 0").select(
         "cell",
         F.ceil(F.col("homes") / block_rows).cast("int").alias("nl"),
         F.ceil(F.col("rows") / block_rows).cast("int").alias("nr"),
     )
-    spot = placed.join(F.broadcast(sizes), "cell")  # at most max_pivots rows
+    spot = placed.join(F.broadcast(sizes), "cell")  # at most max_cells rows
     h = F.xxhash64("id")
     left = spot.filter("home = cell").select(
         "id", "v", "home", "cell", F.pmod(h, "nl").cast("int").alias("i"),
@@ -205,16 +286,21 @@ def pairs_above(df: DataFrame, key: str, threshold: float, vector: str = "embedd
         l, r = pdf[pdf["is_left"]], pdf[~pdf["is_left"]]
         if not len(l) or not len(r):
             return pd.DataFrame({"a": [], "b": [], "similarity": []})
-        sims = np.round(_matrix(l["v"]) @ _matrix(r["v"]).T, DIGITS)
-        i, j = np.nonzero(sims >= threshold)
+        i, j, sims, full = _above(_matrix(l["v"]), _matrix(r["v"]), side.value, threshold)
+        met.add(len(l) * len(r))
+        products.add(full)
         li, rj = l["id"].to_numpy()[i], r["id"].to_numpy()[j]
         other = r["home"].to_numpy()[j] != r["cell"].to_numpy()[j]
         keep = other | (li < rj)
-        li, rj, s = li[keep], rj[keep], sims[i, j][keep]
+        li, rj, s = li[keep], rj[keep], sims[keep]
         swap = li > rj
         return pd.DataFrame({"a": np.where(swap, rj, li), "b": np.where(swap, li, rj), "similarity": s})
 
-    return left.unionByName(right).groupBy("cell", "i", "j").applyInPandas(match, schema)
+    out = left.unionByName(right).groupBy("cell", "i", "j").applyInPandas(match, schema)
+    if report is not None:
+        out = materialize(out, "pairs")
+        report.update(vectors=n, met=met.value, products=products.value, wanted=out.count())
+    return out
 
 
 def mean_of(columns: list[Column]) -> Column:

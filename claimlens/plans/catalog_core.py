@@ -287,6 +287,12 @@ def _(m):
     return _clusters(m)
 
 
+@query("c02_density_clusters")
+def _(m):
+    rest = m.posts.filter("claim_id IS NULL").join(_attached(m).select("post_id"), "post_id", "left_anti")
+    return C.density_cluster_posts(rest.select("post_id", "vec_id"), m.embeddings, 0.40, 2)
+
+
 @query("c03_build_claims")
 def _(m):
     clusters = m.posts.filter("claim_id IS NOT NULL").select("post_id", F.col("claim_id").alias("cluster"))

@@ -1,5 +1,7 @@
 """Twins: sources and ingest, labels, claim formation, scoring, boards, policies, pair check."""
 
+import math
+
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 NB = "(SELECT count(*) FROM benchmark)"
 
@@ -160,6 +162,35 @@ FROM (SELECT pa, pb, abs(a.t - b.t) <= 600000000 AS is_t, s.va IS NOT NULL AS is
     "t_best": best("t_rest", "claim_id", "topics_v", "topic_id", "sim >= 0.20"),
 }
 
+
+def density_parts(epsilon=0.40, least=2, levels=8):
+    """Nested components of the left-over posts at each similarity, and the most stable cut, level by level."""
+    grid = [round(epsilon + (1 - epsilon) * i / levels, 9) for i in range(levels)]
+    dense = [1 / math.sqrt(2 - 2 * t) for t in grid]
+    gain = [0.0] + [b - a for a, b in zip(dense, dense[1:])]
+    out = {
+        "d_rep": "SELECT vec_id, v, min(vec_id) OVER (PARTITION BY v) AS rep FROM rest_vecs",
+        "d_node": "SELECT rep, count(*) AS weight FROM rest_posts JOIN d_rep USING (vec_id) GROUP BY 1",
+        "d_sim": f"SELECT a.rep AS u, b.rep AS v, round({DOT.format(a='a', b='b')}, 9) AS s FROM d_rep a JOIN d_rep b ON a.vec_id = a.rep AND b.vec_id = b.rep AND a.rep <> b.rep WHERE {DOT.format(a='a', b='b')} >= {epsilon - 1e-6}",
+        "d_grid": "SELECT * FROM (VALUES " + ", ".join(f"({i}, {t}::DOUBLE)" for i, t in enumerate(grid)) + ") x(l, t)",
+        "d_walk": "SELECT l, rep AS u, rep AS w FROM d_node, d_grid UNION SELECT x.l, s.u, x.w FROM d_walk x JOIN d_grid g ON g.l = x.l JOIN d_sim s ON s.v = x.u AND s.s >= g.t WHERE x.w < s.u",
+        "d_comp": "SELECT l, u, min(w) AS comp FROM d_walk GROUP BY l, u",
+        "d_tree": f"""SELECT c.l, c.comp, sum(weight) AS size, any_value(p.comp) AS parent FROM d_comp c JOIN d_node ON rep = c.u LEFT JOIN d_comp p ON p.l = c.l - 1 AND p.u = c.comp
+ GROUP BY c.l, c.comp HAVING sum(weight) >= {least}""",
+        f"d_up_{levels - 1}": f"SELECT comp, parent, round(size * {gain[-1]!r}, 9)::DOUBLE AS own, 0.0::DOUBLE AS split, false AS splits FROM d_tree WHERE l = {levels - 1}",
+        "d_cut_0": "SELECT *, true AS top FROM d_up_0",
+    }
+    for i in range(levels - 2, -1, -1):
+        out[f"d_up_{i}"] = f"""SELECT t.comp, t.parent, round(size * {gain[i]!r} + CASE WHEN n = 1 THEN o ELSE 0 END, 9)::DOUBLE AS own, round(CASE WHEN n = 1 THEN s WHEN n > 1 THEN b ELSE 0 END, 9)::DOUBLE AS split,
+ coalesce(n > 1, false) AS splits FROM d_tree t LEFT JOIN (SELECT parent AS comp, count(*) AS n, sum(own) AS o, sum(split) AS s, sum(greatest(own, split)) AS b FROM d_up_{i + 1} GROUP BY 1) k USING (comp) WHERE t.l = {i}"""
+        j = levels - 1 - i
+        out[f"d_cut_{j}"] = f"SELECT h.*, p.splits AS top FROM d_up_{j} h JOIN d_cut_{j - 1} p ON h.parent = p.comp WHERE NOT (p.top AND p.own >= p.split)"
+    out["d_chosen"] = " UNION ALL ".join(f"SELECT {i} AS l, comp FROM d_cut_{i} WHERE top AND own >= split" for i in range(levels))
+    return out
+
+
+CTES.update(density_parts())
+
 SQL = {
     "s01_read_tables": """SELECT 'events' AS name, count(*) AS n, round(sum(value), 2) AS total FROM events
 UNION ALL SELECT 'orders', count(*), round(sum(o_totalprice), 2) FROM orders
@@ -219,6 +250,7 @@ FROM v_posts JOIN documents USING (doc_id) WHERE claim_id IS NOT NULL WINDOW w A
 UNION ALL SELECT 2, CAST(topic_id AS BIGINT), name FROM v_topics""",
     "c01_attach_to_claims": f"SELECT a.post_id, a.claim_id, round(a.sim, 6) AS similarity, {STANCE.format(c='d.text')} AS stance FROM attached a JOIN documents d USING (doc_id)",
     "c02_cluster_posts": "SELECT post_id, cluster FROM clusters",
+    "c02_density_clusters": "SELECT post_id, c.comp AS cluster FROM rest_posts JOIN d_rep USING (vec_id) JOIN d_comp c ON c.u = rep JOIN d_chosen x ON x.l = c.l AND x.comp = c.comp",
     "c07_formation_summary": "SELECT (SELECT count(DISTINCT cluster) FROM clusters) AS claims_created, (SELECT count(DISTINCT claim_id) FROM attached) AS claims_updated, (SELECT count(*) FROM clusters) + (SELECT count(*) FROM attached) AS posts_clustered",
     "c03_build_claims": f"""SELECT claim_id AS cluster, text AS claim_statement, {TOPIC.format(c='text')} AS topic_label, 'unreviewed' AS status, vec_id, created_at AS first_caught_at, n AS post_count
 FROM (SELECT *, count(*) OVER (PARTITION BY claim_id) AS n, row_number() OVER (PARTITION BY claim_id ORDER BY created_at, post_id) AS r FROM v_posts WHERE claim_id IS NOT NULL) x JOIN documents USING (doc_id) WHERE r = 1""",

@@ -1,6 +1,7 @@
 """Graph jobs on planted graphs."""
 
 import random
+from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimlens.operators import graph as X
+from claimlens.operators.density import density, density_clusters, level_grid, nested_components, spanning_forest, stable_clusters
 
 
 def edges(spark, rows):
@@ -76,3 +78,87 @@ def test_eigenvector_matches_dense_solution(spark, small):
         with pytest.raises(RuntimeError):
             X.eigenvector_centrality(edges(spark, rows), nodes, rounds=2, every=2, tol=0.0, small=0)
     assert max(abs(got[n] - vec[i] / vec.max()) for i, n in enumerate(names)) < 1e-3
+
+
+def _kruskal(edges):
+    root, out = {}, set()
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for s, a, b in sorted((-s, a, b) for a, b, s in edges):
+        x, y = find(a), find(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.add((a, b))
+    return out
+
+
+def _components(nodes, edges, t):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b, s in edges:
+        if s >= t:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    out = defaultdict(set)
+    for n in nodes:
+        out[find(n)].add(n)
+    return [frozenset(c) for c in out.values()]
+
+
+def _stable(nodes, edges, grid, least):
+    """Stable clusters by recursion over whole sets."""
+    weight = lambda c: sum(nodes[n] for n in c)
+    level = [[c for c in _components(nodes, edges, t) if weight(c) >= least] for t in grid]
+    gain = [0.0] + [density(b) - density(a) for a, b in zip(grid, grid[1:])]
+
+    def line(i, c):
+        """(mass of the cluster that c belongs to from level i on, what it splits into)."""
+        kids = [k for k in level[i + 1] if k <= c] if i + 1 < len(grid) else []
+        mass = weight(c) * gain[i]
+        if len(kids) == 1:
+            more, below = line(i + 1, kids[0])
+            return mass + more, below
+        return mass, [best(i + 1, k) for k in kids]
+
+    def best(i, c):
+        own, parts = line(i, c)
+        split = sum(m for m, _ in parts)
+        return (own, [(i, c)]) if round(own, 9) >= round(split, 9) else (split, [x for _, cs in parts for x in cs])
+
+    return {(i, min(c)) for top in level[0] for i, c in best(0, top)[1]}
+
+
+def test_forest_and_stable_clusters_match_brute_force(spark):
+    rng = random.Random(11)
+    nodes = {n: rng.choice([1, 1, 1, 3]) for n in range(70)}
+    edges = [(a, b, round(rng.uniform(0.4, 1.0), 3)) for a in range(70) for b in range(a + 1, 70) if rng.random() < 0.06]
+    frame = spark.createDataFrame([(0, *e) for e in edges], "g int, a int, b int, s double")
+    forest = spanning_forest(frame)
+    assert {(r.a, r.b) for r in forest.collect()} == _kruskal(edges)
+    grid = level_grid(0.4, 6)
+    table = spark.createDataFrame(list(nodes.items()), "node int, weight int")
+    got = {(r.level, r.comp) for r in stable_clusters(nested_components(forest, table, grid), grid, 2).collect()}
+    want = _stable(nodes, edges, grid, 2)
+    assert got == want and len({i for i, _ in want}) > 1
+
+
+def test_a_chain_does_not_merge_two_dense_groups(spark):
+    near = lambda ids, s: [(a, b, s) for a in ids for b in ids if a < b]
+    edges = near(range(0, 6), 0.97) + near(range(20, 26), 0.95) + [(5, 10, 0.6), (10, 11, 0.6), (11, 20, 0.6), (40, 41, 0.58)]
+    frame = spark.createDataFrame(edges, "a int, b int, s double")
+    nodes = spark.createDataFrame([(n, 1) for n in {x for a, b, _ in edges for x in (a, b)} | {50}], "node int, weight int")
+    out = defaultdict(set)
+    for r in density_clusters(frame, nodes, 0.55).collect():
+        out[r.cluster].add(r.node)
+    assert dict(out) == {0: set(range(6)), 20: set(range(20, 26)), 40: {40, 41}}
+    empty = density_clusters(frame.limit(0), nodes, 0.55)
+    assert empty.count() == 0

@@ -40,7 +40,9 @@ def test_pairs_above_is_exact_with_many_pivots_and_small_blocks(spark):
     v = unit(np.random.default_rng(2), 300)
     sims = np.round(v @ v.T, 9)
     want = {(i, j) for i, j in combinations(range(300), 2) if sims[i, j] >= 0.93}
-    rows = pairs_above(table(spark, v), "id", 0.93, block_rows=16).collect()
+    report = {}
+    rows = pairs_above(table(spark, v), "id", 0.93, block_rows=16, report=report).collect()
+    assert report["wanted"] <= report["products"] <= report["met"] and report["products"] < 300 * 299 / 2 / 3
     assert len(rows) == len({(r.a, r.b) for r in rows})
     assert {(r.a, r.b) for r in rows} == want
 
