@@ -9,7 +9,6 @@ leading rotated dimensions with the length of the rest. Only result rows leave a
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -163,37 +162,31 @@ SAMPLE_ROWS = 4_096  # rows that fit the rotation and the cell centres
 LEAD = 16            # leading dimensions compared before whole vectors
 
 
-@dataclass
-class VectorIndex:
-    """Cells and a rotation, fitted on a bounded sample; sizes depend on `max_cells` and the dimension only.
+def place(centres: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(home cell, angle to every centre) of rows."""
+    angle = np.arccos(np.clip(v @ centres.T, -1.0, 1.0))
+    return angle.argmin(axis=1), angle
 
-    Any centres and any rotation give exact results: they only decide how much a bound rules out.
-    """
-
-    centres: np.ndarray   # (cells, d), unit length
-    rotation: np.ndarray  # (d, d), orthonormal, the directions of most spread first
 
-    def place(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(home cell, angle to every centre) of rows."""
-        angle = np.arccos(np.clip(v @ self.centres.T, -1.0, 1.0))
-        return angle.argmin(axis=1), angle
+def lead(rotation: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leading rotated dimensions and the length of the others: dot(x, y) <= dot(leads) + product of lengths."""
+    r = v @ rotation
+    m = min(LEAD, r.shape[1])
+    return r[:, :m], np.sqrt(np.maximum((r[:, m:] ** 2).sum(axis=1), 0.0))
 
-    def lead(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Leading rotated dimensions and the length of the others: dot(x, y) <= dot(leads) + product of lengths."""
-        r = v @ self.rotation
-        m = min(LEAD, r.shape[1])
-        return r[:, :m], np.sqrt(np.maximum((r[:, m:] ** 2).sum(axis=1), 0.0))
 
+def fit_index(v: DataFrame, n: int, max_cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """(centres (cells, d) of unit length, rotation (d, d) with the directions of most spread first) for rows (id, v).
 
-def fit_index(v: DataFrame, n: int, max_cells: int) -> VectorIndex:
-    """v: id, v. A hash sample of about SAMPLE_ROWS rows gives principal directions and a few rounds of centres."""
+    Fitted on a hash sample of about SAMPLE_ROWS rows. Any centres and any rotation give exact results: they only
+    decide how much a bound rules out.
+    """
     step = max(1, n // SAMPLE_ROWS)
     part = v.filter(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).limit(4 * SAMPLE_ROWS).toPandas() if step > 1 else v.toPandas()
     part = part if len(part) else v.limit(1).toPandas()
     x = _matrix(part.sort_values("id")["v"])
     _, _, axes = np.linalg.svd(x, full_matrices=True)
     cells = max(1, min(max_cells, math.isqrt(n) // 2 + 1, len(x)))
-    length = np.linalg.norm(x, axis=1)
     centres = [x[0]]
     nearest = x @ x[0]
     for _ in range(cells - 1):  # the row farthest from all centres is the next one
@@ -207,20 +200,22 @@ def fit_index(v: DataFrame, n: int, max_cells: int) -> VectorIndex:
             mean = x[home == j].sum(axis=0)
             if len(x[home == j]) and np.linalg.norm(mean) > 0:
                 c[j] = mean / np.linalg.norm(mean)
-    return VectorIndex(c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12), axes.T) if length.size else VectorIndex(c, axes.T)
+    return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12), axes.T
 
 
-def _above(left: np.ndarray, right: np.ndarray, index: VectorIndex, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def _above(left: np.ndarray, right: np.ndarray, rotation: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(row, column, similarity) of pairs at or above the threshold, and how many whole products that took."""
-    (la, lr), (ra, rr) = index.lead(left), index.lead(right)
-    i, j = np.nonzero(la @ ra.T + np.outer(lr, rr) >= threshold - 1e-6)
-    sims = np.zeros(len(i))
-    for a in range(0, len(i), 1 << 18):
-        z = slice(a, a + (1 << 18))
-        sims[z] = np.einsum("ij,ij->i", left[i[z]], right[j[z]])
-    sims = np.round(sims, DIGITS)
+    (la, lr), (ra, rr) = lead(rotation, left), lead(rotation, right)
+    maybe = la @ ra.T + np.outer(lr, rr) >= threshold - 1e-6
+    full = int(maybe.sum())
+    if full > maybe.size // 16:  # one matrix product is faster than many single ones; the count stays what the bound left
+        sims = np.round(left @ right.T, DIGITS)
+        i, j = np.nonzero(maybe & (sims >= threshold))
+        return i, j, sims[i, j], full
+    i, j = np.nonzero(maybe)
+    sims = np.round(np.einsum("ij,ij->i", left[i], right[j]), DIGITS)
     hit = sims >= threshold
-    return i[hit], j[hit], sims[hit], len(i)
+    return i[hit], j[hit], sims[hit], full
 
 
 def pairs_above(df: DataFrame, key: str, threshold: float, vector: str = "embedding",
@@ -245,17 +240,17 @@ def pairs_above(df: DataFrame, key: str, threshold: float, vector: str = "embedd
 
     def homes(batches):
         for pdf in batches:
-            home, angle = side.value.place(_matrix(pdf["v"]))
+            home, angle = place(side.value[0], _matrix(pdf["v"]))
             yield pd.DataFrame({"home": home.astype("int32"), "angle": angle[np.arange(len(home)), home]})
 
-    radius = np.full(len(side.value.centres), -np.inf)
+    radius = np.full(len(side.value[0]), -np.inf)
     for r in v.select("v").mapInPandas(homes, "home int, angle double").groupBy("home").agg(F.max("angle").alias("r")).collect():  # at most max_cells rows
         radius[r["home"]] = r["r"]
     reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
 
     def assign(batches):
         for pdf in batches:
-            home, angle = side.value.place(_matrix(pdf["v"]))
+            home, angle = place(side.value[0], _matrix(pdf["v"]))
             near = angle <= radius[None, :] + reach
             near &= np.arange(len(radius))[None, :] <= home[:, None]  # a pair is reported in its smaller cell
             near[np.arange(len(home)), home] = True
@@ -286,7 +281,7 @@ def pairs_above(df: DataFrame, key: str, threshold: float, vector: str = "embedd
         l, r = pdf[pdf["is_left"]], pdf[~pdf["is_left"]]
         if not len(l) or not len(r):
             return pd.DataFrame({"a": [], "b": [], "similarity": []})
-        i, j, sims, full = _above(_matrix(l["v"]), _matrix(r["v"]), side.value, threshold)
+        i, j, sims, full = _above(_matrix(l["v"]), _matrix(r["v"]), side.value[1], threshold)
         met.add(len(l) * len(r))
         products.add(full)
         li, rj = l["id"].to_numpy()[i], r["id"].to_numpy()[j]
