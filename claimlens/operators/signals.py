@@ -281,22 +281,24 @@ class AmpFamily:
 
 
 class StructFamily:
-    """Adamic-Adar: scores are shares of the claim's largest sum. The best sum over rare follows is at most that, so
-    pairs below s times it cannot be strong, and the largest sum is among the pairs found."""
+    """Adamic-Adar: scores are shares of the claim's largest sum. The best sum among the HEAVY accounts of most mass is at
+    most that, so pairs below s times it cannot be strong, and the largest sum is among the pairs found."""
 
     name = "w_struct"
-    RARE = 8
+    HEAVY = 64  # accounts of a claim whose pairs are summed first, for a bound; the result does not depend on it
 
     def __init__(self, candidates: DataFrame, followers: DataFrame):
         self.rows = materialize(weighted_follows(candidates, followers), "follows")
 
     def _found(self, s: float, report: dict | None = None) -> tuple[DataFrame, DataFrame]:
         t = max(s - ROUNDED, ROUNDED)
-        rare = self.rows.filter(F.col("owners") <= self.RARE)
-        a, b = (rare.select("claim_id", "follows", F.col("account_id").alias(x), *more) for x, more in (("a", ["k"]), ("b", [])))
-        partial = a.join(b, ["claim_id", "follows"]).filter("a < b").groupBy("claim_id", "a", "b").agg(F.sum("k").alias("s"))
+        mass = self.rows.groupBy("claim_id", "account_id").agg(F.sum("k").alias("mass"))
+        place = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.col("mass").desc(), "account_id"))
+        heavy = self.rows.join(mass.withColumn("place", place).filter(F.col("place") <= self.HEAVY).select("claim_id", "account_id"), ["claim_id", "account_id"])
+        a, b = (heavy.select("claim_id", "follows", F.col("account_id").alias(x), *more) for x, more in (("a", ["k"]), ("b", [])))
+        sums = a.join(b, ["claim_id", "follows"]).filter("a < b").groupBy("claim_id", "a", "b").agg(F.sum("k").alias("s"))
         one = self.rows.groupBy("claim_id").agg(F.max("k").alias("s"))  # any two owners of one follow have at least that
-        low = partial.select("claim_id", "s").unionByName(one).groupBy("claim_id").agg(F.max("s").alias("low"))
+        low = sums.select("claim_id", "s").unionByName(one).groupBy("claim_id").agg(F.max("s").alias("low"))
         scale = low.select("claim_id", (F.col("low") * t).alias("unit"))
         rows = self.rows.join(scale, "claim_id")
         found = heavy_pairs(_rows(rows, "follows", F.lit(1), F.col("k") / F.col("unit"), F.lit(1)), report=report)

@@ -142,15 +142,18 @@ def near_duplicate_texts(units: DataFrame, threshold: float = 0.80) -> DataFrame
     prefix = materialize(prefix, "prefixes")
     # the smaller set of a pair needs only its short prefix
     a = prefix.filter(F.col("pos") <= F.col("short")).select(
-        "h", F.col("id").alias("a"), n.alias("na"), (n - F.col("short")).alias("ra"), F.col("short_last").alias("la"),
+        "h", F.col("id").alias("a"), n.alias("na"), F.col("pos").alias("pa"), (n - F.col("short")).alias("ra"), F.col("short_last").alias("la"),
         F.explode(F.array("size_class", F.col("size_class") + 1)).alias("size_class"))
-    b = prefix.select("h", "size_class", F.col("id").alias("b"), n.alias("nb"), (n - F.col("long")).alias("rb"), F.col("long_last").alias("lb"))
+    b = prefix.select("h", "size_class", F.col("id").alias("b"), n.alias("nb"), F.col("pos").alias("pb"), (n - F.col("long")).alias("rb"), F.col("long_last").alias("lb"))
     ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    shared = a.join(b, ["h", "size_class"]).filter(ordered & (F.col("na") >= F.col("nb") * threshold - 1e-9)).groupBy("a", "b").agg(
+    need = F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
+    # sets that share a shingle at these places share at most what lies up to the earlier place and behind the later one
+    room = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    fits = ordered & (F.col("na") >= F.col("nb") * threshold - 1e-9) & (room >= need)
+    shared = a.join(b, ["h", "size_class"]).filter(fits).groupBy("a", "b").agg(
         F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("na", "nb", "ra", "rb", "la", "lb")])
     # common shingles up to the earlier prefix end are all counted; the others lie behind that end
     bound = F.col("c") + F.when(F.col("la") < F.col("lb"), F.col("ra")).otherwise(F.col("rb"))
-    need = F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
     candidates = shared.filter(bound >= need).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     sa = sets.select(F.col("id").alias("a"), F.col("sh").alias("sa"))
     sb = sets.select(F.col("id").alias("b"), F.col("sh").alias("sb"))
