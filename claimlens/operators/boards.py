@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .lineage import materialize
+
 
 def _matches(column: str, q: str | None) -> Column:
     if not q:
@@ -12,9 +14,9 @@ def _matches(column: str, q: str | None) -> Column:
 
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
-    """One page of a listing with the total number of matching rows."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return df.withColumn("total", total).orderBy(*order).offset(offset).limit(limit)
+    """One page of a listing with the total number of matching rows. The listing is written once and read twice."""
+    df = materialize(df, "listing")
+    return df.withColumn("total", F.lit(df.count()).cast("bigint")).orderBy(*order).offset(offset).limit(limit)
 
 
 def statement_counts(posts: DataFrame) -> DataFrame:

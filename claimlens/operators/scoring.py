@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..config import Settings
 from ..functions import scoring as S
+from .lineage import materialize
 from .vectors import best_match
 
 SUPPORTING, OPPOSING = "supporting", "opposing"
@@ -19,16 +22,55 @@ def _is(stance: str) -> Column:
     return F.col("stance") == stance
 
 
+# --- facts: sums of posts that add up -----------------------------------------------------------
+
+FACT_KEYS = ("claim_id", "stance", "author_id", "source", "at")
+FACT_SUMS = ("n", "impressions", "negative_reactions", "positive_reactions", "outrage", "outrage_n")
+
+
+def as_facts(posts: DataFrame) -> DataFrame:
+    """Posts as facts of one row each."""
+    return posts.filter(F.col("claim_id").isNotNull()).select(
+        "claim_id", "stance", "author_id", "source", F.col("created_at").alias("at"), F.lit(1).cast("bigint").alias("n"), "impressions",
+        "negative_reactions", "positive_reactions", F.col("outrage_score").alias("outrage"), F.col("outrage_score").isNotNull().cast("bigint").alias("outrage_n"))
+
+
+def merged_facts(*parts: DataFrame) -> DataFrame:
+    """Facts of several tables added up."""
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.groupBy(*FACT_KEYS).agg(*[F.sum(c).alias(c) for c in FACT_SUMS])
+
+
+def post_facts(posts: DataFrame, bounds: tuple[Column, ...] = ()) -> DataFrame:
+    """Mergeable sums per claim, stance, author, source and hour.
+
+    Every score input is read from these: counts and sums add, distinct authors and sources are keys. `at` is the hour,
+    except in an hour that one of `bounds` cuts, where it is the time itself, so that every window ending at a bound
+    is exact.
+    """
+    hour = F.date_trunc("hour", "at")
+    inside = [(b > hour) & (b < hour + F.expr("INTERVAL 1 HOUR")) for b in bounds]
+    cut = reduce(lambda x, y: x | y, inside, F.lit(False))
+    return merged_facts(as_facts(posts).withColumn("at", F.when(cut, F.col("at")).otherwise(hour)))
+
+
+def window_bounds(as_of: str, s: Settings) -> tuple[Column, ...]:
+    v, n = s.s("velocity_interval_hours"), s.s("npr_window_hours")
+    return tuple(_since(as_of, h) for h in (v, 2 * v, n, 24 * s.s("reach_normalization_window_days")))
+
+
 def reach_inputs(posts: DataFrame, claims: DataFrame, as_of: str, window_days: float = 90) -> DataFrame:
+    return reach_of(as_facts(posts), claims, as_of, window_days)
+
+
+def reach_of(facts: DataFrame, claims: DataFrame, as_of: str, window_days: float = 90) -> DataFrame:
     """Impressions, authors, posts and platforms of each claim's recent supporting posts; zeros when none.
 
     The two distinct counts are taken in steps (pre-aggregate by claim, author and source), so a
     claim holding a third of all posts shrinks on the map side before its rows meet in one task.
     """
-    recent = posts.filter(_is(SUPPORTING) & (F.col("created_at") >= _since(as_of, 24 * window_days)))
-    slim = recent.groupBy("claim_id", "author_id", "source").agg(
-        F.sum("impressions").alias("impressions"), F.count(F.lit(1)).alias("n")
-    )
+    recent = facts.filter(_is(SUPPORTING) & (F.col("at") >= _since(as_of, 24 * window_days)))
+    slim = recent.groupBy("claim_id", "author_id", "source").agg(F.sum("impressions").alias("impressions"), F.sum("n").alias("n"))
     per_author = slim.groupBy("claim_id", "author_id").agg(
         F.sum("impressions").alias("impressions"), F.sum("n").alias("n"), F.collect_set("source").alias("sources")
     )
@@ -46,10 +88,14 @@ def reach_inputs(posts: DataFrame, claims: DataFrame, as_of: str, window_days: f
 
 
 def reach_scores(posts: DataFrame, claims: DataFrame, as_of: str, s: Settings) -> DataFrame:
+    return reach_scores_of(as_facts(posts), claims, as_of, s)
+
+
+def reach_scores_of(facts: DataFrame, claims: DataFrame, as_of: str, s: Settings) -> DataFrame:
     """Raw reach of existing claims, scaled to 0-100 inside each topic."""
     existing = claims.filter(F.col("claim_type") == "existing")
     raw = existing.select("claim_id", "topic_id").join(
-        reach_inputs(posts, existing, as_of, s.s("reach_normalization_window_days")), "claim_id"
+        reach_of(facts, existing, as_of, s.s("reach_normalization_window_days")), "claim_id"
     ).withColumn(
         "raw_reach", S.raw_reach(F.col("impressions"), F.col("unique_authors"), F.col("post_count"), F.col("platforms"), s)
     )
@@ -61,24 +107,29 @@ def reach_scores(posts: DataFrame, claims: DataFrame, as_of: str, s: Settings) -
 
 
 def post_aggregates(posts: DataFrame, as_of: str, s: Settings) -> DataFrame:
-    """Velocity windows, pushback volumes and reaction sums per claim, in one pass over the posts."""
+    return aggregates_of(as_facts(posts), as_of, s)
+
+
+def aggregates_of(facts: DataFrame, as_of: str, s: Settings) -> DataFrame:
+    """Velocity windows, pushback volumes and reaction sums per claim, in one pass over the facts."""
     v, n = s.s("velocity_interval_hours"), s.s("npr_window_hours")
-    at = F.col("created_at")
+    at = F.col("at")
     in_npr = at >= _since(as_of, n)
 
     def count_if(cond, name):
-        return F.count(F.when(cond, 1)).alias(name)
+        return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("bigint").alias(name)
 
     def stance_aggs(stance, tag):
         c = _is(stance)
+        of = lambda x: F.sum(F.when(c, F.col(x)))
         return [
-            F.avg(F.when(c, F.col("outrage_score"))).alias(f"outrage_{tag}"),
-            F.sum(F.when(c, F.col("negative_reactions"))).alias(f"negative_{tag}"),
-            F.sum(F.when(c, F.col("positive_reactions"))).alias(f"positive_{tag}"),
+            (of("outrage") / F.nullif(of("outrage_n"), F.lit(0))).alias(f"outrage_{tag}"),
+            of("negative_reactions").alias(f"negative_{tag}"),
+            of("positive_reactions").alias(f"positive_{tag}"),
             count_if(c, f"posts_{tag}"),
         ]
 
-    return posts.filter(F.col("claim_id").isNotNull()).groupBy("claim_id").agg(
+    return facts.groupBy("claim_id").agg(
         count_if(_is(SUPPORTING) & (at >= _since(as_of, v)), "volume_now"),
         count_if(_is(SUPPORTING) & (at >= _since(as_of, 2 * v)) & (at < _since(as_of, v)), "volume_before"),
         count_if(_is(SUPPORTING) & in_npr, "npr_supporting"),
@@ -89,12 +140,12 @@ def post_aggregates(posts: DataFrame, as_of: str, s: Settings) -> DataFrame:
 
 
 def topic_volume(posts: DataFrame, claims: DataFrame) -> DataFrame:
+    return topic_volume_of(as_facts(posts), claims)
+
+
+def topic_volume_of(facts: DataFrame, claims: DataFrame) -> DataFrame:
     """Hourly supporting posts per topic. Counted per claim first: few rows then meet the claim table."""
-    hourly = (
-        posts.filter(_is(SUPPORTING) & F.col("claim_id").isNotNull())
-        .groupBy("claim_id", F.date_trunc("hour", "created_at").alias("bucket_start"))
-        .count()
-    )
+    hourly = facts.filter(_is(SUPPORTING)).groupBy("claim_id", F.date_trunc("hour", "at").alias("bucket_start")).agg(F.sum("n").alias("count"))
     return (
         hourly.join(claims.select("claim_id", "topic_id"), "claim_id")
         .groupBy("topic_id", "bucket_start")
@@ -116,10 +167,15 @@ def velocity_baseline(volume: DataFrame) -> DataFrame:
 
 
 def velocity_scores(posts: DataFrame, claims: DataFrame, as_of: str, s: Settings) -> DataFrame:
+    facts = as_facts(posts)
+    return velocity_scores_of(facts, aggregates_of(facts, as_of, s), claims, s)
+
+
+def velocity_scores_of(facts: DataFrame, agg: DataFrame, claims: DataFrame, s: Settings) -> DataFrame:
     existing = claims.filter(F.col("claim_type") == "existing").select("claim_id", "topic_id")
-    agg = post_aggregates(posts, as_of, s).select("claim_id", "volume_now", "volume_before")
+    agg = agg.select("claim_id", "volume_now", "volume_before")
     zero = F.lit(0).cast("bigint")
-    base = velocity_baseline(topic_volume(posts, claims))
+    base = velocity_baseline(topic_volume_of(facts, claims))
     return (
         existing.join(agg, "claim_id", "left").join(base, "topic_id", "left")
         .select(
@@ -188,14 +244,21 @@ def pushback(agg: DataFrame, claims: DataFrame, s: Settings) -> DataFrame:
 
 def rescore(claims: DataFrame, posts: DataFrame, corpus: DataFrame, s: Settings, as_of: str,
             verdicts: DataFrame | None = None) -> DataFrame:
-    """Every score of every claim in one plan. Claims that are only predicted keep NULL scores."""
+    """Every score of every claim. The posts are read once, into facts."""
+    facts = materialize(post_facts(posts, window_bounds(as_of, s)), "facts")
+    return rescore_facts(claims, facts, corpus, s, as_of, verdicts)
+
+
+def rescore_facts(claims: DataFrame, facts: DataFrame, corpus: DataFrame, s: Settings, as_of: str,
+                  verdicts: DataFrame | None = None) -> DataFrame:
+    """Every score of every claim from a table of facts. Claims that are only predicted keep NULL scores."""
     existing = claims.filter(F.col("claim_type") == "existing")
-    agg = post_aggregates(posts, as_of, s)
+    agg = aggregates_of(facts, as_of, s)
     zero = F.lit(0).cast("bigint")
     scored = (
         harm_scores(existing, s)
-        .join(reach_scores(posts, existing, as_of, s).select("claim_id", "reach_score"), "claim_id", "left")
-        .join(velocity_scores(posts, claims, as_of, s).select("claim_id", "velocity_score"), "claim_id", "left")
+        .join(reach_scores_of(facts, existing, as_of, s).select("claim_id", "reach_score"), "claim_id", "left")
+        .join(velocity_scores_of(facts, agg, claims, s).select("claim_id", "velocity_score"), "claim_id", "left")
         .join(falseness_scores(existing, corpus, s, verdicts).select("claim_id", "falseness_score"), "claim_id", "left")
         .join(agg.select("claim_id", "npr_supporting", "npr_opposing"), "claim_id", "left")
         .join(emotional_intensity(agg), "claim_id", "left")
@@ -229,3 +292,27 @@ def score_snapshots(scored: DataFrame, as_of: str) -> DataFrame:
     return scored.filter(F.col("final_score").isNotNull()).select(
         "claim_id", "final_score", F.lit(as_of).cast("timestamp").alias("recorded_at")
     )
+
+
+class FactStore:
+    """Facts on disk, one folder for each batch of posts: a rescore adds them up and reads no post again.
+
+    A batch that is delivered twice replaces its own folder. Times must be whole hours: the facts of a past hour can
+    no longer be cut.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def add(self, posts: DataFrame, batch: int) -> None:
+        post_facts(posts).withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.path)
+
+    def facts(self) -> DataFrame:
+        return merged_facts(self.spark.read.parquet(self.path).select(*FACT_KEYS, *FACT_SUMS))
+
+    def rescore(self, claims: DataFrame, corpus: DataFrame, s: Settings, as_of: str, verdicts: DataFrame | None = None) -> DataFrame:
+        hour = self.spark.sql("SELECT date_trunc('HOUR', CAST(:t AS timestamp)) = CAST(:t AS timestamp) AS whole", args={"t": as_of}).first()
+        steps = (s.s("velocity_interval_hours"), s.s("npr_window_hours"), 24 * s.s("reach_normalization_window_days"))
+        if not hour["whole"] or any(x != int(x) for x in steps):
+            raise ValueError("stored facts are hourly: as_of and all windows have to be whole hours")
+        return rescore_facts(claims, materialize(self.facts(), "facts"), corpus, s, as_of, verdicts)
