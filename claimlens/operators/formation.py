@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
 from .density import density_clusters
 from .graph import connected_components
 from .lineage import materialize
-from .vectors import best_match, centroids, pairs_above, vector_classes
+from .vectors import best_match, pairs_above, unit_vectors, vector_classes
 
 
 def attach_to_claims(posts: DataFrame, vectors: DataFrame, claims: DataFrame, threshold: float = 0.55) -> DataFrame:
@@ -76,9 +78,11 @@ def assign_topics(claims: DataFrame, topics: DataFrame, threshold: float = 0.5)
     """(claim_id, topic_id, topic_name, how): name match, else nearest centroid, else a new topic by label.
 
     claims: claim_id, topic_label, embedding; topics: topic_id, name, embedding. All claims are matched
-    against the centroids as they stand at the start of the batch.
+    against the centroids as they stand at the start of the batch. The id of a new topic follows from its name, so
+    batches that run apart, or again, give the same topic the same id.
     """
     norm = lambda c: F.lower(F.trim(c))
+    topics = topics.withColumn("topic_id", F.col("topic_id").cast("bigint"))
     by_name = topics.groupBy(norm("name").alias("k")).agg(F.min(F.struct("topic_id", "name")).alias("t"))
     named = claims.withColumn("k", norm("topic_label")).join(by_name, "k", "left")
     hit = named.filter("t IS NOT NULL").select("claim_id", "t.topic_id", F.col("t.name").alias("topic_name"), F.lit("name").alias("how"))
@@ -88,12 +92,31 @@ def assign_topics(claims: DataFrame, topics: DataFrame, threshold: float = 0.5)
         "claim_id", "topic_id", "topic_name", F.lit("centroid").alias("how"))
     left = rest.select("claim_id", "k", "topic_label").join(best.select("claim_id"), "claim_id", "left_anti")
     names = left.groupBy("k").agg(F.min(F.trim("topic_label")).alias("topic_name"))
-    new = left.join(names, "k").select("claim_id", F.lit(None).cast(topics.schema["topic_id"].dataType).alias("topic_id"), "topic_name", F.lit("new").alias("how"))
+    new = left.join(names, "k").select("claim_id", stable_id("k").alias("topic_id"), "topic_name", F.lit("new").alias("how"))
     return hit.unionByName(near).unionByName(new)
 
 
-def topic_centroids(claims: DataFrame) -> DataFrame:
-    return centroids(claims.select("topic_id", "embedding"), "topic_id")
+def stable_id(name: str):
+    """A 60-bit id from a name: the same in every batch."""
+    return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("bigint")
+
+
+def topic_sums(claims: DataFrame) -> DataFrame:
+    """(topic_id, pos, n, total): the state behind centroids, one row for each topic and dimension; claims without a
+    vector or a topic don't count."""
+    rows = claims.filter("topic_id IS NOT NULL AND embedding IS NOT NULL").select("topic_id", F.posexplode("embedding").alias("pos", "x"))
+    return rows.groupBy("topic_id", "pos").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x").cast("double")).alias("total"))
+
+
+def merged_topic_sums(*states: DataFrame) -> DataFrame:
+    """States of several batches added up: a centroid is updated by the claims of a batch, not worked out again."""
+    return reduce(DataFrame.unionByName, states).groupBy("topic_id", "pos").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+def topic_centroids(state: DataFrame) -> DataFrame:
+    """(topic_id, embedding) of a state: the mean of each topic's claims, scaled to length 1."""
+    parts = state.groupBy("topic_id").agg(F.sort_array(F.collect_list(F.struct("pos", (F.col("total") / F.col("n")).alias("m")))).alias("parts"))
+    return unit_vectors(parts.select("topic_id", F.transform("parts", lambda p: p["m"]).alias("embedding")))
 
 
 def formation_summary(attached: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -16,9 +16,10 @@ from ..operators import labels as L
 from ..operators import pair_check as PC
 from ..operators import policies as P
 from ..operators import scoring as Q
-from ..operators.lineage import materialize
+from ..operators.lineage import materialize, new_path
 from ..operators.vectors import centroids, with_vectors
 from ..sources import landed
+from .formation_run import FormationInputs, form
 from .registry import query
 from .views import AS_OF, Model
 
@@ -325,6 +326,35 @@ def _(m):
     return C.formation_summary(_attached(m), _clusters(m))
 
 
+@query("c04_topic_state")
+def _(m):
+    """Centroids from the sums of two batches of claims, added up."""
+    claims = claims_v(m)
+    half = lambda k: C.topic_sums(claims.filter(F.col("claim_id") % 2 == k))
+    rows = C.topic_centroids(C.merged_topic_sums(half(0), half(1)))
+    return rows.select("topic_id", F.posexplode("embedding").alias("pos", "x")).select("topic_id", "pos", F.round("x", 6).alias("x"))
+
+
+def formation(m):
+    inputs = FormationInputs(m.posts, m.embeddings, claims_v(m), m.topics, m.documents, corpus_v(m))
+    return form(inputs, SETTINGS, AS_OF, 0.40)
+
+
+@query("run_formation")
+def _(m):
+    return formation(m)["summary"]
+
+
+@query("run_formation_claims")
+def _(m):
+    return formation(m)["claims"].select("cluster", "claim_id", F.md5("claim_statement").alias("statement_md5"), "post_count", "topic_id", "topic_name", "how")
+
+
+@query("run_formation_scores")
+def _(m):
+    return formation(m)["scores"].select("claim_id", "topic_id", *Q.SCORE_COLUMNS)
+
+
 # --- scoring --------------------------------------------------------------------------------------
 
 
@@ -425,6 +455,15 @@ def _(m):
     return scored(m).select("claim_id", "claim_type", "topic_id", *Q.SCORE_COLUMNS)
 
 
+@query("q18_incremental_rescore")
+def _(m):
+    """Posts that come in three batches, one of them delivered twice; the rescore reads their stored facts only."""
+    store = Q.FactStore(m.spark, new_path(m.spark, "facts"))
+    for batch in (0, 1, 1, 2):
+        store.add(m.posts.filter(F.col("post_id") % 3 == batch), batch)
+    return store.rescore(claims_v(m), corpus_v(m), SETTINGS, AS_OF, verdicts(m)).select("claim_id", "claim_type", "topic_id", *Q.SCORE_COLUMNS)
+
+
 @query("q19_score_snapshots")
 def _(m):
     return Q.score_snapshots(scored(m), AS_OF)

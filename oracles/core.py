@@ -190,6 +190,21 @@ def density_parts(epsilon=0.40, least=2, levels=8):
 
 
 CTES.update(density_parts())
+CTES.update({
+    "f_clusters": "SELECT post_id, c.comp AS cluster FROM rest_posts JOIN d_rep USING (vec_id) JOIN d_comp c ON c.u = rep JOIN d_chosen x ON x.l = c.l AND x.comp = c.comp",
+    "f_built": f"""SELECT cluster, CAST('0x' || substr(md5('claim:' || cluster), 1, 15) AS BIGINT) AS claim_id, text, {TOPIC.format(c='text')} AS topic_label, n AS post_count, v FROM (
+ SELECT f.cluster, p.*, count(*) OVER (PARTITION BY cluster) AS n, row_number() OVER (PARTITION BY cluster ORDER BY created_at, p.post_id) AS r FROM f_clusters f JOIN v_posts p USING (post_id)) x JOIN documents USING (doc_id) JOIN emb USING (vec_id) WHERE r = 1""",
+    "f_mean": "SELECT topic_id, pos, avg(x[pos]) AS m FROM (SELECT topic_id, v AS x, unnest(range(1, len(v) + 1)) AS pos FROM v_claims JOIN emb USING (vec_id)) y GROUP BY 1, 2",
+    "f_state": "SELECT topic_id, pos - 1 AS pos, m / sqrt(sum(m * m) OVER (PARTITION BY topic_id)) AS x FROM f_mean",
+    "f_cents": "SELECT topic_id, list(x ORDER BY pos) AS v FROM f_state GROUP BY 1",
+    "f_named": "SELECT b.claim_id, t.topic_id, t.name FROM f_built b JOIN v_topics t ON lower(trim(t.name)) = lower(trim(b.topic_label))",
+    "f_rest": "SELECT * FROM f_built WHERE claim_id NOT IN (SELECT claim_id FROM f_named)",
+    "f_best": best("f_rest", "claim_id", "f_cents", "topic_id", "sim >= 0.20"),
+    "f_topics": """SELECT claim_id, topic_id, name AS topic_name, 'name' AS how FROM f_named UNION ALL SELECT claim_id, b.topic_id, t.name, 'centroid' FROM f_best b JOIN v_topics t USING (topic_id)
+ UNION ALL SELECT claim_id, CAST('0x' || substr(md5(lower(trim(topic_label))), 1, 15) AS BIGINT), min(trim(topic_label)) OVER (PARTITION BY lower(trim(topic_label))), 'new' FROM f_rest WHERE claim_id NOT IN (SELECT claim_id FROM f_best)""",
+    "f_said": "SELECT claim_id FROM attached UNION SELECT claim_id FROM f_built",
+    "f_touched": "SELECT DISTINCT topic_id FROM (SELECT topic_id FROM v_claims WHERE claim_id IN (SELECT claim_id FROM attached) UNION ALL SELECT topic_id FROM f_topics) x",
+})
 
 SQL = {
     "s01_read_tables": """SELECT 'events' AS name, count(*) AS n, round(sum(value), 2) AS total FROM events
@@ -251,12 +266,16 @@ UNION ALL SELECT 2, CAST(topic_id AS BIGINT), name FROM v_topics""",
     "c01_attach_to_claims": f"SELECT a.post_id, a.claim_id, round(a.sim, 6) AS similarity, {STANCE.format(c='d.text')} AS stance FROM attached a JOIN documents d USING (doc_id)",
     "c02_cluster_posts": "SELECT post_id, cluster FROM clusters",
     "c02_density_clusters": "SELECT post_id, c.comp AS cluster FROM rest_posts JOIN d_rep USING (vec_id) JOIN d_comp c ON c.u = rep JOIN d_chosen x ON x.l = c.l AND x.comp = c.comp",
+    "c04_topic_state": "SELECT topic_id, CAST(pos AS INT) AS pos, round(x, 6) AS x FROM f_state",
+    "run_formation": """SELECT (SELECT count(DISTINCT cluster) FROM f_clusters) AS claims_created, (SELECT count(DISTINCT claim_id) FROM attached) AS claims_updated,
+ (SELECT count(*) FROM f_clusters) + (SELECT count(*) FROM attached) AS posts_clustered, (SELECT count(DISTINCT topic_id) FROM f_topics WHERE how = 'new') AS topics_created, (SELECT count(*) FROM f_touched) AS topics_rescored""",
+    "run_formation_claims": "SELECT cluster, claim_id, md5(text) AS statement_md5, post_count, topic_id, topic_name, how FROM f_built JOIN f_topics USING (claim_id)",
     "c07_formation_summary": "SELECT (SELECT count(DISTINCT cluster) FROM clusters) AS claims_created, (SELECT count(DISTINCT claim_id) FROM attached) AS claims_updated, (SELECT count(*) FROM clusters) + (SELECT count(*) FROM attached) AS posts_clustered",
     "c03_build_claims": f"""SELECT claim_id AS cluster, text AS claim_statement, {TOPIC.format(c='text')} AS topic_label, 'unreviewed' AS status, vec_id, created_at AS first_caught_at, n AS post_count
 FROM (SELECT *, count(*) OVER (PARTITION BY claim_id) AS n, row_number() OVER (PARTITION BY claim_id ORDER BY created_at, post_id) AS r FROM v_posts WHERE claim_id IS NOT NULL) x JOIN documents USING (doc_id) WHERE r = 1""",
     "c04_assign_topics": """SELECT claim_id, topic_id, name AS topic_name, 'name' AS how FROM t_named
 UNION ALL SELECT claim_id, b.topic_id, t.name, 'centroid' FROM t_best b JOIN v_topics t USING (topic_id)
-UNION ALL SELECT claim_id, NULL, min(trim(topic_label)) OVER (PARTITION BY lower(trim(topic_label))), 'new' FROM t_rest WHERE claim_id NOT IN (SELECT claim_id FROM t_best)""",
+UNION ALL SELECT claim_id, CAST('0x' || substr(md5(lower(trim(topic_label))), 1, 15) AS BIGINT), min(trim(topic_label)) OVER (PARTITION BY lower(trim(topic_label))), 'new' FROM t_rest WHERE claim_id NOT IN (SELECT claim_id FROM t_best)""",
     "c05_centroid": """SELECT label, CAST(pos - 1 AS INT) AS pos, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 6) AS x FROM (
  SELECT label, pos, avg(v[pos]) AS m FROM (SELECT label, v, unnest(range(1, len(v) + 1)) AS pos FROM emb) x GROUP BY 1, 2) y""",
     "c06_topic_volume": "SELECT topic_id, bucket_start::TIMESTAMP AS bucket_start, supporting_volume FROM tvol",
@@ -285,6 +304,7 @@ LEFT JOIN reach USING (claim_id) LEFT JOIN vel USING (claim_id) LEFT JOIN false8
     "q16_claim_score": "SELECT claim_id, claim_score FROM scored",
     "q17_final_score": "SELECT claim_id, final_score FROM scored",
     "q18_rescore": """SELECT claim_id, claim_type, topic_id, reach_score, velocity_score, falseness_score, harm_score, emotional_intensity_score, ei_opposing, npr, is_dormant, discount_factor, claim_score, final_score FROM scored""",
+    "q18_incremental_rescore": """SELECT claim_id, claim_type, topic_id, reach_score, velocity_score, falseness_score, harm_score, emotional_intensity_score, ei_opposing, npr, is_dormant, discount_factor, claim_score, final_score FROM scored""",
     "q19_score_snapshots": f"SELECT claim_id, final_score, {AS_OF} AS recorded_at FROM scored WHERE final_score IS NOT NULL",
     "d01_existing_board": """SELECT claim_id, claim_statement, topic_id, status, final_score, coalesce(supporting_count, 0) AS supporting_count, coalesce(opposing_count, 0) AS opposing_count, alert_on, total
 FROM (SELECT *, count(*) OVER () AS total FROM scored WHERE claim_type = 'existing' AND topic_id IN (0, 1, 2, 3) AND claim_statement ILIKE '%th%' ORDER BY final_score DESC NULLS LAST, claim_id LIMIT 20 OFFSET 3) x
