@@ -6,6 +6,8 @@ that they do not depend on the community search.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import FAMILY_WEIGHTS, DetectorParameters
@@ -13,6 +15,7 @@ from ..functions import text as T
 from ..operators import evidence as V
 from ..operators import graph as X
 from ..operators import metrics as M
+from ..operators import scoring as Q
 from ..operators import signals as N
 from ..operators import textdup as D
 from ..operators.fusion import effective_weights_table
@@ -21,8 +24,8 @@ from ..operators.lineage import materialize, new_path
 from ..operators.overlap import shared_sums
 from ..sources import sinks
 from ..streaming import streams as ST
-from .catalog_core import SETTINGS, claims_v
-from .detection import edge_table, text_links
+from .catalog_core import SETTINGS, claims_v, corpus_v
+from .detection import Inputs, detect, edge_table, text_links
 from .registry import query
 from .views import AS_OF, VIEW_SQL, Model
 
@@ -31,6 +34,13 @@ WINDOW_HOURS = 720.0
 P = DetectorParameters(window_days=30, bin_width_seconds=3600, sem_threshold=0.40, edge_threshold=0.20)
 
 
+def _listed(m: Model) -> DataFrame:
+    """(entry): accounts by id, and the handles of a few others."""
+    named = lambda rule: m.customer.filter(rule).select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("entry"))
+    handles = m.accounts.join(named("c_acctbal > 9990").withColumnRenamed("entry", "account_id"), "account_id", "left_semi").select(F.col("handle").alias("entry"))
+    return named("c_acctbal < -500").unionByName(handles)
+
+
 class Run:
     """Shared steps of the checks below; each is built on first use."""
 
@@ -48,10 +58,7 @@ class Run:
         return self._once("cand", lambda: N.candidate_posts(self.m.posts, self.m.claims, START, AS_OF))
 
     def exclusions(self):
-        """Accounts listed by id, and all that share the handle of a few others."""
-        named = lambda rule: self.m.customer.filter(rule).select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("entry"))
-        handles = self.m.accounts.join(named("c_acctbal > 9990").withColumnRenamed("entry", "account_id"), "account_id", "left_semi").select(F.col("handle").alias("entry"))
-        return N.listed_accounts(named("c_acctbal < -500").unionByName(handles), self.m.accounts)
+        return N.listed_accounts(_listed(self.m), self.m.accounts)
 
     def candidates(self):
         return self._once("candidates", lambda: N.select_candidates(self.cand(), self.exclusions(), P.candidate_cap))
@@ -484,6 +491,35 @@ def _(r):
     return V.purge_all(tables, named)[1]
 
 
+def _detection(r):
+    """The whole run on the model, with the parameters of the checks above and gates that fit its few posts an account."""
+    def make():
+        m = r.m
+        inputs = Inputs(m.posts, m.claims, m.documents, m.accounts, r.vectors(), m.followers, exclusions=_listed(m), phrases=r.phrases())
+        return detect(inputs, START, AS_OF, AS_OF, replace(P, min_cluster_size=4, anchor_share=0.30, min_claim_posts=8))
+
+    return r._once("detection", make)
+
+
+@run_query("run_detection")
+def _(r):
+    """Networks of a whole run, on communities that the run itself found."""
+    return _detection(r)["networks"].select(
+        "network_id", "claim_id", "account_count", "post_count", "coordination_score", "signal_breadth", "confidence_band", "density", "conductance", "parent_network_id")
+
+
+@run_query("run_detection_claims")
+def _(r):
+    """What a whole run examined in each claim, up to the communities: accounts, edges, and the core."""
+    out = _detection(r)
+    core = out["core"]
+    nodes = core.select("g", F.explode(F.array("a", "b")).alias("node")).distinct().groupBy(F.col("g").alias("claim_id")).agg(F.count(F.lit(1)).alias("core_accounts"))
+    edges = out["edges"].groupBy("claim_id").agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("w_total"), 6).alias("weight"))
+    accounts = out["candidates"].groupBy("claim_id").agg(F.count(F.lit(1)).alias("accounts"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    return accounts.join(edges, "claim_id", "left").join(nodes, "claim_id", "left").select("claim_id", "accounts", zero("edges"), zero("core_accounts"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
+
+
 # --- sinks and streams ----------------------------------------------------------------------------
 
 
@@ -513,6 +549,15 @@ def _(m):
     return ST.run_ingest(_post_stream(m), m.embeddings, claims, SETTINGS["clustering.claim_attach_threshold"])
 
 
+@query("t01_stream_scores")
+def _(m):
+    """Scores after a stream: its facts are all the rescore reads."""
+    facts = Q.FactStore(m.spark, new_path(m.spark, "stream-facts"))
+    claims = claims_v(m)
+    ST.run_ingest(_post_stream(m), m.embeddings, claims.filter("claim_type = 'existing'"), SETTINGS["clustering.claim_attach_threshold"], facts=facts, texts=m.documents)
+    return facts.rescore(claims, corpus_v(m), SETTINGS, AS_OF).select("claim_id", *Q.SCORE_COLUMNS)
+
+
 @query("t02_stream_topic_volume")
 def _(m):
     return ST.run_updates(ST.topic_volume(_post_stream(m), m.claims), ["topic_id", "bucket_start"], "volume")
@@ -526,3 +571,15 @@ def _(m):
 @query("t04_stream_bursts")
 def _(m):
     return ST.burst_scores(ST.run_updates(ST.minute_bins(_post_stream(m)), ["claim_id", "bin_start"], "bins"))
+
+
+@query("t03_stream_dormancy")
+def _(m):
+    """The last volumes of every claim; those whose window has run empty are dormant."""
+    rows = ST.run_append(ST.pushback_now(_post_stream(m)), "dormancy", "update")
+    return rows.groupBy("claim_id").agg(F.max_by(F.struct("supporting", "opposing", "is_dormant"), "at").alias("r")).select("claim_id", "r.*")
+
+
+@query("t04_stream_burst_updates")
+def _(m):
+    return ST.run_append(ST.burst_updates(_post_stream(m)), "burst-updates")

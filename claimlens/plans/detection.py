@@ -110,7 +110,7 @@ def detect(inputs: Inputs, start: str, end: str, as_of: str, p: DetectorParamete
     pass_eligible = net_eligible.join(passed.select("network_id").distinct(), "network_id", "left_semi")
     posts_evidence = V.duplicate_groups(pass_posts, pass_eligible, links, inputs.texts)
     return {
-        "candidates": candidates, "edges": edges, "members": members, "gate": gate, "metrics": scores, "networks": networks,
+        "candidates": candidates, "edges": edges, "core": core, "members": members, "gate": gate, "metrics": scores, "networks": networks,
         "offtopic": offtopic_clusters(gate, scores), "evidence_posts": posts_evidence,
         "bursts": V.burst_timeline(pass_posts), "edge_snapshot": V.edge_snapshot(edges, passed), "terms": terms,
         "annex": V.account_annex(passed, pass_posts, edges, V.duplication_rate(pass_posts, pass_eligible, links), inputs.accounts, V.network_centrality(edges, passed)),

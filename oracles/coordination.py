@@ -218,6 +218,9 @@ SQL = {
     "n17_w_struct": "SELECT claim_id, a, b, score FROM w_struct",
     "n18_pair_key": "SELECT least(account_id, 'u' || CAST(follows AS VARCHAR)) AS a, greatest(account_id, 'u' || CAST(follows AS VARCHAR)) AS b, count(*) AS n FROM v_followers GROUP BY 1, 2",
     "n19_effective_weights": """SELECT claim_id, family, round(w + w / on_sum * (total - on_sum), 6) AS weight FROM (SELECT *, sum(w) FILTER (available) OVER (PARTITION BY claim_id) AS on_sum, sum(w) OVER (PARTITION BY claim_id) AS total FROM fam) x WHERE available""",
+    "run_detection_claims": f"""SELECT claim_id, count(*) AS accounts, coalesce(any_value(e.n), 0) AS edges, coalesce(any_value(k.n), 0) AS core_accounts, coalesce(any_value(e.w), 0.0)::DOUBLE AS weight
+FROM candidates LEFT JOIN (SELECT claim_id, count(*) AS n, round(sum(w_total), 6) AS w FROM fused GROUP BY 1) e USING (claim_id)
+LEFT JOIN (SELECT claim_id, count(DISTINCT u) AS n FROM (SELECT claim_id, a AS u FROM core_{CORE_ROUNDS} UNION ALL SELECT claim_id, b FROM core_{CORE_ROUNDS}) x GROUP BY 1) k USING (claim_id) GROUP BY claim_id""",
     "n20_fuse_edges": f"SELECT claim_id, a, b, w_total, {', '.join(FAMILIES)}, signal_count FROM fused",
     "x01_k_core": f"SELECT claim_id, a, b, w_total AS w FROM core_{CORE_ROUNDS} WHERE (SELECT count(*) FROM core_{CORE_ROUNDS - 1}) = (SELECT count(*) FROM core_{CORE_ROUNDS})",
     "x02_connected_components": "SELECT claim_id, u AS node, min(w) AS component FROM e_walk GROUP BY ALL",
