@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -92,11 +93,19 @@ def proposals(text: str, base) -> list[tuple[str, int, int]]:
             m = IBAN.match(text, s - 2)
             if m:
                 out.append(("iban", *m.span()))
-    kept, taken = [], sorted((a, b) for _, a, b in base)
+    kept, starts, ends = [], [], []  # what is taken, as sorted ranges that do not overlap
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     for kind, a, b in sorted(out, key=lambda x: (KINDS.index(x[0]), x[1])):
-        if all(b <= x or y <= a for x, y in taken):
+        i = bisect_left(starts, b)  # of the ranges that begin before b the last one reaches farthest
+        if i == 0 or ends[i - 1] <= a:
             kept.append((kind, a, b))
-            taken.append((a, b))
+            starts.insert(i, a)
+            ends.insert(i, b)
     return kept
 
 

@@ -104,6 +104,22 @@ def test_long_secrets_are_taken_whole():
     assert [m.group(1) for m in pii.SECRET.finditer(f"token = '{key}', more")] == [key]
 
 
+def test_proposals_of_long_texts_take_linear_time():
+    import time
+
+    text = "".join(f"write to bob{i} at mail{i % 7} dot example dot com or 0{i % 10}0-555-{i:07}, 10.0.0.{i % 256} " for i in range(12_000))
+    took = []
+    for n in (len(text) // 4, len(text)):
+        t0 = time.perf_counter()
+        part = text[:n]
+        base = pii.base_spans(part)
+        found = pii.proposals(part, base)
+        took.append(time.perf_counter() - t0)
+    assert len(found) > 5_000 and took[1] < 10 * took[0] + 0.5
+    spans = sorted((a, b) for _, a, b in found + base)
+    assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+
+
 def test_labelers_agree_more_on_what_they_agree_on():
     counts = [("secret", (0, 1, 2, 1, 1), 31, 90), ("secret", (0, 0, 2, 2, 0), 31, 60), ("secret", (0, 0, 2, 1, 1), 7, 10)]
     p = pii.estimate(counts)
@@ -206,10 +222,27 @@ def test_mixing_settles_on_correlated_cells(spark):
 
 def test_licences(docs, empty):
     got = {(r.doc_id, r.unit, r.license_id) for r in licenses.scan(docs).collect()}
-    assert got == {(14, "document", "Apache-2.0"), (14, "line", "Apache-2.0")}
+    assert got == {(14, "document", "Apache-2.0"), (14, "paragraph", "Apache-2.0"), (14, "line", "Apache-2.0")}
     assert licenses.scan(empty).count() == 0
 
 
+def test_licence_blocks_own_lists_and_spellings(spark):
+    header = next(t for i, t in licenses.KNOWN if i == "Apache-2.0" and len(t) > 200)
+    words, lines = header.split(), []
+    while words:
+        lines.append(" * " + " ".join(words[:9]))
+        words = words[9:]
+    code = "/*\n * Copyright 2020 Some One\n *\n" + "\n".join(lines) + "\n */\nint main() { return 0; }\n"
+    mit = next(t for i, t in licenses.KNOWN if i == "MIT" and len(t) > 200).removeprefix("MIT License ")
+    rows = [(1, code), (2, "Read me.\n\nMIT LICENCE\n" + mit.replace(". ", ".\n") + "\n\nThe end."), (None, "Licensed under the MIT License."), (None, "Licensed under the MIT License."), (3, None), (4, "dedicated to all")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.unit, r.license_id, r.n) for r in licenses.scan(frame).collect()}
+    assert got == {(1, "comment", "Apache-2.0", 1), (2, "paragraph", "MIT", 1), *((None, u, "MIT", 2) for u in ("document", "paragraph", "line"))}
+    own = licenses.digests(spark, (("PD", "Dedicated to all"), ("L", "license license")))
+    more = frame.unionByName(spark.createDataFrame([(5, "licence licence")], frame.schema))
+    assert {(r.doc_id, r.license_id) for r in licenses.scan(more, own).collect()} == {(4, "PD"), (5, "L")}
+
+
 def test_urls(spark):
     pages = [(1, "http://a.example.net/en/1", ""), (2, "http://b.net/x", ""), (3, None, None), (4, "no scheme", ""), (5, "https://Blog.Example.com/de/z?q#f", ""),
              (6, "http://spam.info/", '<a href="http://b.net/x">'), (7, "http://good.info/", ""), (8, "http://a.example.net/en/2", '<a href="http://good.info/">')]
