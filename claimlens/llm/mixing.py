@@ -124,7 +124,7 @@ def weigh(docs: DataFrame, mix: Mix | None = None, *more: str) -> DataFrame:
     out = rows.join(cells, list(MARGINALS))
     return out.select(
         "doc_id", "source", "lang", "topic", "tokens", F.round(F.col("mass") / F.col("cell_tokens") * F.col("tokens"), 3).alias("mass"),
-        F.round("probability", 6).alias("probability"), (ticket(F.col("doc_id")) < F.round("probability", 6)).alias("kept"), *more,
+        F.round("probability", 6).alias("probability"), (ticket(F.col("doc_id")) < F.round("probability", 12)).alias("kept"), *more,
     )
 
 
@@ -146,7 +146,7 @@ total AS (SELECT sum(tokens) AS total FROM c0)"""]
         out.append(f"s{i + 1} AS MATERIALIZED (SELECT coalesce(({mix.share} * sum(tokens) - sum(CASE WHEN mass * s >= tokens THEN tokens ELSE 0 END)) / nullif(sum(CASE WHEN mass * s >= tokens THEN 0 ELSE mass END), 0), any_value(s)) AS s FROM c{n}, s{i})")
     return ",\n".join(out) + f"""
 SELECT doc_id, source, lang, topic, r.tokens, round(mass / c.tokens * r.tokens, 3) AS mass, round(least(mass * s / c.tokens, 1.0), 6) AS probability,
-       ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < round(least(mass * s / c.tokens, 1.0), 6) AS kept
+       ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < round(least(mass * s / c.tokens, 1.0), 12) AS kept
 FROM r JOIN c{n} c USING (source, lang, topic), s{mix.scaling}
 """
 
