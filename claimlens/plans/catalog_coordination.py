@@ -536,6 +536,20 @@ def _(m):
     return spark.read.parquet(out).select("claim_id", "final_score", "recorded_at")
 
 
+@query("s14_committed_table")
+def _(m):
+    """The same appends, replacement and deletion with commit records; a batch is written twice, and one is not committed."""
+    spark = m.spark
+    table = sinks.CommittedTable(spark, new_path(spark, "committed"), "claim_id bigint, final_score double, recorded_at timestamp, date date", "date")
+    rows = m.snapshots.withColumn("date", F.to_date("recorded_at"))
+    for batch in ("a", "a"):
+        table.append(rows, batch)
+    table.write_files(rows)
+    days = m.alerts.select(F.to_date("added_at").alias("day")).distinct()
+    table.replace(rows.join(days, F.col("date") == F.col("day"), "left_semi").withColumn("final_score", F.lit(0.0)), "b")
+    return table.read().join(m.alerts.select("claim_id").distinct(), "claim_id", "left_anti").select("claim_id", "final_score", "recorded_at")
+
+
 def _post_stream(m: Model) -> DataFrame:
     """The posts view over a stream of the events file."""
     events = ST.read_stream(m.spark, m.tables.folder, "events", glob="events.parquet")

@@ -272,6 +272,7 @@ FROM v_claims c LEFT JOIN (SELECT claim_id, count(*) AS n FROM candidates GROUP
         f"SELECT '{name}' AS table_name, count(*) FILTER (network_id IN (FROM named)) AS purged, count(*) FILTER (network_id NOT IN (FROM named)) AS kept FROM {table}"
         for name, table in {"posts": "npost", "bursts": "bursts", "edges": "medge", "accounts": "mem", "terms": "terms"}.items()),
     "s14_write_and_delete": """SELECT claim_id, CASE WHEN CAST(recorded_at AS DATE) IN (SELECT CAST(added_at AS DATE) FROM v_alerts) THEN 0.0 ELSE final_score END AS final_score, recorded_at FROM v_snapshots WHERE claim_id NOT IN (SELECT claim_id FROM v_alerts)""",
+    "s14_committed_table": """SELECT claim_id, CASE WHEN CAST(recorded_at AS DATE) IN (SELECT CAST(added_at AS DATE) FROM v_alerts) THEN 0.0 ELSE final_score END AS final_score, recorded_at FROM v_snapshots WHERE claim_id NOT IN (SELECT claim_id FROM v_alerts)""",
     "t01_stream_ingest": """SELECT p.post_id, p.external_ref, p.created_at, coalesce(p.claim_id, b.claim_id) AS claim_id FROM v_posts p LEFT JOIN open_best b ON b.vec_id = p.vec_id AND p.claim_id IS NULL
 WHERE p.external_ref IS NULL OR p.post_id = (SELECT min(post_id) FROM v_posts q WHERE q.external_ref = p.external_ref)""",
     "t02_stream_topic_volume": "SELECT topic_id, bucket_start::TIMESTAMP AS bucket_start, supporting_volume FROM tvol",
