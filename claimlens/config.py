@@ -36,6 +36,7 @@ SETTING_DEFAULTS = {
     "matchmaking.claim_prefilter_threshold": "0.35",
     "ai.debunk_segment_max_count": "3",
 }
+# Settings that are whole numbers, and the ceiling of one of them.
 INTEGER_SETTINGS = (
     "scoring.reach_normalization_window_days",
     "scoring.npr_reliability_minimum_posts",
@@ -103,6 +104,7 @@ def load_settings(stored: DataFrame) -> Settings:
 FAMILY_WEIGHTS = {"w_time": 0.30, "w_text": 0.25, "w_amp": 0.20, "w_meta": 0.15, "w_struct": 0.10}
 
 
+# Defaults of a detection run.
 @dataclass(frozen=True)
 class DetectorParameters:
     window_days: int = 7

@@ -90,6 +90,7 @@ def summary_block(rows: DataFrame, max_lines: int, max_topics: int) -> DataFrame
         mine = F.filter(F.sort_array(F.collect_list(F.struct("part", "id", "line"))), lambda x: x["part"] == part)
         return F.array_join(F.transform(mine, lambda x: x["line"]), sep)
 
+    # The headings of the two parts.
     return few.agg(joined(1, "\n").alias("l"), joined(2, ", ").alias("t")).select(
         F.concat_ws("\n\n", F.when(F.col("l") != "", F.concat(F.lit("Known community fault lines:\n"), "l")),
                     F.when(F.col("t") != "", F.concat(F.lit("Active topics: "), "t"))).alias("block"))

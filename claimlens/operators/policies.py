@@ -79,5 +79,6 @@ def retrieve_fault_lines(queries: DataFrame, key: str, fault_lines: DataFrame, k
 def uncovered_context(blocks: DataFrame, key: str, covered: DataFrame) -> DataFrame:
     """Grounding block plus the statements already matched, all of them: one text per policy is what is asked for."""
     listed = covered.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("claim_id", "claim_statement"))), lambda x: F.concat(F.lit("- "), x["claim_statement"])), "\n").alias("listed"))
+    # Fixed value: the sentence in front of the list.
     head = "\n\nClaims already matched to this policy (predict something NOT already covered by these):\n"
     return blocks.join(listed, key, "left").select(key, F.concat("block", F.coalesce(F.concat(F.lit(head), "listed"), F.lit(""))).alias("context"))

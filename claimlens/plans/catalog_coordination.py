@@ -503,9 +503,10 @@ def _detection(r):
 
 @run_query("run_detection")
 def _(r):
-    """Networks of a whole run, on communities that the run itself found."""
-    return _detection(r)["networks"].select(
-        "network_id", "claim_id", "account_count", "post_count", "coordination_score", "signal_breadth", "confidence_band", "density", "conductance", "parent_network_id")
+    """The communities a whole run found, with their scores and what the gate said of them."""
+    out = _detection(r)
+    scores = out["metrics"].select("network_id", "sy", "du", "co", "pr", "au", "coordination_score", "signal_breadth")
+    return out["gate"].join(scores, "network_id")
 
 
 @run_query("run_detection_claims")

@@ -83,6 +83,7 @@ def hazard_lines(forecasts: DataFrame, key: str) -> DataFrame:
     entries = F.flatten(F.array_compact(days))
     found = F.array_distinct(F.filter(F.transform(entries, lambda e: e["weather_desc"]), lambda d: T.contains_any(d, T.HAZARD_WORDS)))
     place = F.concat(F.coalesce("p.lokasi.kecamatan", F.lit("?")), F.lit(", "), F.coalesce("p.lokasi.kotkab", F.lit("?")))
+    # The sentences of a line.
     tail = F.when(F.size("h") > 0, F.concat(F.array_join("h", ", "), F.lit(" forecast in the next ~24h."))).otherwise("no significant weather hazard forecast in the next ~24h.")
     return f.select(key, place.alias("place"), found.alias("h")).select(key, F.concat(F.lit("- [BMKG] "), "place", F.lit(": "), tail).alias("line"))
 
