@@ -45,8 +45,8 @@ HOUR, MINUTE = 3_600_000, 60_000  # milliseconds
 
 
 def _timed(posts: DataFrame, delay: str) -> DataFrame:
-    """posts with a watermark and with the time in milliseconds, which state functions count in."""
-    return posts.withWatermark("created_at", delay).withColumn("_ms", F.unix_millis("created_at"))
+    """posts with a watermark and with the time in milliseconds, which state functions count in; no time is the oldest."""
+    return posts.withWatermark("created_at", delay).withColumn("_ms", F.coalesce(F.unix_millis("created_at"), F.lit(0)))
 
 
 def first_refs(posts: DataFrame, delay_hours: int = 24) -> DataFrame:
@@ -85,7 +85,7 @@ def pushback_now(posts: DataFrame, hours: int = 24, delay: str = "2 hours") -> D
     State holds a claim's counts by hour, at most `hours` + 1 of them and those ahead of the watermark. A timer stands
     where the oldest hour leaves the window: volumes fall, and a claim goes dormant, as time passes without a new post.
     """
-    timed = _timed(posts.filter("claim_id IS NOT NULL AND stance IN ('supporting', 'opposing')").select("claim_id", "stance", "created_at"), delay)
+    timed = _timed(posts.filter("claim_id IS NOT NULL AND created_at IS NOT NULL AND stance IN ('supporting', 'opposing')").select("claim_id", "stance", "created_at"), delay)
     span = hours * HOUR
 
     def count(key, frames, state):
@@ -121,7 +121,7 @@ def burst_updates(posts: DataFrame, delay: str = "10 minutes") -> DataFrame:
     State holds the open bins and the number, sum and squares of the closed ones. A bin closes when the watermark passes
     its end, by a new post or by a timer; closed bins are given out in the batch that closes them.
     """
-    timed = _timed(posts.filter("claim_id IS NOT NULL AND stance = 'supporting'").select("claim_id", "created_at"), delay)
+    timed = _timed(posts.filter("claim_id IS NOT NULL AND created_at IS NOT NULL AND stance = 'supporting'").select("claim_id", "created_at"), delay)
 
     def close(key, frames, state):
         starts, counts, n, total, squares = state.get if state.exists else ([], [], 0, 0, 0)

@@ -41,8 +41,9 @@ def test_refs_are_kept_once_over_batches_and_forgotten_after_their_time(spark, t
     b = [post(5, 10, ref="x"), post(6, 11, ref="y")]
     c = [post(7, 60 * 24 * 4, ref="z")]
     d = [post(8, 60 * 24 * 4 + 5, ref="x"), post(9, 60 * 24 * 4 + 6, ref="z")]
+    d.append((*post(20, 0, ref="none")[:-1], None))  # a ref without a time
     got = ST.run_append(ST.unique_posts(files(spark, tmp_path, a, b, c, d)), "unique")
-    assert sorted(r.post_id for r in got.collect()) == [1, 3, 4, 6, 7, 8]
+    assert sorted(r.post_id for r in got.collect()) == [1, 3, 4, 6, 7, 8, 20]
 
 
 def test_an_idle_claim_goes_dormant(spark, tmp_path):
