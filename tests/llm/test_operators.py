@@ -270,3 +270,69 @@ def test_rank_of_dead_ends_goes_back_each_round(spark):
     assert abs(sum(out.values()) - 1) < 1e-9
     with pytest.raises(RuntimeError, match="settled"):
         urls.pagerank(spark.createDataFrame(edges, "a string, b string"), spark.createDataFrame([("s", 1.0)], "host string, seed double"), 0.3, 1, "rank")
+
+
+def test_ratios_match_brute_force(spark):
+    """Every word and bigram of 60 texts against Kneser-Ney sums over plain dictionaries."""
+    import math
+    from collections import defaultdict
+
+    import numpy as np
+
+    rng = random.Random(8)
+    texts = [(" ".join(rng.choice([f"a{min(rng.randrange(40), rng.randrange(40))}", f"b{rng.randrange(300)}"]) for _ in range(rng.randrange(50))), i % 3 == 0) for i in range(60)]
+    before, lefts = defaultdict(set), defaultdict(set)  # of (side, word) and of (side, first word, word)
+    for text, toxic in texts:
+        w = text.split()
+        for i, x in enumerate(w):
+            h, far = w[i - 1] if i else None, w[i - 2] if i > 1 else None
+            for side in ("nt" if toxic else "no", "ns"):
+                before[side, x].add(h)
+                lefts[side, h, x].add(far)
+    n1, n2 = ({k: len(v) for k, v in d.items()} for d in (before, lefts))
+
+    def off(counts):
+        have = [sum(1 for c in counts if c == i) for i in (1, 2, 3, 4)]
+        return toxicity.discounts(*have)
+
+    d1 = {s: off([c for (side, _), c in n1.items() if side == s]) for s in ("nt", "no", "ns")}
+    d2 = {s: off([c for (side, *_), c in n2.items() if side == s]) for s in ("nt", "no", "ns")}
+    cut = lambda c, d: (c - d[min(c, 3) - 1]) if c else 0.0
+    all1 = {s: [c for (side, _), c in n1.items() if side == s] for s in d1}
+    vocabulary = {w for _, w in n1}
+
+    def word(s, w, low):
+        free = sum(d1[s][min(c, 3) - 1] for c in all1[s]) / sum(all1[s])
+        return max(cut(n1.get((s, w), 0), d1[s]), 0) / sum(all1[s]) + free * low
+
+    shared = {w: word("ns", w, 1 / (len(vocabulary) + 1)) for w in vocabulary}
+
+    def bigram(s, h, w, low):
+        row = [c for (side, a, _), c in n2.items() if side == s and a == h]
+        return (max(cut(n2.get((s, h, w), 0), d2[s]), 0) + sum(d2[s][min(c, 3) - 1] for c in row) * low) / sum(row) if row else low
+
+    h32 = {x: int(toxicity._grams([x.encode()])[2][0]) for x in vocabulary} | {None: 0}
+    want = {}
+    for w in vocabulary:
+        want[1, h32[w]] = math.log(word("nt", w, shared[w]) / word("no", w, shared[w]))
+    for _, h, w in n2:
+        both = bigram("ns", h, w, shared[w])
+        p = [bigram(s, h, w, both * word(s, w, shared[w]) / shared[w]) for s in ("nt", "no")]
+        want[2, h32[w] << 32 | h32[h]] = math.log(p[0] / p[1])
+    frame = spark.createDataFrame([(t, int(x)) for t, x in texts], "text string, toxic int")
+    table, unknown = toxicity.ratio_table(toxicity.class_counts(frame))
+    got = {(r.kind, int(np.uint64(r.key % 2**64))): r.one if r.kind == 1 else r.two for r in table.collect()}
+    assert got.keys() == want.keys() and len(got) > 1000
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert len({round(v, 6) for v in got.values()}) > 100 and math.isfinite(unknown)
+
+
+def test_toxicity_edges(spark, docs, empty):
+    """Null and empty texts, null ids, repeated rows, ids labelled twice, no labels, one class only."""
+    marks = spark.createDataFrame([(i, int(i % 2)) for i in range(1, 16)] + [(4, 1), (None, 1)], "doc_id bigint, toxic int")
+    for labels in (marks, marks.limit(0), marks.filter("toxic = 0")):
+        model = toxicity.train(with_nulls(docs), labels)
+        out = toxicity.scores(with_nulls(docs), model).collect()
+        assert len(out) == docs.count() + 2 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in out)
+        assert len({r.score for r in out if r.doc_id in (1, 2, 3)}) == 1 == len({r.score for r in out if r.doc_id in (5, None)})
+    assert toxicity.labelled(docs, marks, (0, 1, 2, 3)).filter("toxic = 1").count() == 9
