@@ -180,21 +180,27 @@ def ratio_table(counts: DataFrame) -> tuple[DataFrame, float] | None:
 
     one = total[1]
     freed = {s: (off[1, s][0] * one[f"{s}1"] + off[1, s][1] * one[f"{s}2"] + off[1, s][2] * (one[f"{s}v"] - one[f"{s}1"] - one[f"{s}2"])) / one[s] for s in sides}
-    shared = left(1, "ns") / one["ns"] + freed["ns"] / (one["nsv"] + 1.0)
-    words = counts.filter("kind = 1").withColumn("s1", shared)
-    words = words.withColumns({f"p{s}": left(1, s) / one[s] + freed[s] * F.col("s1") for s in ("nt", "no")})
-    words = words.select(F.col("key").alias("w"), (F.col("ct") + F.col("co")).alias("n"), "s1", "pnt", "pno", (F.log("pnt") - F.log("pno")).alias("one"))
+    def orders(c):
+        """Shared and class probabilities of a word from its counts in columns c."""
+        low = left(1, "ns", c["ns"]) / one["ns"] + freed["ns"] / (one["nsv"] + 1.0)
+        return low, {s: left(1, s, c[s]) / one[s] + freed[s] * low for s in ("nt", "no")}
+
+    _, p = orders({s: s for s in sides})
+    words = counts.filter("kind = 1").select("key", (F.col("ct") + F.col("co")).alias("n"), (F.log(p["nt"]) - F.log(p["no"])).alias("one"))
     unknown = math.log(freed["nt"] / freed["no"])
 
-    pairs = counts.filter("kind = 2").withColumns({"h": _before("key"), "w": _word("key")})
-    heads = pairs.groupBy("h").agg(*[F.sum(s).alias(f"h{s}") for s in sides], *[F.count_if(F.col(s) == i).alias(f"h{s}{i}") for s in sides for i in (1, 2)], *[F.count_if(F.col(s) > 2).alias(f"h{s}3") for s in sides])
-    heads = heads.select("h", *[f"h{s}" for s in sides], *[sum(off[2, s][i - 1] * F.col(f"h{s}{i}") for i in (1, 2, 3)).alias(f"g{s}") for s in sides])
-    b = pairs.select("key", "h", "w", (F.col("ct") + F.col("co")).alias("c"), *sides).join(heads, "h").join(words, "w")
+    # bigrams meet counts, not probabilities, and neither word is a column of its own: small numbers pack well in a shuffle
+    pairs = counts.filter("kind = 2").select("key", (F.col("ct") + F.col("co")).alias("c"), *sides)
+    heads = pairs.groupBy(_before("key").alias("h")).agg(*[F.sum(s).alias(f"h{s}") for s in sides], *[F.count_if(F.col(s) == i).alias(f"h{s}{i}") for s in sides for i in (1, 2)], *[F.count_if(F.col(s) > 2).alias(f"h{s}3") for s in sides])
+    seconds = counts.filter("kind = 1").select(F.col("key").alias("w"), *[F.col(s).alias(f"w{s}") for s in sides])
+    b = pairs.join(seconds, _word("key") == F.col("w")).drop("w").join(heads, _before("key") == F.col("h")).drop("h")
+    low, p = orders({s: f"w{s}" for s in sides})
+    b = b.withColumns({"s1": low, "pnt": p["nt"], "pno": p["no"], **{f"g{s}": sum(off[2, s][i - 1] * F.col(f"h{s}{i}") for i in (1, 2, 3)) for s in sides}})
     b = b.withColumn("s2", (left(2, "ns") + F.col("gns") * F.col("s1")) / F.col("hns"))
     low = lambda s: F.col("s2") * F.col(f"p{s}") / F.col("s1")
     side = lambda s: F.when(F.col(f"h{s}") > 0, (left(2, s) + F.col(f"g{s}") * low(s)) / F.col(f"h{s}")).otherwise(low(s))
-    two = b.select(F.lit(2).alias("kind"), "key", F.col("c").alias("n"), "one", (F.log(side("nt")) - F.log(side("no"))).alias("two"))
-    return words.select(F.lit(1).alias("kind"), F.col("w").alias("key"), "n", "one", F.lit(None).cast("double").alias("two")).unionByName(two), unknown
+    two = b.select(F.lit(2).alias("kind"), "key", F.col("c").alias("n"), (F.log("pnt") - F.log("pno")).alias("one"), (F.log(side("nt")) - F.log(side("no"))).alias("two"))
+    return words.select(F.lit(1).alias("kind"), "key", "n", "one", F.lit(None).cast("double").alias("two")).unionByName(two), unknown
 
 
 def _step(ratio):
@@ -208,7 +214,8 @@ def fit_ratios(counts: DataFrame, sent: int = SENT) -> Model:
     if fitted is None:
         return Model(none, none.astype(np.int8), none, none.astype(np.int8))
     entries, unknown = fitted
-    entries = materialize(entries.select("kind", "key", F.floor(4 * F.log2("n")).cast("int").alias("often"), _step(F.col("one")).alias("one"), _step(F.col("two")).alias("two")), "entries")
+    entries = materialize(entries.select("kind", "key", F.floor(4 * F.log2("n")).cast("int").alias("often"), _step(F.col("one")).alias("one"), _step(F.col("two")).alias("two")).filter("kind = 1 OR one != two"), "entries")
+    # a bigram whose step is its word's is left out: one that isn't found takes its word's step anyway
     # how many entries are this common: some 200 rows; a bigram is never commoner than its word
     sizes = sorted(entries.groupBy("often").count().collect(), reverse=True)
     cut, room, rest = None, sent, False
