@@ -7,6 +7,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
+from claimlens.operators import lineage
 from claimlens.operators import textdup as D
 from claimlens.operators.overlap import shared_sums
 from claimlens.operators.pairs import heavy_pairs
@@ -121,3 +122,16 @@ def test_unit_vectors_meet_by_what_their_tails_can_add(spark):
     report = {}
     assert {(r.a, r.b) for r in heavy_pairs(frame, True, report).collect()} == want
     assert report["met"] < 60 * 59 / 4
+
+
+def test_near_duplicates_write_less_than_their_shingles(spark, tmp_path, monkeypatch):
+    rng = random.Random(14)
+    words = ["".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(3, 8))) for _ in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(300)) for _ in range(300)]
+    texts += [t + " " + rng.choice(words) for t in texts[:40]]
+    monkeypatch.setattr(lineage, "checkpoint_root", lambda _: str(tmp_path))
+    units = D.text_units(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    near = {(r.text_a, r.text_b) for r in D.near_duplicate_texts(units).collect()}
+    assert near == {(i, 300 + i) for i in range(40)}
+    written = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    assert written < 2 * sum(map(len, texts))  # shingle sets alone take four times the texts
