@@ -11,6 +11,7 @@ from claimlens.operators import lineage
 from claimlens.operators import textdup as D
 from claimlens.operators.overlap import shared_sums
 from claimlens.operators.pairs import heavy_pairs
+from claimlens.operators.signals import w_text
 from claimlens.operators.vectors import pairs_above, top_k
 
 
@@ -135,3 +136,17 @@ def test_near_duplicates_write_less_than_their_shingles(spark, tmp_path, monkeyp
     assert near == {(i, 300 + i) for i in range(40)}
     written = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
     assert written < 2 * sum(map(len, texts))  # shingle sets alone take four times the texts
+
+
+def test_links_of_unused_texts_are_not_searched_and_change_no_score(spark):
+    rng = random.Random(15)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
+    base = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(6)]
+    texts = [(i, base[i % 6] + (" " + words[i] if i >= 6 else "")) for i in range(24)]
+    units = D.text_units(spark.createDataFrame(texts, "doc_id int, text string"))
+    posts = [(1, f"u{p % 4}", p, p % 14, False) for p in range(40)]  # texts 14 to 23 are in no post
+    eligible = D.eligible_posts(spark.createDataFrame(posts, "claim_id int, account_id string, post_id int, doc_id int, is_native_reshare boolean"), units)
+    used = D.units_of(units, eligible)
+    assert {r.text_id for r in used.collect()} == set(range(14))
+    scores = lambda u: sorted(tuple(r) for r in w_text(eligible, D.duplicate_links(D.near_duplicate_texts(u))).collect())
+    assert scores(used) and scores(used) == scores(units)
