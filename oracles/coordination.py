@@ -177,8 +177,10 @@ JOIN (SELECT network_id, count(DISTINCT hour(created_at)) AS h FROM npost GROUP
 FROM sy s JOIN du USING (network_id) JOIN shape USING (network_id) JOIN pr USING (network_id) JOIN au USING (network_id)""",
     "breadth": "SELECT *, CAST((sy >= 50)::INT + (du >= 50)::INT + (co >= 50)::INT + (pr >= 50)::INT + (au >= 50)::INT AS INT) AS signal_breadth FROM met",
     "dbins": "SELECT network_id, time_bucket(INTERVAL 1 DAY, created_at)::TIMESTAMP AS bin_start, count(*) AS post_count FROM npost GROUP BY ALL",
-    "bursts": """SELECT network_id, bin_start, post_count, CASE WHEN sd > 0 THEN round((post_count - m) / sd, 4) ELSE 0.0 END AS zscore, post_count > m + 3 * sd AS is_anomalous
-FROM (SELECT *, avg(post_count) OVER w AS m, stddev_pop(post_count) OVER w AS sd FROM dbins WINDOW w AS (PARTITION BY network_id)) x""",
+    # of n bins with sum s and sum of squares q, whole numbers: c > mean + 3 deviations says n c - s > 3 sqrt(n q - s s)
+    "bursts": """SELECT network_id, bin_start, post_count, CASE WHEN v > 0 THEN round(CAST(CAST(d AS DOUBLE) / sqrt(CAST(v AS DOUBLE)) AS DECIMAL(18,9)), 4)::DOUBLE ELSE 0.0 END AS zscore,
+ d > 0 AND d * d > 9 * v AS is_anomalous
+FROM (SELECT *, count(*) OVER w * post_count::HUGEINT - sum(post_count) OVER w AS d, count(*) OVER w * sum(post_count::HUGEINT * post_count) OVER w - sum(post_count) OVER w * sum(post_count) OVER w AS v FROM dbins WINDOW w AS (PARTITION BY network_id)) x""",
     "g_sym": "SELECT DISTINCT x.network_id, x.text_id AS u, y.text_id AS v FROM nelig x JOIN lsym l ON l.s = x.text_id JOIN nelig y ON y.network_id = x.network_id AND y.text_id = l.t",
     "g_walk": "SELECT DISTINCT network_id, text_id AS u, text_id AS w FROM nelig UNION SELECT s.network_id, s.u, x.w FROM g_walk x JOIN g_sym s ON s.network_id = x.network_id AND s.v = x.u WHERE x.w < s.u",
     "g_comp": "SELECT network_id, u AS text_id, min(w) AS comp FROM g_walk GROUP BY ALL",

@@ -152,3 +152,14 @@ def test_stream_ingest_over_several_batches(spark, tmp_path):
     refs = set(got)
     assert {3, 5, 6} <= refs and len(refs & {1, 2, 4}) == 1 and got[5] == 7 and got[3] is None
     assert got[next(iter(refs & {1, 2, 4}))] == 3
+
+
+def test_bins_at_three_deviations_are_not_beyond_them(spark):
+    # nine bins of `low` posts and one of `high`: the last one lies exactly three deviations above the mean
+    cases = [(low, high) for low in range(1, 8) for high in range(low + 1, low + 9)]
+    rows = [(f"n{low}-{high}", f"2024-01-{day + 1:02d} 05:00:00") for low, high in cases for day in range(10) for _ in range(high if day == 9 else low)]
+    posts = spark.createDataFrame(rows, "network_id string, at string").select("network_id", F.col("at").cast("timestamp").alias("created_at"))
+    for parts in (1, 5):
+        out = V.burst_timeline(posts.repartition(parts), 86400).collect()
+        assert len(out) == 10 * len(cases) and not any(r.is_anomalous for r in out)
+        assert {r.zscore for r in out} == {3.0, -0.3333}
