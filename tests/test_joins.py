@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from claimlens.operators import lineage
 from claimlens.operators import textdup as D
 from claimlens.operators.overlap import shared_sums
-from claimlens.operators.pairs import heavy_pairs
+from claimlens.operators.pairs import heavy_pairs, listed, met
 from claimlens.operators.signals import w_text
 from claimlens.operators.vectors import pairs_above, top_k
 
@@ -150,3 +150,10 @@ def test_links_of_unused_texts_are_not_searched_and_change_no_score(spark):
     assert {r.text_id for r in used.collect()} == set(range(14))
     scores = lambda u: sorted(tuple(r) for r in w_text(eligible, D.duplicate_links(D.near_duplicate_texts(u))).collect())
     assert scores(used) and scores(used) == scores(units)
+
+
+def test_met_pairs_shuffle_keys_and_products_only(spark):
+    rows = spark.createDataFrame([("g", f"e{e}", f, 1.0, 1.0, 1.0) for e in range(6) for f in range(3)], "g string, e string, f int, w double, k double, need double")
+    out = met(listed(rows))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "first(" not in plan and out.count() == 15
