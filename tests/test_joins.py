@@ -5,11 +5,13 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from claimlens.operators import lineage
 from claimlens.operators import textdup as D
 from claimlens.operators.overlap import shared_sums
+from claimlens.operators import pairs
 from claimlens.operators.pairs import heavy_pairs, listed, met
 from claimlens.operators.signals import w_text
 from claimlens.operators.vectors import pairs_above, top_k
@@ -157,3 +159,42 @@ def test_met_pairs_shuffle_keys_and_products_only(spark):
     out = met(listed(rows))
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "first(" not in plan and out.count() == 15
+
+
+def test_pairs_of_blocks_are_whole_where_they_are_made(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK_ENTITIES", 4)
+    rng = random.Random(3)
+    lists = {f"e{e:02d}": sorted({rng.randrange(25) for _ in range(9)}) for e in range(30)}
+    rows = spark.createDataFrame([("g", e, f, 1.0, 1.0, 3.0) for e, fs in lists.items() for f in fs], "g string, e string, f bigint, w double, k double, need double")
+    want = {(a, b): len(set(lists[a]) & set(lists[b])) for a in lists for b in lists if a < b and len(set(lists[a]) & set(lists[b])) >= 3}
+    assert {(r.a, r.b): r.total for r in heavy_pairs(rows).collect()} == want
+    plan = met(listed(rows))._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+    assert plan.startswith("FlatMapCoGroupsInPandas")  # nothing is shuffled or joined after the pairs are made
+
+
+def test_a_step_of_the_sums_may_cut_a_block(monkeypatch):
+    monkeypatch.setattr(pairs, "PRODUCTS_AT_ONCE", 3)
+    side = pd.DataFrame({"fs": [["a", "b"], ["b", "c"], ["c"]], "ws": [[1.0, 2.0], [3.0, 1.0], [5.0]], "end_df": [2, 2, 2], "end_f": ["b", "c", "c"]})
+    sums, earlier = pairs._block_sums(side, side)
+    assert sums.tolist() == [[5.0, 6.0, 0.0], [6.0, 10.0, 5.0], [0.0, 5.0, 25.0]]
+    assert earlier.tolist() == [[True, True, True], [False, True, True], [False, True, True]]
+
+
+def test_sums_of_given_pairs_keep_their_columns(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK_ENTITIES", 3)
+    rng = random.Random(4)
+    rows = [(g, f"e{e}", f"f{f}", rng.random() + 0.1, 1.0 + f) for g in (1, 2) for e in range(11) for f in range(9) if rng.random() < 0.4]
+    frame = spark.createDataFrame(rows, "g int, e string, f string, w double, k double")
+    by = defaultdict(dict)
+    for g, e, f, w, k in rows:
+        by[g, e][f] = (w, k)
+    given = [(g, f"e{x}", f"e{y}", float(x)) for g in (1, 2, 3) for x, y in combinations(range(12), 2) if (x + y) % 3]
+    want = {}
+    for g, a, b, need in given:
+        shared = by[g, a].keys() & by[g, b].keys()
+        if shared:
+            want[g, a, b, need] = sum(by[g, a][f][1] * by[g, a][f][0] * by[g, b][f][0] for f in shared)
+    sums = pairs.pair_sums(spark.createDataFrame(given, "g int, a string, b string, need double"), frame)
+    got = {(r.g, r.a, r.b, r.need): r.total for r in sums.collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    assert "[g, a, b" not in "".join(x for x in sums._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x)  # lists are not joined pair by pair
