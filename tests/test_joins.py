@@ -1,6 +1,7 @@
 """Similarity joins, pair sums and duplicate texts against brute force."""
 
 import random
+import tracemalloc
 from collections import defaultdict
 from itertools import combinations
 
@@ -14,7 +15,7 @@ from claimlens.operators.overlap import shared_sums
 from claimlens.operators import pairs
 from claimlens.operators.pairs import heavy_pairs, listed, met
 from claimlens.operators.signals import w_text
-from claimlens.operators.vectors import pairs_above, top_k
+from claimlens.operators.vectors import fit_index, pairs_above, top_k
 
 
 def unit(rng, n, d=8, clusters=6):
@@ -198,3 +199,17 @@ def test_sums_of_given_pairs_keep_their_columns(spark, monkeypatch):
     got = {(r.g, r.a, r.b, r.need): r.total for r in sums.collect()}
     assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
     assert "[g, a, b" not in "".join(x for x in sums._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x)  # lists are not joined pair by pair
+
+
+def test_index_is_fitted_in_memory_of_the_sample(spark):
+    v = unit(np.random.default_rng(2), 3000)
+    rows = table(spark, v).select(F.col("id"), F.col("embedding").alias("v")).cache()
+    fit_index(rows, 3000, 4)
+    tracemalloc.start()
+    _, rotation = fit_index(rows, 3000, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3000 * 3000 * 4  # a matrix of rows x rows has twice that
+    assert np.allclose(rotation.T @ rotation, np.eye(8))
+    spread = ((v @ rotation) ** 2).sum(axis=0)
+    assert (np.diff(spread) <= 1e-6).all()
