@@ -49,29 +49,37 @@ def _timed(posts: DataFrame, delay: str) -> DataFrame:
     return posts.withWatermark("created_at", delay).withColumn("_ms", F.coalesce(F.unix_millis("created_at"), F.lit(0)))
 
 
+REF_BUCKETS = 512  # keys of the state of refs; a call of Python serves a bucket, not a ref
+
+
 def first_refs(posts: DataFrame, delay_hours: int = 24) -> DataFrame:
     """Posts with a ref that was not seen before: per ref the smallest post_id of the batch it first comes in.
 
     Keyed state remembers a ref until the watermark is `delay_hours` past its last sight, so repeats are skipped
-    without reading what was stored, and the state holds refs of that time only.
+    without reading what was stored, and the state holds refs of that time only. Refs lie in buckets by hash, and the
+    timer of a bucket stands where its first ref may be forgotten.
     """
-    timed = _timed(posts.filter("external_ref IS NOT NULL"), f"{delay_hours} hours")
-    names = posts.columns
+    timed = _timed(posts.filter("external_ref IS NOT NULL"), f"{delay_hours} hours").withColumn("_bucket", F.pmod(F.xxhash64("external_ref"), F.lit(REF_BUCKETS)))
+    names, span = posts.columns, delay_hours * HOUR
 
     def keep(key, frames, state):
-        if state.hasTimedOut:
+        mark = state.getCurrentWatermarkMs()
+        refs, times = state.get if state.exists else ([], [])
+        seen = {r: t for r, t in zip(refs, times) if t + span > mark}
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames))
+            fresh = rows[~rows["external_ref"].isin(seen)].sort_values("post_id").drop_duplicates("external_ref")
+            if len(fresh):
+                yield fresh[names]
+            for r, t in rows.groupby("external_ref")["_ms"].max().items():
+                seen[r] = max(int(t), seen.get(r, 0))
+        if not seen:
             state.remove()
             return
-        rows = pd.concat(list(frames))
-        # a batch may bring a ref whose timer is due and has not fired yet
-        known = state.exists and state.get[0] + delay_hours * HOUR > state.getCurrentWatermarkMs()
-        last = max(int(rows["_ms"].max()), state.get[0] if known else 0)
-        if not known:
-            yield rows.sort_values("post_id").head(1)[names]
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last + delay_hours * HOUR, state.getCurrentWatermarkMs() + 1))
-
-    return timed.groupBy("external_ref").applyInPandasWithState(keep, posts.schema, "last bigint", "append", "EventTimeTimeout")
+        state.update((list(seen), list(seen.values())))
+        state.setTimeoutTimestamp(max(min(seen.values()) + span, mark + 1))
+
+    return timed.groupBy("_bucket").applyInPandasWithState(keep, posts.schema, "refs array<string>, times array<bigint>", "append", "EventTimeTimeout")
 
 
 def unique_posts(posts: DataFrame, delay_hours: int = 24) -> DataFrame:
