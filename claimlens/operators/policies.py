@@ -13,10 +13,10 @@ def policy_text(policies: DataFrame) -> DataFrame:
     return policies.select("policy_id", F.regexp_replace(parts, r"^\s+|\s+$", "").alias("policy_text"))
 
 
-def match_candidates(policies: DataFrame, claims: DataFrame, k: int | None = None, threshold: float = 0.35) -> DataFrame:
-    """Existing claims at or above the threshold for each policy; with k, the k most similar of them."""
+def match_candidates(policies: DataFrame, claims: DataFrame, k: int | None = None, threshold: float = 0.35, key: str = "policy_id") -> DataFrame:
+    """Existing claims at or above the threshold for each policy (or named vector); with k, the k most similar of them."""
     existing = claims.filter("claim_type = 'existing'").select("claim_id", "embedding")
-    return top_k(policies.select("policy_id", "embedding"), "policy_id", existing, "claim_id", k, threshold)
+    return top_k(policies.select(key, "embedding"), key, existing, "claim_id", k, threshold)
 
 
 def confirm_matches(candidates: DataFrame, policies: DataFrame, claims: DataFrame) -> DataFrame:
@@ -76,6 +76,12 @@ def retrieve_fault_lines(queries: DataFrame, key: str, fault_lines: DataFrame, k
     return found.withColumn("rank", F.row_number().over(w))
 
 
+def named_vectors(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(vec_id, embedding) of the stored vectors that rows name: what depends on the vector only is worked out once for
+    each and then joined to the rows."""
+    return vectors.join(rows.select("vec_id").distinct(), "vec_id", "left_semi").select("vec_id", "embedding")
+
+
 def uncovered_context(blocks: DataFrame, key: str, covered: DataFrame) -> DataFrame:
     """Grounding block plus the statements already matched, all of them: one text per policy is what is asked for."""
     listed = covered.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("claim_id", "claim_statement"))), lambda x: F.concat(F.lit("- "), x["claim_statement"])), "\n").alias("listed"))
