@@ -29,6 +29,16 @@ def label_attached(attached: DataFrame, texts: DataFrame) -> DataFrame:
     return attached.join(texts, "post_id").withColumn("stance", T.stance(F.col("text"))).filter("stance IS NOT NULL").drop("text")
 
 
+def document_stances(texts: DataFrame) -> DataFrame:
+    """(doc_id, stance): the label of each text, worked out where the text is read, so that no text is joined to posts."""
+    return texts.select("doc_id", T.stance(F.col("text")).alias("stance"))
+
+
+def label_by_document(attached: DataFrame, posts: DataFrame, stances: DataFrame) -> DataFrame:
+    """label_attached for posts that name their text: the same rows from labels of documents."""
+    return attached.join(posts.select("post_id", "doc_id"), "post_id").join(stances, "doc_id").filter("stance IS NOT NULL").drop("doc_id")
+
+
 def cluster_posts(posts: DataFrame, vectors: DataFrame, epsilon: float = 0.55, min_size: int = 2) -> DataFrame:
     """(post_id, cluster): connected groups at similarity epsilon with at least min_size posts.
 
@@ -37,7 +47,7 @@ def cluster_posts(posts: DataFrame, vectors: DataFrame, epsilon: float = 0.55, m
     needed = vectors.join(posts.select("vec_id").distinct(), "vec_id", "left_semi").select("vec_id", "embedding")
     classes = vector_classes(needed, "vec_id")
     reps = needed.join(classes.select(F.col("rep").alias("vec_id")).distinct(), "vec_id", "left_semi")
-    edges = pairs_above(reps, "vec_id", epsilon).select(F.lit(0).alias("g"), "a", "b")
+    edges = pairs_above(reps, "vec_id", epsilon, forest=True).select(F.lit(0).alias("g"), "a", "b")
     parts = connected_components(edges).select(F.col("node").alias("rep"), "component")
     placed = (
         posts.join(classes, "vec_id").join(parts, "rep", "left")
@@ -57,7 +67,7 @@ def density_cluster_posts(posts: DataFrame, vectors: DataFrame, epsilon: float =
     reps = needed.join(classes.select(F.col("rep").alias("vec_id")).distinct(), "vec_id", "left_semi")
     members = posts.join(classes, "vec_id")
     nodes = members.groupBy(F.col("rep").alias("node")).agg(F.count(F.lit(1)).alias("weight"))
-    edges = pairs_above(reps, "vec_id", epsilon).select("a", "b", F.col("similarity").alias("s"))
+    edges = pairs_above(reps, "vec_id", epsilon, forest=True).select("a", "b", F.col("similarity").alias("s"))
     found = density_clusters(edges, nodes, epsilon, min_size, levels)
     return members.join(found.withColumnRenamed("node", "rep"), "rep").select("post_id", "cluster")
 

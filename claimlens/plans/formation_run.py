@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import Settings
-from ..functions import text as T
 from ..operators import formation as C
 from ..operators import scoring as Q
 from ..operators.lineage import materialize
@@ -34,9 +33,9 @@ def form(inputs: FormationInputs, s: Settings, as_of: str, epsilon: float | None
     gives the same rows.
     """
     threshold = s["clustering.claim_attach_threshold"]
-    texts = inputs.posts.select("post_id", "doc_id").join(inputs.texts.select("doc_id", "text"), "doc_id").select("post_id", "text")
+    stances = materialize(C.document_stances(inputs.texts), "stances")
     existing = inputs.claims.filter("claim_type = 'existing'")
-    attached = materialize(C.label_attached(C.attach_to_claims(inputs.posts, inputs.vectors, existing, threshold), texts), "attached")
+    attached = materialize(C.label_by_document(C.attach_to_claims(inputs.posts, inputs.vectors, existing, threshold), inputs.posts, stances), "attached")
     rest = inputs.posts.filter("claim_id IS NULL AND vec_id IS NOT NULL").join(attached.select("post_id"), "post_id", "left_anti")
     clusters = materialize(C.density_cluster_posts(rest.select("post_id", "vec_id"), inputs.vectors, threshold if epsilon is None else epsilon, min_size, levels), "clusters")
 
@@ -49,7 +48,8 @@ def form(inputs: FormationInputs, s: Settings, as_of: str, epsilon: float | None
     new_state = C.merged_topic_sums(state, C.topic_sums(claims.select("topic_id", "embedding")))
 
     came = attached.select("post_id", F.col("claim_id").alias("found"), F.col("stance").alias("said")).unionByName(
-        clusters.join(built.select("cluster", "claim_id"), "cluster").join(texts, "post_id").select("post_id", F.col("claim_id").alias("found"), T.stance(F.col("text")).alias("said")))
+        clusters.join(built.select("cluster", "claim_id"), "cluster").join(inputs.posts.select("post_id", "doc_id"), "post_id").join(stances, "doc_id").select(
+            "post_id", F.col("claim_id").alias("found"), F.col("stance").alias("said")))
     posts = inputs.posts.join(came, "post_id", "left").withColumns(
         {"claim_id": F.coalesce("claim_id", "found"), "stance": F.when(F.col("claim_id").isNull(), F.col("said")).otherwise(F.col("stance"))}).drop("found", "said")
     fresh = claims.select("claim_id", F.lit("existing").alias("claim_type"), "claim_statement", "topic_id", "status", F.col("first_caught_at").alias("created_at"), "embedding")
