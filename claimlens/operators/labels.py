@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as T
+from .lineage import materialize
 from .ranks import chunked_rank
 
 
@@ -25,11 +26,12 @@ def sentiment_share(posts: DataFrame, period: str = "day") -> DataFrame:
 def term_weights(texts: DataFrame, key: str, dim: int = 384) -> DataFrame:
     """(key, pos, x): hashed TF-IDF of each text, scaled to length 1; places without a term are left out.
 
-    A term goes to the place named by the first 32 bits of its MD5; the weight is tf * ln((N + 1) / (df + 1)).
+    A term goes to the place named by the first 32 bits of its MD5; the weight is tf * ln((N + 1) / (df + 1)). Counts are
+    written once, since they are read for df, weights and lengths: words are split and hashed in one pass.
     """
     words = texts.select(key, F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("w")).filter("w <> ''")
     place = F.pmod(F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
-    tf = words.groupBy(key, place.alias("pos")).agg(F.count(F.lit(1)).alias("tf"))
+    tf = materialize(words.groupBy(key, place.alias("pos")).agg(F.count(F.lit(1)).alias("tf")), "term-counts")
     df = tf.groupBy("pos").agg(F.count(F.lit(1)).alias("df"))  # at most `dim` rows
     n = texts.agg(F.count(F.lit(1)).alias("n"))  # one row
     weight = F.col("tf") * F.log((F.col("n") + 1) / (F.col("df") + 1))
