@@ -142,9 +142,17 @@ def policy_board(policies: DataFrame, claims: DataFrame, links: DataFrame, years
 
 
 def policy_detail(policies: DataFrame, claims: DataFrame, links: DataFrame) -> DataFrame:
-    linked = links.join(claims.filter("claim_type = 'existing'").drop("policy_id"), "claim_id").select("policy_id", "claim_id", "claim_statement", "status", F.lit("linked").alias("kind"))
-    predicted = claims.filter("policy_id IS NOT NULL").select("policy_id", "claim_id", "claim_statement", "status", F.lit("predicted").alias("kind"))
-    return linked.unionByName(predicted).join(policies.select("policy_id", "title"), "policy_id")
+    """Linked and predicted claims of each policy. A few claims may hold all links, so links meet the titles first, by
+    policy, and claims last; those are written before, so that the planner knows when they are few and can be sent."""
+    titles = materialize(policies.select("policy_id", "title"), "titles")
+    claims = materialize(claims.select("claim_id", "claim_type", "claim_statement", "status", F.col("policy_id").alias("predicted_of")), "claims")
+    cols = ("policy_id", "claim_id", "claim_statement", "status")
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # kept: merged by bytes, a task would sort millions of short rows
+    existing = claims.filter("claim_type = 'existing'")
+    linked = links.select("claim_id", "policy_id").join(existing.select("claim_id"), "claim_id", "left_semi")
+    linked = linked.repartition(parts, "policy_id").join(titles, "policy_id").join(existing, "claim_id")
+    predicted = claims.filter("predicted_of IS NOT NULL").withColumnRenamed("predicted_of", "policy_id").join(titles, "policy_id")
+    return linked.select(*cols, F.lit("linked").alias("kind"), "title").unionByName(predicted.select(*cols, F.lit("predicted").alias("kind"), "title"))
 
 
 def policy_status(policies: DataFrame, as_of: str) -> DataFrame:
