@@ -54,3 +54,11 @@ def test_planted_network_is_found_exactly(spark):
 def test_noise_alone_gives_no_network(spark):
     out = detect(inputs(spark, bots=False), "2026-01-01 00:00:00", "2026-01-31 00:00:00", "2026-01-31 00:00:00")
     assert out["members"].count() == 0 and out["networks"].count() == 0
+
+
+def test_a_table_is_built_when_it_is_asked_for(spark, monkeypatch):
+    from claimlens.plans import detection
+
+    monkeypatch.setattr(detection.X, "communities", lambda *a: 1 / 0)  # a run asked for its edges and core searches no communities
+    out = detect(inputs(spark), "2026-01-01 00:00:00", "2026-01-31 00:00:00", "2026-01-31 00:00:00", DetectorParameters(window_days=30))
+    assert out["core"].count() == out["edges"].count() == 15
