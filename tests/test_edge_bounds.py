@@ -35,7 +35,7 @@ def test_bounds_lose_no_edge(spark):
 
     def edges(b):
         met[b is None] = report = {}
-        families = [N.TimeFamily(posts, 3600, 0.01), N.TextFamily(eligible, links), N.AmpFamily(posts, b), N.StructFamily(candidates, followers, b)]
+        families = [N.TimeFamily(posts, 3600, 0.01, b), N.TextFamily(eligible, links), N.AmpFamily(posts, b), N.StructFamily(candidates, followers, b)]
         return {tuple(r) for r in strong_edges(families, lambda p: N.w_meta(p, accounts), weights, theta, 2, s, report).collect()}
 
     whole = edges(None)
@@ -57,3 +57,15 @@ def test_similarity_is_never_over_its_bound(spark):
 def test_rows_go_to_a_bounded_number_of_blocks(spark):
     size = lambda n: spark.range(1).select(pairs._blocks_of(F.lit(n))).first()[0]
     assert [size(n) for n in (1, 2048, 2049, 16_384, 131_072, 350_000)] == [1, 1, 2, 8, 8, 22]
+
+
+def test_marks_of_bins_leave_out_pairs_with_too_few_in_common(spark):
+    hours = {"a": range(12), "b": [0, *range(20, 31)], "c": [*range(6), *range(40, 46)]}  # 12 posts each; a shares 1 bin with b, 6 with c
+    none = (None,) * 5
+    posts = spark.createDataFrame([(1, n, T0 + dt.timedelta(hours=h), *none) for n, hs in hours.items() for h in hs],
+                                  "claim_id int, account_id string, created_at timestamp, reshared_post_id string, quoted_post_id string, replied_to_post_id string, outbound_url string, outbound_domain string")
+    candidates = posts.select("claim_id", "account_id").distinct()
+    traits = N.edge_traits(posts, posts, candidates, spark.createDataFrame([], ACCOUNTS), 3600)
+    t = traits.toPandas().set_index("e")
+    wanted = N.EdgeBounds(None, {}, 0.3, 0.25, 36.0).time_rule(0.25)(t.loc[["a", "a"]], t.loc[["b", "c"]], None)
+    assert t["plain_bins"].all() and wanted.tolist() == [False, True]
